@@ -143,3 +143,261 @@ GROUP BY 1, 2""", DRAWS))
 def _(t: Tables):
     out = draw_ops.coalitions(t.draws, ["election_id"], CONTESTANTS, "majority")
     return out.withColumn("majority_probability", rnd("majority_probability"))
+
+
+# reporting -----------------------------------------------------------------------------------
+
+from fourclocks.bindings import EVENT_CUTOFF  # noqa: E402
+from fourclocks.operators import asof, fundamentals, metrics, reporting  # noqa: E402
+from fourclocks.registry.ctes import FEED, OBS, RUNS  # noqa: E402
+
+# Features and the metrics that can feed them; no event of the last kind exists.
+SPECS = {
+    "engagement": ("click", "view"), "conversion": ("purchase",), "growth": ("signup",),
+    "faults": ("error",), "returns": ("refund",),
+}
+
+
+def number(field):
+    return F.get_json_object("props", field).cast("int")
+
+
+@query("agg_security_events", """
+SELECT CAST(user_id AS VARCHAR) AS country, count(*) AS events, count(*) FILTER (k % 5 IN (3, 4)) AS conflicts, CAST(sum(k) AS BIGINT) AS mentions,
+       round(avg(value), 6) AS tone, round(avg(value - k), 6) AS score
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type <> 'signup') GROUP BY 1""")
+def _(t: Tables):
+    k = number("$.k")
+    events = t.events.select(
+        F.when(F.col("event_type") == "signup", " ").otherwise(F.col("user_id").cast("string")).alias("country"),
+        (k % 5).alias("event_class"), k.alias("mentions"), F.col("value").alias("tone"), (F.col("value") - k).alias("score"))
+    out = reporting.security_aggregates(events)
+    return out.withColumns({"tone": rnd("tone", 6), "score": rnd("score", 6)})
+
+
+HEALTH = """
+SELECT {keys}, count(*) FILTER (status = 'failure') AS failures, round(epoch_us(max(occurred_at) FILTER (status = 'success')) / 1e6, 3) AS last_success
+FROM runs GROUP BY {keys}"""
+
+
+@query("agg_run_health", with_ctes(HEALTH.format(keys="job"), RUNS))
+def _(t: Tables):
+    return reporting.run_health(t.runs, ["job"]).withColumn("last_success", rnd("last_success", 3))
+
+
+@query("agg_run_health_scoped", with_ctes(HEALTH.format(keys="job, scope"), RUNS))
+def _(t: Tables):
+    return reporting.run_health(t.runs, ["job", "scope"]).withColumn("last_success", rnd("last_success", 3))
+
+
+@query("agg_catalog_status", """
+SELECT count(*) AS jurisdictions, count(*) FILTER (c_acctbal > 0) AS forecast, count(*) FILTER (c_acctbal <= 0 AND c_mktsegment = 'BUILDING') AS calendar_only,
+       count(*) FILTER (c_acctbal <= 0 AND c_mktsegment <> 'BUILDING') AS mechanics_blocked FROM customer""")
+def _(t: Tables):
+    status = F.when(F.col("c_acctbal") > 0, "forecast").when(F.col("c_mktsegment") == "BUILDING", "calendar_only").otherwise("mechanics_blocked")
+    return reporting.catalog_status(t.customer.select(status.alias("coverage_status")))
+
+
+EARLY = "2024-01-02 00:00:00"
+
+
+@query("agg_completeness", with_ctes(f"""
+SELECT jurisdiction_id, CAST(4 - len(list_filter(gaps, x -> x <> '')) + 0 AS INTEGER) AS present, 5 AS required, round((4 - len(list_filter(gaps, x -> x <> ''))) / 5.0, 9) AS completeness,
+       array_to_string(list_sort(list_append(list_filter(gaps, x -> x <> ''), 'returns')), ',') AS missing
+FROM (SELECT jurisdiction_id, [CASE WHEN count(*) FILTER (metric IN ('click', 'view')) = 0 THEN 'engagement' ELSE '' END,
+        CASE WHEN count(*) FILTER (metric = 'purchase') = 0 THEN 'conversion' ELSE '' END, CASE WHEN count(*) FILTER (metric = 'signup') = 0 THEN 'growth' ELSE '' END,
+        CASE WHEN count(*) FILTER (metric = 'error') = 0 THEN 'faults' ELSE '' END] AS gaps
+      FROM observations WHERE available_at <= TIMESTAMP '{EARLY}' AND observed_at <= TIMESTAMP '{EARLY}' GROUP BY 1)""", OBS))
+def _(t: Tables):
+    seen = asof.asof_filter(t.observations, ts(EARLY), ["available_at", "observed_at"])
+    out = reporting.completeness(seen, ["jurisdiction_id"], SPECS)
+    return out.withColumns({"completeness": rnd("completeness"), "missing": F.array_join("missing", ",")})
+
+
+@query("agg_nested_collect", """
+SELECT c_nationkey AS nation, string_agg(seg || '=' || n, ',' ORDER BY seg) AS segments
+FROM (SELECT c_nationkey, c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1""")
+def _(t: Tables):
+    counts = t.customer.groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    nested = asof.nest(counts, ["nation"], ["segment", "n"], "segments")
+    text = F.transform("segments", lambda s: F.concat_ws("=", s["segment"], s["n"].cast("string")))
+    return nested.select("nation", F.array_join(text, ",").alias("segments"))
+
+
+@query("agg_provenance_distinct", """
+SELECT lang, source, content, f AS first_seen, CAST(row_number() OVER (PARTITION BY lang ORDER BY f, source, content) AS INTEGER) AS position
+FROM (SELECT lang, source, sha256(CAST(n_chars % 100 AS VARCHAR)) AS content, min(doc_id) AS f FROM documents GROUP BY 1, 2, 3)""")
+def _(t: Tables):
+    docs = t.documents.select("lang", "source", F.sha2((F.col("n_chars") % 100).cast("string"), 256).alias("content"), "doc_id")
+    return reporting.provenance(docs, ["lang"], ["source", "content"], "doc_id")
+
+
+@query("agg_status_rollup", with_ctes("""
+SELECT unit_id, contestant_id, CASE WHEN bool_and(votes < 300) THEN 'certified' ELSE 'live' END AS status, max(k) / 100.0 AS reporting_fraction,
+       strftime(max(reported_at), '%Y-%m-%d %H:%M:%S') AS reported_at, string_agg(DISTINCT 'v' || (k % 3), '+' ORDER BY 'v' || (k % 3)) AS parser_version
+FROM feed GROUP BY 1, 2""", FEED))
+def _(t: Tables):
+    rows = t.feed.select("unit_id", "contestant_id", (F.col("votes") < 300).alias("is_certified"), (F.col("k") / 100.0).alias("reporting_fraction"),
+        "reported_at", F.concat(F.lit("v"), (F.col("k") % 3).cast("string")).alias("parser_version"))
+    out = reporting.status_rollup(rows, ["unit_id", "contestant_id"])
+    return out.withColumn("reported_at", clock_text("reported_at"))
+
+
+BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0, 150.0, 200.0, 300.0)
+
+
+@query("agg_latency_histogram", "SELECT event_type, b.le, count(*) FILTER (value <= b.v) AS hits, count(*) AS total, round(sum(value), 2) AS total_seconds\nFROM events CROSS JOIN (VALUES "
+       + ", ".join(f"('{b}', {b})" for b in BOUNDS) + ", ('+Inf', 1e300)) b(le, v) GROUP BY 1, 2")
+def _(t: Tables):
+    out = reporting.latency_histogram(t.events, ["event_type"], "value", BOUNDS)
+    return out.withColumn("total_seconds", rnd("total_seconds", 2))
+
+
+@query("agg_latency_p95", """
+SELECT event_type, value AS p95 FROM (SELECT event_type, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY event_type) AS n
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value)) WHERE rn = greatest(CAST(floor(0.95 * n) AS BIGINT) - 1, 0) + 1""")
+def _(t: Tables):
+    return reporting.latency_p95(t.events, ["event_type"], "value", 0.05)
+
+
+@query("agg_freshness", """
+SELECT user_id, greatest(round(epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(max(ts)), 3), 0.0) AS age_seconds FROM events GROUP BY 1""")
+def _(t: Tables):
+    out = reporting.freshness(t.events, ["user_id"], "ts", ts("2024-01-30 12:00:00"))
+    return out.withColumn("age_seconds", rnd("age_seconds", 3))
+
+
+@query("agg_batch_counts", "SELECT source, count(*) AS records, count(DISTINCT text) AS inserted FROM documents GROUP BY 1")
+def _(t: Tables):
+    docs = t.documents.select("source", F.sha2("text", 256).alias("content"))
+    return reporting.batch_counts(docs, ["source"], "content")
+
+
+# clusters and fundamentals ---------------------------------------------------------------------
+
+
+@query("agg_cluster_mean", with_ctes("""
+SELECT mode, round(avg(m), 9) AS sa, count(*) AS clusters FROM (SELECT mode, election_id, avg(sa) AS m FROM polls GROUP BY 1, 2) GROUP BY 1""", POLLS))
+def _(t: Tables):
+    out = metrics.clustered_average(t.polls.withColumn("sa", F.col("shares")[0]), ["mode"], "election_id", ["sa"])
+    return out.withColumn("sa", rnd("sa"))
+
+
+RESAMPLED = """
+numbered AS (SELECT {key}, v, row_number() OVER (PARTITION BY {key} ORDER BY {cluster}) - 1 AS slot, count(*) OVER (PARTITION BY {key}) AS n FROM clusters),
+picks AS (
+  SELECT {key}, rep, CAST('0x' || substr(md5(rep || ':' || slot), 1, 8) AS BIGINT) % n AS pick
+  FROM numbered CROSS JOIN range({resamples}) r(rep)),
+means AS (SELECT p.{key}, rep, avg(v) AS m FROM picks p JOIN numbered x ON x.{key} = p.{key} AND x.slot = p.pick GROUP BY 1, 2)"""
+
+
+@query("agg_bootstrap_ci", with_ctes("""
+SELECT mode, round(quantile_cont(m, 0.05), 9) AS ci_low, round(quantile_cont(m, 0.95), 9) AS ci_high FROM means GROUP BY 1""",
+    POLLS, "clusters AS (SELECT mode, election_id, avg(sa) AS v FROM polls GROUP BY 1, 2)",
+    RESAMPLED.format(key="mode", cluster="election_id", resamples=5000)))
+def _(t: Tables):
+    out = metrics.bootstrap_ci(t.polls.withColumn("sa", F.col("shares")[0]), ["mode"], "election_id", "sa", 5000)
+    return out.withColumns({"ci_low": rnd("ci_low"), "ci_high": rnd("ci_high")})
+
+
+@query("agg_paired_bootstrap", with_ctes("""
+SELECT mode, round(quantile_cont(m, 0.95), 9) AS upper, quantile_cont(m, 0.95) < 0 AS superior FROM means GROUP BY 1""",
+    POLLS, "clusters AS (SELECT mode, election_id, avg(sa - sr) AS v FROM polls GROUP BY 1, 2)",
+    RESAMPLED.format(key="mode", cluster="election_id", resamples=10000)))
+def _(t: Tables):
+    pairs = t.polls.withColumns({"sa": F.col("shares")[0], "sr": F.col("shares")[2]})
+    out = metrics.paired_superiority(pairs, ["mode"], "election_id", "sa", "sr", 10000)
+    return out.withColumn("upper", rnd("upper"))
+
+
+def fundamental_rows(t: Tables):
+    """Customers as past elections: two features, a share target, segment and nation labels."""
+    per_customer = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").cast("double").alias("orders"), F.avg(F.col("o_totalprice")).alias("price"),
+        F.max("o_orderdate").cast("date").alias("election_date"))
+    return t.customer.join(per_customer, "c_custkey").select(
+        F.col("c_custkey").alias("election_id"), F.col("c_mktsegment").alias("archetype"), F.col("c_nationkey").alias("jurisdiction_id"),
+        "orders", "price", "election_date", F.date_add("election_date", 14).cast("timestamp").alias("available_at"),
+        ((F.col("c_acctbal") + 1500.0) / 13000.0).alias("actual_share"))
+
+
+FUND = """
+fund AS (
+  SELECT c_custkey AS election_id, c_mktsegment AS archetype, c_nationkey AS jurisdiction_id, o.orders, o.price, o.day AS election_date,
+         (c_acctbal + 1500.0) / 13000.0 AS actual_share
+  FROM customer JOIN (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS orders, avg(o_totalprice) AS price, CAST(max(o_orderdate) AS DATE) AS day FROM orders GROUP BY 1) o
+    ON o_custkey = c_custkey),
+train AS (
+  SELECT *, ln(least(greatest(actual_share, 0.01), 0.99) / (1 - least(greatest(actual_share, 0.01), 0.99))) AS y
+  FROM fund WHERE election_date + 14 <= DATE '2001-06-30' AND election_date < DATE '2001-06-30'),
+scale AS (SELECT count(*) AS n, avg(orders) AS m1, stddev_pop(orders) AS s1, avg(price) AS m2, stddev_pop(price) AS s2 FROM train),
+z AS (SELECT train.*, (orders - m1) / s1 AS z1, (price - m2) / s2 AS z2 FROM train, scale)"""
+FUND_CUTOFF = "2001-06-30 00:00:00"
+FEATURES = ["orders", "price"]
+
+
+@query("agg_feature_standardise", with_ctes("SELECT election_id, round(z1, 6) AS orders, round(z2, 6) AS price FROM z", FUND))
+def _(t: Tables):
+    train = fundamentals.training_rows(fundamental_rows(t), ts(FUND_CUTOFF))
+    z = fundamentals.standardised(train, FEATURES, fundamentals.feature_scale(train, FEATURES))
+    return z.select("election_id", rnd("orders", 6).alias("orders"), rnd("price", 6).alias("price"))
+
+
+@query("agg_ridge_gram", with_ctes("""
+SELECT CAST(count(*) AS DOUBLE) AS g0_0, round(sum(z1), 4) + 0.0 AS g0_1, round(sum(z2), 4) + 0.0 AS g0_2, round(sum(z1 * z1), 4) AS g1_1, round(sum(z1 * z2), 4) AS g1_2,
+       round(sum(z2 * z2), 4) AS g2_2, round(sum(y), 4) AS b0, round(sum(z1 * y), 4) AS b1, round(sum(z2 * y), 4) AS b2 FROM z""", FUND))
+def _(t: Tables):
+    from fourclocks.functions.shares import logit
+
+    train = fundamentals.training_rows(fundamental_rows(t), ts(FUND_CUTOFF)).withColumn("y", logit(F.col("actual_share")))
+    z = fundamentals.standardised(train, FEATURES, fundamentals.feature_scale(train, FEATURES))
+    sums = fundamentals.gram_sums(z, FEATURES, "y")
+    return sums.select(*[(rnd(c, 4) + 0.0).alias(c) for c in sums.columns])
+
+
+@query("agg_pooled_offsets", with_ctes("""
+SELECT archetype, round((avg(y) - 0.1) * count(*) / (count(*) + 5.0), 9) AS "offset", count(*) AS n FROM train GROUP BY 1""", FUND))
+def _(t: Tables):
+    from fourclocks.functions.shares import logit
+
+    train = fundamentals.training_rows(fundamental_rows(t), ts(FUND_CUTOFF))
+    out = fundamentals.pooled_offsets(train.withColumn("r", logit(F.col("actual_share")) - 0.1), "archetype", "r")
+    return out.withColumn("offset", rnd("offset"))
+
+
+SOLVED = """
+gram AS (SELECT count(*) AS a, sum(z1) AS b, sum(z2) AS c, sum(z1 * z1) + 4 AS d, sum(z1 * z2) AS e, sum(z2 * z2) + 4 AS f,
+         sum(y) AS p, sum(z1 * y) AS q, sum(z2 * y) AS r FROM z),
+det AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS dt FROM gram),
+beta AS (SELECT (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / dt AS b0,
+                (a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / dt AS b1,
+                (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / dt AS b2 FROM det),
+res AS (SELECT z.*, y - (b0 + b1 * z1 + b2 * z2) AS r0 FROM z, beta),
+arch AS (SELECT archetype, avg(r0) * count(*) / (count(*) + 5) AS o1 FROM res GROUP BY 1),
+res1 AS (SELECT res.*, r0 - o1 AS r1 FROM res JOIN arch USING (archetype)),
+juri AS (SELECT jurisdiction_id, avg(r1) * count(*) / (count(*) + 5) AS o2 FROM res1 GROUP BY 1),
+spread AS (SELECT greatest(0.08, stddev_samp(r1 - o2)) AS sd FROM res1 JOIN juri USING (jurisdiction_id))"""
+
+
+@query("agg_ridge_fit", with_ctes("""
+SELECT archetype, round(o1, 6) AS archetype_offset, round(b0, 6) AS b0, round(b1, 6) AS b1, round(b2, 6) AS b2, round(sd, 6) AS residual_std, CAST(n AS INTEGER) AS training_count
+FROM arch, beta, spread, scale""", FUND, SOLVED))
+def _(t: Tables):
+    model = fundamentals.fit_ridge(fundamental_rows(t), FEATURES, ts(FUND_CUTOFF))
+    return model.archetype_offsets.select(
+        "archetype", rnd("archetype_offset", 6).alias("archetype_offset"),
+        *[rnd(F.lit(b), 6).alias(f"b{i}") for i, b in enumerate(model.coefficients)],
+        rnd(F.lit(model.residual_std), 6).alias("residual_std"), F.lit(model.training_count).alias("training_count"))
+
+
+@query("agg_ridge_predict", with_ctes("""
+SELECT election_id, round(1 / (1 + exp(-x)), 6) AS share, round(1 / (1 + exp(-(x - 1.645 * s))), 6) AS low, round(1 / (1 + exp(-(x + 1.645 * s))), 6) AS high,
+       round(s, 6) AS posterior_std, CAST(n AS INTEGER) AS training_count, o1 IS NULL AS unseen_archetype, o2 IS NULL AS unseen_jurisdiction
+FROM (SELECT election_id, n, o1, o2, b0 + b1 * (orders - m1) / s1 + b2 * (price - m2) / s2 + coalesce(o1, 0) + coalesce(o2, 0) AS x,
+             sd * (1 + CASE WHEN o1 IS NULL THEN 0.2 ELSE 0 END + CASE WHEN o2 IS NULL THEN 0.15 ELSE 0 END) AS s
+      FROM fund LEFT JOIN arch USING (archetype) LEFT JOIN juri USING (jurisdiction_id), beta, spread, scale)""", FUND, SOLVED))
+def _(t: Tables):
+    rows = fundamental_rows(t)
+    model = fundamentals.fit_ridge(rows, FEATURES, ts(FUND_CUTOFF))
+    out = fundamentals.predict_fundamentals(model, rows)
+    return out.select("election_id", *[rnd(c, 6).alias(c) for c in ("share", "low", "high", "posterior_std")], "training_count", "unseen_archetype", "unseen_jurisdiction")

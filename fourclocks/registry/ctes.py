@@ -59,19 +59,6 @@ votes AS (
 
 DRAWS = POLLS + """,
 long_draws AS (
-  SELECT poll_id AS run_id, election_id, scenario_id, seats_total, u.c AS contestant_id, u.i AS idx, u.s AS share,
-         sample_size / (line_count * 50.0) AS turnout, u.s / ((sa + sn) + sr) * seats_total AS quota
-  FROM (SELECT p.*, election_id + 10 AS seats_total,
-               unnest([{'c': 'A', 'i': 0, 's': sa}, {'c': 'N', 'i': 1, 's': sn}, {'c': 'R', 'i': 2, 's': sr}]) AS u
-        FROM polls p)),
-draws AS (
-  SELECT poll_id AS run_id, election_id, scenario_id, seats_total, contestant_id, idx, share,
-         sample_size / (line_count * 50.0) AS turnout, share / ((sa + sn) + sr) * seats_total AS quota
-  FROM (SELECT p.*, election_id + 10 AS seats_total,
-               unnest([{'c': 'A', 'i': 0, 's': sa}, {'c': 'N', 'i': 1, 's': sn}, {'c': 'R', 'i': 2, 's': sr}]) AS u,
-               u.c AS contestant_id, u.i AS idx, u.s AS share
-        FROM polls p)),
-draws AS (
   SELECT *, CAST(floor(quota) AS INTEGER)
            + CASE WHEN row_number() OVER (PARTITION BY run_id ORDER BY quota - floor(quota) DESC, idx)
                        <= seats_total - sum(floor(quota)) OVER (PARTITION BY run_id) THEN 1 ELSE 0 END AS seats,

@@ -126,9 +126,9 @@ def snapshots(t: Tables):
 
 
 @query("top_history", with_ctes("""
-SELECT snapshot_id, CAST(published_at AS VARCHAR) AS published_at, model_family FROM snapshots WHERE election_id = 7""", SNAPSHOTS))
+SELECT snapshot_id, CAST(published_at AS VARCHAR) AS published_at, election_id, model_family FROM snapshots""", SNAPSHOTS))
 def _(t: Tables):
-    return ranking.history(snapshots(t), 7).select("snapshot_id", day_text("published_at").alias("published_at"), "model_family")
+    return ranking.history(snapshots(t)).select("snapshot_id", "election_id", day_text("published_at").alias("published_at"), "model_family")
 
 
 @query("top_history_latest", with_ctes("""
