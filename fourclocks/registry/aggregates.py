@@ -202,8 +202,8 @@ EARLY = "2024-01-02 00:00:00"
 
 
 @query("agg_completeness", with_ctes(f"""
-SELECT jurisdiction_id, CAST(4 - len(list_filter(gaps, x -> x <> '')) + 0 AS INTEGER) AS present, 5 AS required, round((4 - len(list_filter(gaps, x -> x <> ''))) / 5.0, 9) AS completeness,
-       array_to_string(list_sort(list_append(list_filter(gaps, x -> x <> ''), 'returns')), ',') AS missing
+SELECT jurisdiction_id, CAST(4 - len(list_filter(gaps, lambda x: x <> '')) + 0 AS INTEGER) AS present, 5 AS required, round((4 - len(list_filter(gaps, lambda x: x <> ''))) / 5.0, 9) AS completeness,
+       array_to_string(list_sort(list_append(list_filter(gaps, lambda x: x <> ''), 'returns')), ',') AS missing
 FROM (SELECT jurisdiction_id, [CASE WHEN count(*) FILTER (metric IN ('click', 'view')) = 0 THEN 'engagement' ELSE '' END,
         CASE WHEN count(*) FILTER (metric = 'purchase') = 0 THEN 'conversion' ELSE '' END, CASE WHEN count(*) FILTER (metric = 'signup') = 0 THEN 'growth' ELSE '' END,
         CASE WHEN count(*) FILTER (metric = 'error') = 0 THEN 'faults' ELSE '' END] AS gaps
