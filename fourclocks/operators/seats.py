@@ -109,3 +109,15 @@ def argmax_first(df: DataFrame, keys: Sequence[str], value: str, index: str, pic
     return df.groupBy(*keys).agg(
         F.max_by(pick, F.struct(F.col(value), -F.col(index))).alias(pick), F.max(value).alias(value)
     )
+
+
+def project_seats(votes: DataFrame, by: Sequence[str], threshold: float, system: str = "system") -> DataFrame:
+    """Seats by each contest's declared system: threshold, the system's power, largest remainder."""
+    passing = passing_votes(by, threshold)
+    weight = (
+        F.when(F.col(system) == "fptp", F.pow("_pass", F.lit(3)))
+        .when(F.col(system) == "electoral_college", F.pow("_pass", F.lit(4)))
+        .otherwise(F.col("_pass"))
+    )
+    staged = votes.withColumn("_pass", passing).withColumn("_weight", weight)
+    return largest_remainder(staged, by, value="_weight").drop("_pass", "_weight")

@@ -59,5 +59,6 @@ def load() -> None:
         jobs,
         seats,
         sources,
+        streams,
         windows,
     )
