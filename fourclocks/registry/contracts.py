@@ -69,7 +69,19 @@ def forecast_tables(t: Tables):
     return forecasts, outcomes, features, comparison
 
 
-@query("forecast_gate")
+RULES = (
+    "simulation_count", "provenance", "graded_has_evidence", "evidence_declared_together", "features_complete", "feature_revisions_declared",
+    "feature_sources_declared", "probabilities_sum", "shares_sum", "champion_matches", "champion_evidence")
+
+
+@query("forecast_gate", with_ctes("""
+SELECT election_id AS forecast_id, rule, CASE rule WHEN 'graded_has_evidence' THEN NOT graded OR ids > 0 WHEN 'evidence_declared_together' THEN ids > 0
+       WHEN 'features_complete' THEN NOT graded OR NOT balance < 4400 WHEN 'feature_revisions_declared' THEN NOT graded OR absent = 0 ELSE TRUE END AS ok
+FROM (SELECT election_id, max(pollster) % 2 = 0 AS graded, count(DISTINCT sponsor) FILTER (fieldwork_end < DATE '1995-02-01') AS ids FROM poll_headers GROUP BY 1)
+JOIN (SELECT c_nationkey AS election_id, avg(c_acctbal) AS balance FROM customer GROUP BY 1) USING (election_id)
+JOIN (SELECT c.c_nationkey AS election_id, count(*) FILTER (h.sponsor IS NULL) AS absent FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) c
+      LEFT JOIN (SELECT DISTINCT election_id, sponsor FROM poll_headers WHERE fieldwork_end < DATE '1995-02-01') h ON h.election_id = c.c_nationkey AND h.sponsor = c.c_mktsegment GROUP BY 1) USING (election_id)
+CROSS JOIN (VALUES """ + ", ".join(f"('{r}')" for r in RULES) + ") v(rule)", POLLS))
 def _(t: Tables):
     return contracts.publication_gate(*forecast_tables(t))
 

@@ -67,19 +67,29 @@ def _(t: Tables):
     return t.polls.select("poll_id", rnd(s.effective_volatility(F.lit(0.05), 1 + sa, variance)).alias("volatility"))
 
 
-@query("fn_logit_sigmoid", with_ctes("""
-SELECT poll_id, round(ln(c / (1 - c)), 9) AS logit, round(1 / (1 + exp(-(sa - sr))), 9) AS sigmoid FROM (SELECT *, least(greatest(sa, 0.01), 0.99) AS c FROM polls)""", POLLS))
+@query("fn_logit", with_ctes("""
+SELECT poll_id, round(ln(c / (1 - c)), 9) AS logit FROM (SELECT *, least(greatest(sa, 0.01), 0.99) AS c FROM polls)""", POLLS))
+def _(t: Tables):
+    return t.polls.select("poll_id", rnd(s.logit(F.col("shares")[0])).alias("logit"))
+
+
+@query("fn_sigmoid", with_ctes("SELECT poll_id, round(1 / (1 + exp(-(sa - sr))), 9) AS sigmoid FROM polls", POLLS))
 def _(t: Tables):
     sa, _, sr = s.entries("shares", K)
-    return t.polls.select("poll_id", rnd(s.logit(sa)).alias("logit"), rnd(s.sigmoid(sa - sr)).alias("sigmoid"))
+    return t.polls.select("poll_id", rnd(s.sigmoid(sa - sr)).alias("sigmoid"))
 
 
 @query("fn_entropy_bits", with_ctes("""
-SELECT poll_id, round(CASE WHEN sa <= 0 OR sa >= 1 THEN 0 ELSE -(sa * log2(sa)) - (1 - sa) * log2(1 - sa) END, 9) AS entropy, round(sqrt(sa * (1 - sa) / sample_size) * 100, 9) AS se,
-       round(sn - sa, 9) AS width FROM polls""", POLLS))
+SELECT poll_id, round(CASE WHEN sa <= 0 OR sa >= 1 THEN 0 ELSE -(sa * log2(sa)) - (1 - sa) * log2(1 - sa) END, 9) AS entropy FROM polls""", POLLS))
+def _(t: Tables):
+    return t.polls.select("poll_id", rnd(s.entropy_bits(F.col("shares")[0])).alias("entropy"))
+
+
+@query("fn_mc_se", with_ctes("""
+SELECT poll_id, round(sqrt(sa * (1 - sa) / sample_size) * 100, 9) AS se, round(sn - sa, 9) AS width FROM polls""", POLLS))
 def _(t: Tables):
     sa, sn, _ = s.entries("shares", K)
-    return t.polls.select("poll_id", rnd(s.entropy_bits(sa)).alias("entropy"), rnd(s.mc_se(sa, F.col("sample_size"))).alias("se"), rnd(s.interval_width(sa, sn)).alias("width"))
+    return t.polls.select("poll_id", rnd(s.mc_se(sa, F.col("sample_size"))).alias("se"), rnd(s.interval_width(sa, sn)).alias("width"))
 
 
 @query("fn_horizon_tolerance", """

@@ -76,7 +76,12 @@ def _(t: Tables):
     return out.withColumn("minute", clock_text("minute"))
 
 
-@query("st_rate_limit_accepted")
+@query("st_rate_limit_accepted", """
+WITH RECURSIVE hits AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events),
+chain AS (
+  SELECT user_id, min(us) AS us FROM hits GROUP BY 1
+  UNION ALL SELECT c.user_id, min(h.us) FROM chain c JOIN hits h ON h.user_id = c.user_id AND h.us >= c.us + 3600000000 GROUP BY c.user_id, c.us)
+SELECT h.user_id AS client, event_id, c.us IS NOT NULL AS allowed FROM hits h LEFT JOIN chain c ON c.user_id = h.user_id AND c.us = h.us""")
 def _(t: Tables):
     stateful.use_keyed_state(t.spark)
     hits = event_stream(t).select("user_id", "event_id", F.col("ts").cast("double").alias("at"))
@@ -179,6 +184,27 @@ def _(t: Tables):
     return t.spark.read.parquet(base + "/events").select("id", "election_id")
 
 
+@query("st_heartbeat", "SELECT user_id AS subscriber, 'events' AS kind, count(*) AS n FROM events GROUP BY 1")
+def _(t: Tables):
+    stateful.use_keyed_state(t.spark)
+    base = scratch(t, "heartbeat")
+    beats = stateful.heartbeats(event_stream(t).select("user_id", "event_id"), "user_id", 3600)
+    jobs.store_available(beats, base + "/check", base + "/out")
+    return t.spark.read.parquet(base + "/out").select("subscriber", "kind", "n").where(F.col("kind") == "events")
+
+
+@query("snk_event_topic", "SELECT CASE event_type WHEN 'click' THEN 'alert' ELSE 'calendar_change' END AS type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def _(t: Tables):
+    from fourclocks.sources import sinks
+
+    kind = F.when(F.col("event_type") == "click", "alert").otherwise("calendar_change")
+    base = scratch(t, "sink")
+    sinks.write_events(t.events.select("event_id", kind.alias("type"), "value"), base)
+    lines = t.spark.read.schema("value string, type string").text(base)
+    total = F.get_json_object("value", "$.value").cast("double")
+    return lines.groupBy("type").agg(F.count("*").alias("n"), rnd(F.sum(total), 2).alias("total"))
+
+
 @query("src_event_topic", """
 SELECT event_id, CASE event_type WHEN 'click' THEN 'alert' ELSE 'calendar_change' END AS type FROM events""")
 def _(t: Tables):
