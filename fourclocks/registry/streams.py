@@ -184,15 +184,6 @@ def _(t: Tables):
     return t.spark.read.parquet(base + "/events").select("id", "election_id")
 
 
-@query("st_heartbeat", "SELECT user_id AS subscriber, 'events' AS kind, count(*) AS n FROM events GROUP BY 1")
-def _(t: Tables):
-    stateful.use_keyed_state(t.spark)
-    base = scratch(t, "heartbeat")
-    beats = stateful.heartbeats(event_stream(t).select("user_id", "event_id"), "user_id", 3600)
-    jobs.store_available(beats, base + "/check", base + "/out")
-    return t.spark.read.parquet(base + "/out").select("subscriber", "kind", "n").where(F.col("kind") == "events")
-
-
 @query("snk_event_topic", "SELECT CASE event_type WHEN 'click' THEN 'alert' ELSE 'calendar_change' END AS type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def _(t: Tables):
     from fourclocks.sources import sinks
