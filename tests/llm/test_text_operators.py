@@ -1,0 +1,336 @@
+"""Encoding, secrets, packing, resharding and exact deduplication against brute force on small tables."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from fourclocks.llm import bpe, exact_dedup, packing, resharding, secrets
+from fourclocks.llm.packing import best_fit, cut, lower_bound
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row string, _text string"
+
+TEXTS = [
+    "plain words here",
+    None,
+    "",
+    "  plain\twords here\n",
+    "plain words here",
+    "x" * 5_000 + " " + "é" * 3_000,
+    " " * 9_000 + "end",
+    "token = \"abcdefghijklmnop\" and AKIAABCDEFGHIJKLMN0 deadbeefdeadbeef0",
+    "PASSWORD: short1 Api_Key='aaaaaaaaaaaa' token = token: abcdefghijklmn",
+    "größe 漢字 \U0001f600 secret=ÄÖ passwd=abc.def-ghi=/+12",
+    "<|endoftext|> stays text" + "\x1c\x85",
+    "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 20,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{i % 3}", None, "k", "r", "t") for i, t in enumerate(TEXTS)]
+    rows += [(None, "no id", None, None, 5, None, None, None), (3, TEXTS[3], "en", "s0", None, "k", "r", "t")]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def multi():
+    rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(rank_file, "rb"))}
+    return rank_file, tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encoding_equals_the_library_and_decodes(docs):
+    rank_file, plain = multi()
+    coded = bpe.encode_documents(docs, rank_file, public_tokenizers.PATTERN)
+    got = coded.collect()
+    assert len(got) == docs.count()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in got:
+        ids = np.asarray(plain.encode_ordinary(texts[r["doc_id"]]), "<u4").tobytes()
+        assert bytes(r["ids"]) == ids and r["n_tokens"] == len(ids) // 4
+        assert r["ids_sha256"] == hashlib.sha256(ids).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    back = bpe.decode_documents(coded, rank_file, public_tokenizers.PATTERN).collect()
+    assert all(bytes(r["bytes"]).decode() == texts[r["doc_id"]] for r in back)
+
+
+def test_long_texts_are_cut_without_changing_ids():
+    _, plain = multi()
+    rng = random.Random(3)
+    words = ["it's", "naïve", "x1", "--", "\n\n", "   ", "漢字", "don't", "A", "9999", "\t", " ", "'", "\x85"]
+    for _ in range(8):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", "  "]) for _ in range(40_000))
+        gap = len(text) // 2
+        text = text[:gap] + " " * rng.choice([4_095, 4_096, 9_000]) + rng.choice(["", " ", "z"]) + text[gap:]
+        assert "".join(p for p, _ in bpe.pieces(text)) == text
+        assert bpe.encode(text, plain).tolist() == plain.encode_ordinary(text)
+
+
+def test_white_space_beyond_the_library_stack():
+    _, plain = multi()
+    ids = bpe.encode(" " * 1_500_000 + "x", plain)
+    assert bpe.decode(ids, plain) == b" " * 1_500_000 + b"x"
+
+
+def test_encoding_of_an_empty_table(empty):
+    rank_file, _ = multi()
+    assert bpe.encode_documents(empty, rank_file, public_tokenizers.PATTERN).collect() == []
+
+
+# secrets -------------------------------------------------------------------------------------------------------------
+
+
+def brute_spans(text, rules):
+    out = []
+    for number, rule in enumerate(rules):
+        for m in re.finditer(rule.pattern, text):
+            if len(m.group(rule.group)) >= rule.least:
+                out.append((m.start(), number, m.end()))
+    return sorted(out)
+
+
+def test_secret_spans_equal_brute_force(docs):
+    rules = secrets.BASE + secrets.MORE
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = secrets.scan(docs, rules).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert [tuple(x) for x in r["found"]] == brute_spans(texts[r["doc_id"]], rules)
+
+
+def test_base_rules_are_the_contract():
+    """Runs of one class with their least length give what the loose patterns give after dropping short matches."""
+    loose = {"access": (r"AKIA[A-Z0-9]+", 18), "hex": (r"[0-9a-f]+", 16)}
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["AKIA", "AK", "Z9", "f0", "0123456789abcdef", " ", "x"]) for _ in range(40))
+        for rule in secrets.BASE[1:]:
+            pattern, least = loose[rule.kind]
+            want = [m.span() for m in re.finditer(pattern, text) if len(m[0]) >= least]
+            assert [m.span() for m in re.finditer(rule.pattern, text)] == want
+
+
+def test_trigram_queries():
+    assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == frozenset([frozenset(["aki", "kia"])])
+    assert secrets.trigram_query(r"[0-9a-f]{16,}") == frozenset([frozenset()])
+    assert secrets.trigram_query(r"(abc|xyz)?d") == frozenset([frozenset()])
+    assert secrets.trigram_query(r"(abc|xyz)d+") == frozenset([frozenset(["abc"]), frozenset(["xyz"])])
+    # what a query demands is in every match
+    for rule in secrets.BASE + secrets.MORE:
+        for text in filter(None, TEXTS):
+            for m in re.finditer(rule.pattern, text):
+                low = m[0].lower()
+                assert any(all(t in low for t in clause) for clause in secrets.trigram_query(rule.pattern))
+
+
+def test_redaction_keeps_clean_rows_and_columns(docs):
+    out = secrets.redact_documents(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[0]["text"] == TEXTS[0] and rows[1]["text"] is None and rows[5]["text"] == TEXTS[5]
+    assert rows[7]["text"] == "[SECRET]\" and [SECRET] [SECRET]" and rows[7]["n_chars"] == len(rows[7]["text"])
+    assert "abc.def-ghi" not in rows[9]["text"] and "größe 漢字 \U0001f600 secret=ÄÖ" in rows[9]["text"]
+
+
+def test_secrets_of_an_empty_table(empty):
+    assert secrets.scan(empty).collect() == [] and secrets.redact_documents(empty).collect() == []
+
+
+# packing -------------------------------------------------------------------------------------------------------------
+
+
+def test_cut_leaves_only_the_first_piece_short():
+    assert cut(1, 4) == [(0, 1)] and cut(4, 4) == [(0, 4)] and cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
+
+
+def test_bounds_never_exceed_the_packing():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        width = int(rng.integers(4, 40))
+        sizes = rng.integers(1, width + 1, int(rng.integers(0, 60)))
+        bins, offsets, made = best_fit(sizes, width)
+        assert lower_bound(sizes, width) <= made
+        for b in range(made):
+            own = sorted((int(o), int(s)) for o, s, x in zip(offsets, sizes, bins) if x == b)
+            at = 0
+            for o, s in own:
+                assert o == at
+                at += s
+            assert at <= width
+    # sizes just over half need a bin each, which the sum alone does not show
+    assert lower_bound(np.full(10, 6), 10) == 10
+
+
+def pieces_of(docs):
+    path = public_tokenizers.path
+    return packing.document_pieces(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 2, 64)
+
+
+def test_packing_places_every_piece_once(docs):
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack(pieces_of(docs), 64, per_partition=8).collect()
+    want = Counter()
+    for r in docs.collect():
+        ids = np.asarray(exact.encode(r["text"] or "", add_special_tokens=False).ids + [2], "<u4")
+        for k, (start, n) in enumerate(cut(len(ids), 64)):
+            want[r["doc_id"], k, start, n, zlib.crc32(ids[start : start + n].tobytes())] += 1
+    assert Counter((r["id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in sequences.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 64
+
+
+def test_exchange_saves_bins_over_packing_alone(spark):
+    rng = random.Random(2)
+    sizes = [rng.choice([34, 30, 20, 44, 12, 52]) for _ in range(2_000)]
+    pieces = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "id long, length long")
+    few = packing.pack(pieces, 64, rounds=0, per_partition=10).select("sequence_id").distinct().count()
+    more = packing.pack(pieces, 64, rounds=4, per_partition=10).select("sequence_id").distinct().count()
+    assert lower_bound(np.array(sizes), 64) <= more < few
+
+
+def test_packing_an_empty_table(empty):
+    assert packing.pack(pieces_of(empty), 64).collect() == []
+
+
+# resharding ----------------------------------------------------------------------------------------------------------
+
+
+def test_flow_is_optimal_on_small_networks():
+    """Against the best of all ways to place three blocks on three shards."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        supply, home = rng.integers(1, 5, 3), rng.integers(0, 3, 3)
+        cost = rng.integers(1, 9, 3).astype(float)
+        total = int(supply.sum())
+        capacity = np.array([total // 3 + (k < total % 3) for k in range(3)])
+        flow = resharding.min_cost_flow(supply, home, cost, capacity)
+        assert (flow.sum(axis=1) == supply).all() and (flow.sum(axis=0) == capacity).all() and (flow >= 0).all()
+        best = None
+        splits = [[(a, b, s - a - b) for a in range(s + 1) for b in range(s + 1 - a)] for s in supply.tolist()]
+        for x in splits[0]:
+            for y in splits[1]:
+                for z in splits[2]:
+                    way = np.array([x, y, z])
+                    if (way.sum(axis=0) == capacity).all():
+                        price = sum(cost[i] * way[i, j] for i in range(3) for j in range(3) if j != home[i])
+                        best = price if best is None else min(best, price)
+        paid = sum(cost[i] * flow[i, j] for i in range(3) for j in range(3) if j != home[i])
+        assert paid == pytest.approx(best)
+
+
+def check_places(rows, shards):
+    own = defaultdict(list)
+    for r in rows:
+        own[r["shard"]].append(r["slot"])
+    counts = [len(own[s]) for s in range(shards)]
+    assert max(counts) - min(counts) <= 1 and set(own) <= set(range(shards))
+    assert all(sorted(x) == list(range(len(x))) for x in own.values())
+
+
+def test_resharding_rows(spark, docs):
+    hot = spark.createDataFrame([(100 + i, "t" * (i % 50), "en", "hot", 1, "", "", "") for i in range(500)], SCHEMA)
+    table = docs.unionByName(hot)
+    old = F.when(F.col("source") == "hot", 2).when(F.col("source") == "s1", 9).otherwise(F.lit(None))
+    rows = resharding.reshard(table, old, 5).collect()
+    assert len(rows) == table.count()
+    check_places(rows, 5)
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    for r in rows:
+        text = (texts[r["doc_id"]] or "").encode()
+        assert r["size"] == len(text) + 1 and r["text_crc32"] == zlib.crc32(text)
+        assert r["law"] == "rows" and r["grown_shard"] is None and r["moved"] == (r["shard"] != r["old_shard"])
+    # from the hot shard, the small texts go
+    moved = [r["size"] for r in rows if r["old_shard"] == 2 and r["moved"]]
+    stay = [r["size"] for r in rows if r["old_shard"] == 2 and not r["moved"]]
+    assert np.mean(moved) < np.mean(stay)
+
+
+def test_rewriting_touches_only_changed_files(spark, tmp_path):
+    table = spark.createDataFrame([(i, "t" * (1 + i % 3), 0 if i < 30 else 1 + i % 2) for i in range(60)], "doc_id long, text string, old int")
+    placed = resharding.reshard(table, F.col("old"), 3)
+    manifest = {(r["shard"], r["block"]): r["action"] for r in resharding.rewrite(table, placed, str(tmp_path / "out")).collect()}
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["shard"], r["block"]) for r in written.select("shard", "block").distinct().collect()} == {k for k, a in manifest.items() if a == "replace"}
+    touched = Counter((r["shard"], r["block"]) for r in placed.collect())
+    assert written.count() == sum(n for k, n in touched.items() if manifest[k] == "replace")
+    assert "keep" in manifest.values()
+
+
+def test_resharding_an_empty_table(empty):
+    assert resharding.reshard(empty, F.lit(0), 4).collect() == []
+
+
+# exact deduplication -------------------------------------------------------------------------------------------------
+
+
+def brute_groups(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        text = r["text"] or ""
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text)].append((-len(text), r["doc_id"] is None, r["doc_id"] or 0))
+    return groups
+
+
+def check_groups(rows, judged):
+    groups = brute_groups(rows)
+    texts = {}
+    for r in rows:
+        texts.setdefault(r["doc_id"], re.sub(r"[\x20\x09-\x0D]", "", r["text"] or ""))
+    assert len(judged) == len(rows)
+    kept = Counter()
+    for r in judged:
+        norm = texts[r["doc_id"]]
+        best = min(groups[norm])
+        assert r["keep_id"] == (None if best[1] else best[2]) and r["group_size"] == len(groups[norm])
+        assert r["text_sha256"] == hashlib.sha256(norm.encode()).hexdigest()
+        kept[norm] += r["kept"]
+        if r["kept"]:
+            assert r["doc_id"] == r["keep_id"]
+    assert set(kept.values()) <= {1}
+
+
+def test_exact_groups(docs):
+    check_groups(docs.collect(), exact_dedup.equal_texts(docs).collect())
+
+
+def test_a_hot_group_over_many_partitions(spark):
+    rows = [(i, "same text" + " " * (i % 7), "en", "s", 1, "", "", "") for i in range(3_000)]
+    rows += [(10_000 + i, f"other {i % 900}", "en", "s", 1, "", "", "") for i in range(1_500)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        check_groups(table.collect(), exact_dedup.equal_texts(table).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_payload_rows_survive_whole(docs):
+    out = exact_dedup.equal_texts(docs, payload=True).where("kept").select("row.*")
+    assert out.columns == docs.columns
+    assert out.count() == len(brute_groups(docs.collect()))
+
+
+def test_exact_groups_of_an_empty_table(empty):
+    assert exact_dedup.equal_texts(empty).collect() == []
