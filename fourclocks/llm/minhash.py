@@ -2,6 +2,8 @@
 
 Shingle sets are hashed once into bins; empty bins borrow from a filled bin that only the bin's number chooses. Bands of
 bins are buckets. A bucket gives star-shaped candidates: pivots against members of another component, never all pairs.
+A pair is only emitted if its parity sketches allow the wanted similarity, which loses nothing: flipping bit ``h mod m``
+for every shingle makes the bits in which two sketches differ a lower bound of the symmetric difference.
 Links are confirmed on full sets. A bucket stays open until its members are one component or each was a pivot, so a
 bucket of any size is settled exactly, and pairs that a component already joins are never tested.
 """
@@ -23,6 +25,8 @@ from fourclocks.llm.common import components, keep, whole_text
 
 _U = np.uint64
 _CACHE = 300_000
+_RANK = 40  # bits of the random rank by which pivots are chosen
+_MORE = 16  # times as many pivots of a bucket in each round
 _words: dict[bytes, int] = {}
 
 
@@ -91,8 +95,15 @@ def bands(values: np.ndarray, count: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: as many bits as the power of two at or above its size (64 at least), in signed longs."""
+    bits = max(64, 1 << max(0, len(values) - 1).bit_length())
+    odd = np.bincount((values & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def signatures(docs: DataFrame, size: int, count: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest, bands) of every row; ``digest`` names the set."""
+    """(id, n, digest, bands, sketch) of every row; ``digest`` names the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,11 +114,12 @@ def signatures(docs: DataFrame, size: int, count: int, rows: int, id_col: str =
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([bands(s, count, rows) for s in sets], pa.list_(pa.int64())),
+                    pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "digest", "bands"],
+                names=["id", "n", "digest", "bands", "sketch"],
             )
 
-    out = T.StructType([docs.select(F.col(id_col).alias("id")).schema[0], *T._parse_datatype_string("n long, digest binary, bands array<long>")])
+    out = T.StructType([docs.select(F.col(id_col).alias("id")).schema[0], *T._parse_datatype_string("n long, digest binary, bands array<long>, sketch array<long>")])
     return docs.select(F.col(id_col), whole_text(text_col).alias("_text")).mapInArrow(run, out)
 
 
@@ -124,11 +136,13 @@ def near_duplicates(
     """
     signed = keep(signatures(docs, size, count, rows, id_col, text_col), "signatures")
     some = signed.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = some.groupBy("digest").agg(F.min_by(F.struct("id", "n", "bands"), "id").alias("r")).select("digest", "r.*")
+    classes = some.groupBy("digest").agg(F.min_by(F.struct("id", "n", "bands", "sketch"), "id").alias("r")).select("digest", "r.*")
     classes = keep(classes, "classes")
     spread = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = keep(spread.join(shared, "bucket"), "members")
+    rank = F.pmod(F.xxhash64("id"), F.lit(1 << _RANK))
+    shared = spread.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c"), F.min(rank).alias("least"))
+    shared = shared.where("lo < hi").select("bucket", "c", "least")
+    members = keep(spread.join(shared, "bucket").join(classes.select("id", "sketch"), "id"), "members")
     ids = members.select("id").distinct()
     holders = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("_text")).join(ids, "id", "left_semi")
     sets = keep(_sets(holders, size), "sets")
@@ -158,37 +172,48 @@ def _sets(holders: DataFrame, size: int) -> DataFrame:
     return holders.mapInArrow(run, T.StructType([kind, *T._parse_datatype_string("set array<long>")]))
 
 
+def _apart(a: str, b: str):
+    """Bits in which two sketches differ; the longer one is folded to the other's length."""
+
+    def folded(x: str, other: str):
+        half = (F.size(x) / 2).cast("int")
+        short = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), short).otherwise(F.col(x))
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: p.bitwiseXOR(q)), F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
 def _settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) that join everything the buckets can join."""
     spark = members.sparkSession
     kind = members.schema["id"].dataType.simpleString()
     links = spark.createDataFrame([], f"a {kind}, b {kind}")
-    tested, open_rows, want = links, members, 1
-    rank = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    rank = F.pmod(F.xxhash64("id"), F.lit(1 << _RANK))
+
+    def pivot(want: int):
+        """The member of least rank and, by rank, about ``want`` members of the bucket."""
+        return (rank == F.col("least")) | (rank / F.lit(float(1 << _RANK)) * F.col("c") < want) if want > 1 else rank == F.col("least")
+
+    want, before, rows = 1, 0, members.withColumn("label", F.col("id"))
     while True:
-        labelled = open_rows
-        if want > 1:
-            reached = components(links)
-            labelled = open_rows.join(reached, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
-        else:
-            labelled = open_rows.withColumn("label", F.col("id"))
-        labelled = labelled.withColumn("rank", rank)
-        stats = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), F.min("rank").alias("least"))
-        stats = stats.where("lo < hi").select("bucket", "c", "least")
-        labelled = keep(labelled.join(stats, "bucket"), "open")
-        if labelled.isEmpty():
-            return links
-        pivot = (F.col("rank") == F.col("least")) | (F.col("rank") * F.col("c") < F.lit(want) * F.lit(1 << 40)) if want > 1 else F.col("rank") == F.col("least")
-        p = labelled.where(pivot).select("bucket", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-        m = labelled.select("bucket", "id", "n", "label")
+        p = rows.where(pivot(want) & ~pivot(before) if before else pivot(want))
+        p = p.select("bucket", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("sketch").alias("ps"))
+        m = rows.where(~pivot(before)) if before else rows
+        m = m.select("bucket", "id", "n", "label", "sketch", pivot(want).alias("also"))
+        total = F.col("n") + F.col("pn")
         fits = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
-        pairs = p.join(m, "bucket").where((F.col("pl") != F.col("label")) & fits).select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        pairs = keep(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        near = _apart("ps", "sketch") * (100 + percent) <= total * (100 - percent)
+        once = ~F.col("also") | (F.col("p") < F.col("id"))
+        pairs = p.join(m, "bucket").where((F.col("pl") != F.col("label")) & once & fits & near)
+        pairs = pairs.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
         left, right = (sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
         common = F.size(F.array_intersect("sa", "sb"))
-        judged = pairs.join(left, "a").join(right, "b").select("a", "b", (common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).alias("ok"))
-        links = keep(links.unionByName(judged.where("ok").select("a", "b")).distinct(), "links")
-        tested = keep(tested.unionByName(pairs), "tested")
-        # a bucket whose members were all pivots is settled
-        open_rows = labelled.where(F.col("c") > want).select("bucket", "id", "n")
-        want *= 4
+        linked = pairs.join(left, "a").join(right, "b").where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent)
+        links = keep(links.unionByName(linked.select("a", "b")), "links")
+        # a bucket whose members were all pivots is settled, and one whose members are one component
+        rows = members.where(F.col("c") > want).join(components(links), "id", "left").withColumn("label", F.coalesce("component", "id"))
+        open_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        rows = keep(rows.join(open_, "bucket").select("bucket", "id", "n", "c", "least", "sketch", "label"), "open")
+        if rows.isEmpty():
+            return links
+        before, want = want, want * _MORE
