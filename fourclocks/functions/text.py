@@ -21,8 +21,14 @@ OFFSET_PATTERN = r"(Z|z|[+-]\d{2}:?\d{2})$"
 
 
 def content_hash(*parts: Column) -> Column:
-    """sha256 over explicitly ordered parts; a null part hashes as \\N."""
-    texts = [F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts]
+    """sha256 over explicitly ordered parts; a null part hashes as \\N.
+
+    Backslashes and bars inside a part are escaped, so neither a part's end nor a null can be imitated by its text.
+    """
+    texts = [
+        F.coalesce(F.replace(F.replace(p.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+        for p in parts
+    ]
     return F.sha2(F.concat_ws("|", *texts), 256)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fourclocks.session import cut_lineage
+
 CLOCKS = ("observed_at", "available_at", "retrieved_at")
 
 
@@ -187,33 +189,52 @@ def merge_catalog(left: DataFrame, right: DataFrame, key: str, fallbacks: Sequen
     )
 
 
-def unit_levels(units: DataFrame, max_depth: int = 6) -> DataFrame:
-    """Depth of each unit below its root; status tells missing parents and cycles apart.
+def unit_levels(units: DataFrame) -> DataFrame:
+    """Depth of each unit below its root, however deep; status tells why there is none.
 
-    Climbs one ancestor per step with a fixed number of joins. Only units that are somebody's
-    parent take part on the lookup side, so the leaves never build a hash table.
+    ``ok``, ``missing_parent`` (the unit's own parent is unknown), ``missing_ancestor`` (one further up is) or
+    ``unreachable`` (no root, as the chain is a cycle).
+    Pointer doubling over the units that are somebody's parent: every round doubles the climbed steps, so a chain of n
+    units takes log2(n) joins. A pointer that has not ended after as many steps as there are such units is on a cycle.
     """
     base = units.select("unit_id", "parent_id")
     parents = base.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("unit_id")).distinct()
-    inner = base.join(parents, "unit_id", "left_semi").select(
-        F.col("unit_id").alias("_at"), F.col("parent_id").alias("_up"), F.lit(True).alias("_hit")
-    )
-    climb = units.withColumn("_at", F.col("parent_id")).withColumn("depth", F.lit(0)).withColumn(
-        "status", F.lit("ok")
+    inner = base.join(parents, "unit_id", "left_semi").select("unit_id", F.col("parent_id").alias("_up"))
+    known = inner.select(F.col("unit_id").alias("_up"), F.lit(True).alias("_hit"))
+    jumps = cut_lineage(
+        inner.join(known, "_up", "left").select(
+            "unit_id",
+            F.when(F.col("_hit"), F.col("_up")).alias("_up"),
+            F.when(F.col("_hit"), 1).otherwise(0).cast("long").alias("_steps"),
+            (F.col("_up").isNotNull() & F.col("_hit").isNull()).alias("_lost"),
+        )
     )
-    for step in range(1, max_depth + 1):
-        lost = F.col("_at").isNotNull() & F.col("_hit").isNull()
-        climb = climb.join(inner, "_at", "left").select(
-            *units.columns,
-            F.col("_up").alias("_at"),
-            F.when(F.col("_hit"), F.lit(step)).otherwise(F.col("depth")).alias("depth"),
-            F.when(lost, "missing_parent" if step == 1 else "unreachable").otherwise(F.col("status")).alias("status"),
+    most = jumps.count()
+    while True:
+        far = jumps.agg(F.max(F.when(F.col("_up").isNotNull(), F.col("_steps")))).first()[0]
+        if far is None or far > most:
+            break
+        onward = jumps.select(
+            F.col("unit_id").alias("_up"), F.col("_up").alias("_to"), F.col("_steps").alias("_more"), F.col("_lost").alias("_gone")
         )
-    open_end = F.col("_at").isNotNull()
-    status = F.when(open_end, "unreachable").otherwise(F.col("status"))
-    return climb.withColumn("status", status).withColumn(
-        "depth", F.when(status == "ok", F.col("depth")).otherwise(F.lit(-1))
-    ).drop("_at")
+        jumps = cut_lineage(
+            jumps.join(onward, "_up", "left").select(
+                "unit_id",
+                F.col("_to").alias("_up"),
+                (F.col("_steps") + F.coalesce("_more", F.lit(0))).alias("_steps"),
+                (F.col("_lost") | F.coalesce("_gone", F.lit(False))).alias("_lost"),
+            )
+        )
+    found = jumps.select(F.col("unit_id").alias("parent_id"), F.col("_up").isNotNull().alias("_round"), "_steps", "_lost")
+    status = (
+        F.when(F.col("parent_id").isNull(), "ok")
+        .when(F.col("_steps").isNull(), "missing_parent")
+        .when(F.col("_round"), "unreachable")
+        .when(F.col("_lost"), "missing_ancestor")
+        .otherwise("ok")
+    )
+    depth = F.when(F.col("parent_id").isNull(), 0).when(status == "ok", F.col("_steps") + 1).otherwise(-1)
+    return units.join(found, "parent_id", "left").select(*units.columns, depth.cast("int").alias("depth"), status.alias("status"))
 
 
 def interval_join(points: DataFrame, windows: DataFrame, keys: Sequence[str], day: str) -> DataFrame:

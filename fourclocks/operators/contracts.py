@@ -182,15 +182,23 @@ def source_rule_violations(packs: DataFrame, adapters: DataFrame, citations: Dat
 
 
 def apply_source_policy(rows: DataFrame, registry: DataFrame, license_column: str = "license") -> DataFrame:
-    """Decision per row: accepted, unknown_source, unapproved or license_mismatch."""
-    joined = rows.join(registry.select("source_id", "approved", "license_id"), "source_id", "left")
-    return joined.withColumn(
+    """Decision per row: accepted, duplicate_source, unknown_source, unapproved or license_mismatch.
+
+    A source that the registry lists more than once decides nothing; its rows stay single.
+    """
+    entries = registry.groupBy("source_id").agg(
+        F.max("approved").alias("approved"), F.max("license_id").alias("license_id"), (F.count("*") > 1).alias("_twice")
+    )
+    joined = rows.join(entries, "source_id", "left")
+    decided = joined.withColumn(
         "decision",
-        F.when(F.col("approved").isNull(), "unknown_source")
+        F.when(F.col("_twice"), "duplicate_source")
+        .when(F.col("approved").isNull(), "unknown_source")
         .when(~F.col("approved"), "unapproved")
         .when(~F.col(license_column).eqNullSafe(F.col("license_id")), "license_mismatch")
         .otherwise("accepted"),
     )
+    return decided.drop("_twice")
 
 
 def active_feeds(feeds: DataFrame, now: Column, keys: Sequence[str]) -> DataFrame:

@@ -42,8 +42,12 @@ def number_revisions(
 
 
 def append_rows(existing: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows an idempotent append would insert: unseen natural keys, one row per key."""
-    return rows.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    """The rows an idempotent append would insert: unseen natural keys, the smallest row of each (as JSON text)."""
+    rest = F.struct(*[c for c in rows.columns if c not in keys])
+    single = rows.groupBy(*keys).agg(F.min_by(rest, F.to_json(rest)).alias("_row")) if len(rows.columns) > len(keys) else rows.distinct()
+    if "_row" in single.columns:
+        single = single.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in rows.columns])
+    return single.join(existing.select(*keys), list(keys), "left_anti")
 
 
 def resolve_ids(new: DataFrame, existing: DataFrame, keys: Sequence[str], id_column: str) -> DataFrame:

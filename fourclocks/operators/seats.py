@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 def largest_remainder(
     votes: DataFrame, by: Sequence[str], value: str = "votes", seats: str = "seats", index: str = "party_index"
 ) -> DataFrame:
-    """floor(quota) plus one seat each by descending remainder, ties by index."""
+    """floor(quota) plus one seat each by descending remainder, ties by index; a contest without votes gives no seats."""
     group = Window.partitionBy(*by)
-    quota = F.col(value) / F.sum(value).over(group) * F.col(seats)
+    total = F.sum(value).over(group)
+    quota = F.when(total > 0, F.col(value) / F.when(total > 0, total) * F.col(seats)).otherwise(F.lit(0.0))
     staged = votes.withColumn("_quota", quota).withColumn("_floor", F.floor("_quota").cast("long"))
     staged = staged.withColumn("_left", F.col(seats) - F.sum("_floor").over(group)).withColumn(
         "_rank",
         F.row_number().over(group.orderBy(F.desc(F.col("_quota") - F.col("_floor")), F.col(index))),
     )
-    extra = F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)
+    voted = F.sum("_quota").over(group) > 0
+    extra = F.when((F.col("_rank") <= F.col("_left")) & voted, 1).otherwise(0)
     return staged.withColumn("allocated", (F.col("_floor") + extra).cast("long")).drop(
         "_quota", "_floor", "_left", "_rank"
     )
@@ -42,7 +44,8 @@ def divisor_seats(
         raise ValueError(f"unsupported divisor method: {method}")
     n = F.col("_n")
     divisor = n if method == "dhondt" else 2 * n - 1
-    quotients = votes.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col(seats).cast("int")))).withColumn(
+    places = F.sequence(F.lit(1), F.greatest(F.col(seats).cast("int"), F.lit(1)))  # without seats nothing ranks in
+    quotients = votes.withColumn("_n", F.explode(places)).withColumn(
         "_quotient", F.col(value) / divisor.cast("double")
     )
     w = Window.partitionBy(*by).orderBy(F.desc("_quotient"), F.col(index), F.col("_n"))
@@ -57,7 +60,8 @@ def passing_votes(by: Sequence[str], threshold: float, value: str = "votes", pow
     if not 0 <= threshold < 1:
         raise ValueError("threshold must be in [0, 1)")
     group = Window.partitionBy(*by)
-    share = F.col(value) / F.sum(value).over(group)
+    total = F.sum(value).over(group)
+    share = F.when(total > 0, F.col(value) / F.when(total > 0, total)).otherwise(F.lit(0.0))
     none_pass = F.max(F.when(share >= threshold, 1).otherwise(0)).over(group) == 0
     kept = F.when((share >= threshold) | none_pass, share).otherwise(F.lit(0.0))
     return F.pow(kept, F.lit(power)) if power > 1 else kept
@@ -101,7 +105,7 @@ def runoff(shares: DataFrame, by: Sequence[str], value: str = "share", index: st
     staged = ranked.withColumn("_final", final).withColumn("_pair", F.sum("_final").over(group))
     everyone = F.sum(value).over(group)
     return staged.withColumn("_all", everyone).withColumn(
-        "runoff_share", F.col("_final") + (F.col("_all") - F.col("_pair")) * F.col("_final") / F.col("_pair")
+        "runoff_share", F.col("_final") + (F.col("_all") - F.col("_pair")) * F.coalesce(F.try_divide("_final", "_pair"), F.lit(0.0))
     ).withColumn("finalist", F.col("_rank") <= 2).drop("_rank", "_final", "_pair", "_all")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fourclocks.bindings import CONTESTANTS, EVENT_CUTOFF, POLL_CUTOFF, Tables, ts
@@ -256,7 +257,23 @@ def _(t: Tables):
         .unionByName(t.nation.select(tag("N", "n_nationkey").alias("unit_id"), tag("R", "n_regionkey").alias("parent_id")))
         .unionByName(t.customer.select(tag("C", "c_custkey").alias("unit_id"), tag("N", "c_nationkey").alias("parent_id")))
     )
-    return asof.unit_levels(units, max_depth=3).withColumn("parent_id", F.coalesce("parent_id", F.lit("")))
+    return asof.unit_levels(units).withColumn("parent_id", F.coalesce("parent_id", F.lit("")))
+
+
+@query("join_hierarchy_chain", """
+SELECT o_orderkey AS unit_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS depth, 'ok' AS status
+FROM orders WHERE o_custkey % 7 <> 3
+UNION ALL SELECT o_orderkey, -1, CASE WHEN row_number() OVER w = 1 THEN 'missing_parent' ELSE 'missing_ancestor' END FROM orders WHERE o_custkey % 14 = 3
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+UNION ALL SELECT o_orderkey, -1, 'unreachable' FROM orders WHERE o_custkey % 14 = 10""")
+def _(t: Tables):
+    """A customer's orders as a chain by date; of some customers the first one points nowhere or back to the last."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")  # bounded by a customer's orders
+    back = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    last = F.first("o_orderkey").over(back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.when(F.col("o_custkey") % 14 == 3, F.lit(-1)).when(F.col("o_custkey") % 14 == 10, last)
+    units = t.orders.select(F.col("o_orderkey").alias("unit_id"), F.coalesce(F.lag("o_orderkey").over(order), first).alias("parent_id"))
+    return asof.unit_levels(units).select("unit_id", "depth", "status")
 
 
 @query("join_scope_semi", """

@@ -45,13 +45,16 @@ def _(t: Tables):
 
 @query("src_results_feed", """
 SELECT event_id, CAST(user_id AS VARCHAR) AS unit_id, event_type AS contestant_id, CAST(floor(value) AS BIGINT) AS votes,
-       json_extract_string(props, '$.k')::INTEGER / 100.0 AS reporting_fraction, strftime(ts, '%Y-%m-%d %H:%M:%S') AS reported_at, value > 100 AS is_certified
-FROM events""")
+       json_extract_string(props, '$.k')::INTEGER / 100.0 AS reporting_fraction, strftime(ts, '%Y-%m-%d %H:%M:%S') AS reported_at, value > 100 AS is_certified,
+       event_id % 11 <> 3 AS valid
+FROM events WHERE event_id % 11 <> 5
+UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, NULL, FALSE, FALSE FROM events WHERE event_id % 11 = 5""")
 def _(t: Tables):
     stamp = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
     fraction = F.get_json_object("props", "$.k").cast("int") / 100.0
     certified = F.when(F.col("value") > 100, "certified").otherwise("no")
     votes = F.floor("value").cast("string")
+    stamp = F.when(F.col("event_id") % 11 == 3, F.regexp_replace(stamp, "[+]00:00$", "")).otherwise(stamp)  # no offset: refused
     row = F.struct(
         F.col("user_id").cast("string").alias("reporting_unit_id"), F.col("event_type").alias("contestant_id"),
         votes.alias("votes"), fraction.alias("reporting_fraction"), stamp.alias("reported_at"), certified.alias("is_certified"))
@@ -60,11 +63,15 @@ def _(t: Tables):
         F.lit("reporting_unit_id,contestant_id,votes,reporting_fraction,reported_at,is_certified\n"),
         F.concat_ws(",", F.col("user_id").cast("string"), F.concat(F.lit('"'), F.col("event_type"), F.lit('"')), votes, fraction.cast("string"), stamp, certified))
     kind = F.col("event_type")
+    broken = F.when(kind.isin("click", "view"), F.lit('{"results":[{"reporting_unit_id"')).otherwise("reporting_unit_id,votes\n")
     raw = t.events.select(
         "event_id",
-        F.when(kind == "click", listed).when(kind == "view", F.concat(F.lit('{"results":'), listed, F.lit("}"))).otherwise(lines).alias("content"),
+        F.when(F.col("event_id") % 11 == 5, broken).when(kind == "click", listed).when(kind == "view", F.concat(F.lit('{"results":'), listed, F.lit("}"))).otherwise(lines).alias("content"),
         F.when(kind.isin("click", "view"), "json").otherwise("csv").alias("format"))
-    return tabular.read_results(raw).where("valid").drop("valid").withColumn("reported_at", clock_text("reported_at"))
+    stated = tabular.read_results(raw).join(t.events.select("event_id", F.col("ts").cast("timestamp").alias("_ts")), "event_id")
+    # a stamp without an offset is no time; show the local text there, so that the row can be recognised
+    shown = F.when(F.col("unit_id").isNotNull(), clock_text(F.coalesce("reported_at", "_ts")))
+    return stated.withColumn("reported_at", shown).drop("_ts")
 
 
 PARTIES = {"1": "alpha", "2": "nova"}
@@ -73,7 +80,7 @@ PARTIES = {"1": "alpha", "2": "nova"}
 @query("src_poll_feed", with_ctes("""
 SELECT poll_id, 'P' || poll_id AS poll_key, 'I' || pollster AS pollster, CASE mode WHEN 'live_phone' THEN 'live_phone' WHEN 'online' THEN 'online' ELSE 'mixed' END AS mode,
        CAST(fieldwork_end AS VARCHAR) AS fieldwork_end, strftime(timezone('Europe/Berlin', CAST(fieldwork_end + 1 AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS available_at,
-       CAST(sample_size AS INTEGER) AS sample_size, round(qa / sample_size, 9) AS alpha, round(qn / sample_size, 9) AS nova, round(qr / sample_size, 9) AS other
+       CAST(sample_size AS INTEGER) AS sample_size, round(qa / sample_size, 9) AS alpha, round(qn / sample_size, 9) AS nova, round(qr / sample_size, 9) AS other, poll_id % 13 <> 4 AS valid
 FROM polls JOIN poll_amounts USING (poll_id, sample_size)""", POLLS))
 def _(t: Tables):
     polls = t.poll_headers.join(t.poll_amounts, "poll_id")
@@ -86,17 +93,17 @@ def _(t: Tables):
         text["pollster"].alias("Institute_ID"), F.lit("1").alias("Tasker_ID"), F.lit("1").alias("Method_ID"),
         F.create_map(F.lit("1"), F.col("qA"), F.lit("2"), F.col("qN"), F.lit("9"), F.col("qR")).alias("Results"))
     database = F.struct(
-        F.struct(F.struct(F.lit("ODC-ODbL").alias("Shortcut"), F.lit("").alias("Link")).alias("License"), F.lit("2024-01-01T00:00:00+01:00").alias("Last_Update")).alias("Database"),
+        F.struct(F.struct(F.when(F.col("poll_id") % 13 == 4, "LINK-ONLY").otherwise("ODC-ODbL").alias("Shortcut"), F.lit("").alias("Link")).alias("License"), F.lit("2024-01-01T00:00:00+01:00").alias("Last_Update")).alias("Database"),
         F.create_map(text["pollster"], F.struct(F.concat(F.lit("I"), text["pollster"]).alias("Name"))).alias("Institutes"),
         F.create_map(F.lit("1"), F.struct(F.col("sponsor").alias("Name"))).alias("Taskers"),
         F.create_map(F.lit("1"), F.struct(method.alias("Name"))).alias("Methods"),
         F.create_map(F.concat(F.lit("P"), text["poll_id"]), survey).alias("Surveys"))
     raw = polls.select("poll_id", F.to_json(database).alias("content"))
-    out = documents.parse_poll_feed(raw, PARTIES, "other", "0", "1990-01-01").where("valid")
+    out = documents.parse_poll_feed(raw, PARTIES, "other", "0", "1990-01-01")
     share = {c: rnd(F.coalesce(F.try_element_at("shares", F.lit(c)), F.lit(0.0))).alias(c) for c in ("alpha", "nova", "other")}
     return out.select(
         "poll_id", "poll_key", "pollster", "mode", day_text("fieldwork_end").alias("fieldwork_end"),
-        clock_text("available_at").alias("available_at"), "sample_size", *share.values())
+        clock_text("available_at").alias("available_at"), "sample_size", *share.values(), "valid")
 
 
 @query("src_poll_feed_mapping", with_ctes("""
@@ -189,16 +196,21 @@ def _(t: Tables):
 
 
 @query("src_markup_poll_tables", with_ctes("""
-SELECT poll_id, 2 AS rows_used, round(a, 9) AS first_share, round(1 - a, 9) AS second_share
-FROM (SELECT poll_id, round(100 * sa) / 100.0 AS a FROM polls WHERE round(100 * sa) BETWEEN 26 AND 74)""", POLLS))
+SELECT poll_id, CAST(ra + rb AS INTEGER) AS rows_used, round((ra * (a - 1) + rb * (a + 1)) / (100.0 * (ra + rb)), 9) AS first_share,
+       round(1 - (ra * (a - 1) + rb * (a + 1)) / (100.0 * (ra + rb)), 9) AS second_share
+FROM (SELECT poll_id, a, CASE WHEN a BETWEEN 26 AND 76 THEN 1 ELSE 0 END AS ra, CASE WHEN a BETWEEN 24 AND 74 THEN 1 ELSE 0 END AS rb
+      FROM (SELECT poll_id, CAST(round(100 * sa) AS INTEGER) AS a FROM polls WHERE poll_id % 9 <> 2)) WHERE ra + rb > 0""", POLLS))
 def _(t: Tables):
     a = F.round(F.col("shares")[0] * 100).cast("int")
     low, high, b, c = ((a - 1).cast("string"), (a + 1).cast("string"), (101 - a).cast("string"), (99 - a).cast("string"))
     text = F.concat(
-        F.lit("Intro {{x}}\n{| class=\"wikitable\"\n! Date !! colspan=2 | Two-party-preferred\n|-\n! Firm !! ALP !! L/NP\n|-\n! 3 May 1998\n| Poll A || "),
+        F.lit("Intro {{x}}\n{| class=\"wikitable\"\n! Date !! colspan=2 | Two-party vote\n|-\n! Firm !! "),
+        F.when(F.col("poll_id") % 9 == 2, "Others").otherwise("Alpha"), F.lit(" !! Nova\n|-\n! 3 May 1998\n| Poll A || "),
         low, F.lit("% || '''"), b, F.lit("%'''\n|-\n! 1 May 1998\n| Poll B || "), high, F.lit("<ref>n 12</ref> || style | "), c,
         F.lit("\n|-\n! 1 April 1998\n| Gap || 12 || n/a\n|}\nEnd"))
-    out = markup.extract_poll_rows(t.polls.where(a.between(26, 74)).select("poll_id", text.alias("content")))
+    rules = markup.TableRules("(?i)two-party vote", r"\bAlpha\b", r"\bNova\b")
+    # shares outside 25 to 75 and tables that do not name both parties are the operator's to refuse
+    out = markup.extract_poll_rows(t.polls.select("poll_id", text.alias("content")), rules)
     return out.withColumns({"first_share": rnd("first_share"), "second_share": rnd("second_share")})
 
 

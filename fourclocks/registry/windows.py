@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from fourclocks.bindings import EVENT_CUTOFF, Tables, ts
@@ -9,6 +12,8 @@ from fourclocks.operators import asof, ranking, revisions
 from fourclocks.operators.segments import running_totals, time_segment, trailing_count
 from fourclocks.registry import clock_text, day_text, query, rnd, with_ctes
 from fourclocks.registry.ctes import FEED, OBS, RUNS
+from fourclocks.session import shared_folder
+from fourclocks.sources import sinks
 
 KEYS = ["unit_id", "contestant_id"]
 ORDER = ["reported_at", "event_id"]
@@ -188,10 +193,16 @@ def _(t: Tables):
 
 
 @query("snk_append_idempotent", with_ctes(f"""
-SELECT jurisdiction_id, metric, revision, min(revision_id) AS revision_id FROM observations
+SELECT jurisdiction_id, metric, revision, min(revision_id) AS revision_id, CAST(0 AS INTEGER) AS inserted_again FROM observations
 GROUP BY 1, 2, 3 HAVING min(available_at) > TIMESTAMP '{EVENT_CUTOFF}'""", OBS))
 def _(t: Tables):
     keys = ["jurisdiction_id", "metric", "revision"]
     stored = asof.asof_filter(t.observations, ts(EVENT_CUTOFF), ["available_at"])
     fresh = t.observations.groupBy(*keys).agg(F.min("revision_id").alias("revision_id"))
-    return revisions.append_rows(stored, fresh, keys)
+    folder = os.path.join(shared_folder(t.spark), "appended", uuid.uuid4().hex)
+    known = stored.select(*keys, "revision_id")
+    sinks.append_new(folder, known, keys)
+    sinks.append_new(folder, fresh, keys)
+    again = sinks.append_new(folder, fresh, keys)  # a second run inserts nothing
+    table = t.spark.read.schema(fresh.schema).parquet(folder)
+    return table.join(known.select(*keys), keys, "left_anti").withColumn("inserted_again", F.lit(again))

@@ -31,16 +31,18 @@ def parse_poll_feed(
     """Polls of nested databases with mapped, normalised shares (contestant -> share).
 
     Names are looked up in the maps of the same object, and party results regroup inside the row,
-    so parsing needs no shuffle. ``valid`` feeds the confidence gate.
+    so parsing needs no shuffle. An object is parsed once: the generator that unpacks it keeps the optimizer from
+    repeating the parse in filters. ``valid`` feeds the confidence gate; polls under another licence, with a date that
+    does not parse, and objects without surveys stay as rows that are not valid.
     """
-    db = raw.withColumn("_db", F.from_json(F.col("content").cast("string"), POLL_DATABASE))
-    db = db.where(F.col("_db.Database.License.Shortcut") == licence)
-    polls = db.select(
-        *[c for c in raw.columns if c != "content"], "_db", F.explode("_db.Surveys").alias("_id", "_s")
-    ).where(F.col("_s.Parliament_ID") == parliament_id)
+    own = [c for c in raw.columns if c != "content"]
+    db = raw.select(*own, F.explode(F.array(F.from_json(F.col("content").cast("string"), POLL_DATABASE))).alias("_db"))
+    polls = db.select(*own, "_db", F.explode_outer("_db.Surveys").alias("_id", "_s")).where(
+        F.col("_s.Parliament_ID").isNull() | (F.col("_s.Parliament_ID") == parliament_id)
+    )
     day = F.col("_s.Date").try_cast("date")
     if earliest is not None:
-        polls = polls.where(day >= F.lit(earliest).cast("date"))
+        polls = polls.where(F.coalesce(day >= F.lit(earliest).cast("date"), F.lit(True)))
     targets = sorted({*mapping.values(), unmapped})
     lookup = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     entries = F.map_entries("_s.Results")
@@ -52,10 +54,10 @@ def parse_poll_feed(
     def name(field, identifier):
         return F.try_element_at(F.col(f"_db.{field}"), F.col(f"_s.{identifier}"))["Name"]
 
-    staged = polls.withColumn("_held", F.array(*[F.struct(F.lit(t).alias("key"), held(t).alias("value")) for t in targets]))
+    sums = F.array(*[F.struct(F.lit(t).alias("key"), held(t).alias("value")) for t in targets])
+    staged = polls.select(*own, "_db", "_id", "_s", F.explode(F.array(sums)).alias("_held"))
     staged = staged.withColumn("_total", F.aggregate("_held", F.lit(0.0), lambda a, e: a + e["value"]))
-    kept = F.filter("_held", lambda e: e["value"] > 0)
-    shares = F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"] / F.col("_total"))))
+    shares = F.map_from_entries(F.transform("_held", lambda e: F.struct(e["key"], F.try_divide(e["value"], F.col("_total")))))
     clocks = day_vintage(day)
     out = staged.select(
         *[c for c in raw.columns if c != "content"],
@@ -69,12 +71,13 @@ def parse_poll_feed(
         clocks["available_at"].alias("available_at"),
         F.col("_s.Surveyed_Persons").try_cast("int").alias("sample_size"),
         F.when(F.col("_total") > 0, shares).alias("shares"),
+        F.col("_db.Database.License.Shortcut").eqNullSafe(F.lit(licence)).alias("_licensed"),
     )
     needed = ["pollster", "sponsor", "fieldwork_start", "fieldwork_end", "available_at", "sample_size", "shares"]
-    valid = F.lit(True)
+    valid = F.col("_licensed")
     for column in needed:
         valid = valid & F.col(column).isNotNull()
-    return out.withColumn("valid", valid)
+    return out.withColumn("valid", valid).drop("_licensed")
 
 
 INDICATOR_ROWS = (

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from fourclocks.functions.text import bool_text, period_end, tz_timestamp
 
-# A comma outside quotes.
-CSV_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# One record (a quoted field may hold line breaks) and one field after its comma; possessive, so time is linear.
+CSV_RECORD = r'(?:[^"\n]++|"(?:[^"]++|"")*+"?+)++'
+CSV_FIELD = r',("(?:[^"]++|"")*+"|[^,]*+)'
 RECORD = "map<string,string>"
 
 
@@ -33,33 +34,39 @@ def json_records(content: Column, list_field: str) -> Column:
 
 
 def _csv_fields(line: Column) -> Column:
-    """Fields of one CSV line; quoted fields may hold commas and doubled quotes."""
+    """Fields of one CSV record; quoted fields may hold commas, line breaks and doubled quotes."""
 
     def unquote(field):
         inner = F.substring(field, F.lit(2), F.length(field) - 2)
         return F.when(field.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(field)
 
-    return F.transform(F.split(line, CSV_COMMA), unquote)
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CSV_FIELD), F.lit(1)), unquote)
 
 
 def csv_records(df: DataFrame, content: str, name: str = "record") -> DataFrame:
-    """One map per data line of CSV text with a header; short lines leave their last fields out."""
-    lines = F.filter(F.split(F.col(content), "\n"), lambda line: F.trim(line) != "")
+    """One map per data record of CSV text with a header; short records leave their last fields out.
+
+    Of equal header names the last one holds. Content without a data record stays as one row with a null map.
+    """
+    lines = F.filter(F.regexp_extract_all(F.col(content), F.lit(CSV_RECORD), F.lit(0)), lambda line: F.trim(line) != "")
     rows = F.transform(lines, _csv_fields)
     header, body = F.col("_rows")[0], F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0)))
 
     def record(row):
-        width = F.least(F.size(header), F.size(row))
-        return F.map_from_arrays(F.slice(header, F.lit(1), width), F.slice(row, F.lit(1), width))
+        cells = F.transform(F.slice(header, F.lit(1), F.least(F.size(header), F.size(row))), lambda key, i: F.struct(key.alias("key"), row[i].alias("value"), i.alias("at")))
+        names = cells["key"]
+        return F.map_from_entries(
+            F.transform(F.filter(cells, lambda c: F.array_position(F.reverse(names), c["key"]) == F.size(names) - c["at"]), lambda c: F.struct(c["key"], c["value"]))
+        )
 
-    return df.withColumn("_rows", rows).withColumn(name, F.explode(F.transform(body, record))).drop("_rows")
+    return df.withColumn("_rows", rows).withColumn(name, F.explode_outer(F.transform(body, record))).drop("_rows")
 
 
 def records(raw: DataFrame, list_field: str = "results") -> DataFrame:
-    """``record`` maps of raw objects whose ``format`` column says json or csv."""
+    """``record`` maps of raw objects whose ``format`` column says json or csv; an unreadable object keeps one null record."""
     body = raw.withColumn("content", clean(F.col("content")))
     from_json = body.where(F.col("format") == "json").withColumn(
-        "record", F.explode(json_records(F.col("content"), list_field))
+        "record", F.explode_outer(json_records(F.col("content"), list_field))
     )
     return from_json.unionByName(csv_records(body.where(F.col("format") == "csv"), "content"))
 

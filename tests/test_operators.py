@@ -69,6 +69,67 @@ def test_quantiles_equal_brute_force_under_skew(spark):
 
 def test_unit_levels_tells_missing_parents_and_cycles(spark):
     rows = [("r", None), ("a", "r"), ("b", "a"), ("x", "gone"), ("c1", "c2"), ("c2", "c1")]
-    out = asof.unit_levels(spark.createDataFrame(rows, "unit_id string, parent_id string"), 4).collect()
+    out = asof.unit_levels(spark.createDataFrame(rows, "unit_id string, parent_id string")).collect()
     got = {r.unit_id: (r.depth, r.status) for r in out}
     assert got["b"] == (2, "ok") and got["x"] == (-1, "missing_parent") and got["c1"] == (-1, "unreachable")
+
+
+# tables that can fail ------------------------------------------------------------------------------------------------
+
+
+def test_levels_have_no_depth_limit(spark):
+    from fourclocks.operators.asof import unit_levels
+
+    rows = [(str(i), str(i - 1) if i else None) for i in range(40)]
+    rows += [("a", "b"), ("b", "a"), ("tail", "a"), ("lost", "nobody"), ("below", "lost")]
+    got = {r["unit_id"]: (r["depth"], r["status"]) for r in unit_levels(spark.createDataFrame(rows, "unit_id string, parent_id string")).collect()}
+    assert all(got[str(i)] == (i, "ok") for i in range(40))
+    assert got["a"] == got["b"] == got["tail"] == (-1, "unreachable")
+    assert got["lost"] == (-1, "missing_parent") and got["below"] == (-1, "missing_ancestor")
+
+
+def test_csv_of_real_shapes(spark):
+    from fourclocks.sources.tabular import csv_records
+
+    text = 'a,b,a,,\n1,"x, ""y""\nz",3,4,5\n,,\n7\n'
+    rows = [r["record"] for r in csv_records(spark.createDataFrame([(text,), ("a,b\n",), ("",)], "content string"), "content").collect()]
+    assert rows[0] == {"a": "3", "b": 'x, "y"\nz', "": "5"}
+    assert rows[1] == {"a": "", "b": ""} and rows[2] == {"a": "7"}
+    assert rows[3] is None and rows[4] is None
+
+
+def test_unreadable_objects_stay_visible(spark):
+    from fourclocks.sources.tabular import read_results
+
+    raw = spark.createDataFrame([(1, '{"results":[{"x"', "json"), (2, "", "csv")], "id int, content string, format string")
+    assert [(r["id"], r["valid"]) for r in read_results(raw).orderBy("id").collect()] == [(1, False), (2, False)]
+
+
+def test_contests_without_votes_or_seats(spark):
+    from fourclocks.operators.seats import divisor_seats, largest_remainder
+
+    rows = [("x", 0, 0.0, 3), ("x", 1, 0.0, 3), ("y", 0, 60.0, 0), ("y", 1, 40.0, 0), ("z", 0, 60.0, 3), ("z", 1, 40.0, 3)]
+    votes = spark.createDataFrame(rows, "contest string, party_index int, votes double, seats int")
+    want = {("z", 0): 2, ("z", 1): 1}
+    largest = {(r["contest"], r["party_index"]): r["allocated"] for r in largest_remainder(votes, ["contest"]).collect()}
+    assert largest == {(c, i): want.get((c, i), 0) for c, i, _, _ in rows}
+    divided = {(r["contest"], r["party_index"]): r["allocated"] for r in divisor_seats(votes, ["contest"]).collect()}
+    assert divided["y", 0] == divided["y", 1] == 0 and divided["z", 0] == 2
+
+
+def test_hash_parts_do_not_run_together(spark):
+    from pyspark.sql import functions as F
+
+    from fourclocks.functions.text import content_hash
+
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a\\", "b|c"), (None, "c"), ("\\N", "c")], "x string, y string")
+    assert rows.select(content_hash(F.col("x"), F.col("y")).alias("h")).distinct().count() == 5
+
+
+def test_a_source_listed_twice_decides_nothing(spark):
+    from fourclocks.operators.contracts import apply_source_policy
+
+    registry = spark.createDataFrame([("s", True, "L"), ("s", False, "L"), ("t", True, "L")], "source_id string, approved boolean, license_id string")
+    rows = spark.createDataFrame([(1, "s", "L"), (2, "t", "L"), (3, "u", "L")], "id int, source_id string, license string")
+    got = {r["id"]: r["decision"] for r in apply_source_policy(rows, registry).collect()}
+    assert got == {1: "duplicate_source", 2: "accepted", 3: "unknown_source"}
