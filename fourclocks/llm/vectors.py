@@ -27,7 +27,8 @@ from fourclocks.llm.common import components, keep
 class Search:
     """Parameters. ``shard``: nodes of a shard; ``overlap``: shards of a node; ``degree``, ``pool``: kept and weighed
     neighbours; ``alpha``: pruning slack; ``width``: nodes that a search expands at least; ``slack``: how far below the
-    threshold a search still expands; ``sample``: vectors for fitting centres; ``audit``: audited queries."""
+    threshold a search still expands; ``sample``: vectors for fitting centres; ``chunk``: nodes dealt to centres together;
+    ``audit``: audited queries."""
 
     shard: int = 1200
     overlap: int = 3
@@ -37,6 +38,7 @@ class Search:
     width: int = 24
     slack: float = 0.03
     sample: int = 8192
+    chunk: int = 1024
     audit: int = 128
     target: float = 0.98
 
@@ -91,34 +93,26 @@ def shards(of: DataFrame, search: Search) -> DataFrame:
 
         def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("id").head(search.sample)
-            x = unit(frame["vector"].tolist())
-            count = int(min(512, max(2, math.ceil(1.6 * search.overlap * int(frame["n"].iloc[0]) / search.shard)), len(x)))
-            return pd.DataFrame({"shard": [key[0]], "centres": [pa_list(centres(x, count))]})
-
-        fitted = large.where(take).select("shard", "id", "vector", "n").groupBy("shard").applyInPandas(fit, "shard string, centres array<array<double>>")
-        fitted = keep(fitted, "centres")
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, np.ndarray] = {}
-            for batch in batches:
-                names, ids, vectors = (batch.column(c).to_pylist() for c in ("shard", "id", "vector"))
-                lists = batch.column("centres")
-                placed: tuple[list, list, list] = ([], [], [])
-                for i, (name, key, vector) in enumerate(zip(names, ids, vectors)):
-                    if name not in known:
-                        known[name] = np.asarray(lists[i].as_py())
-                    near = known[name] @ unit([vector])[0]
-                    # the first split overlaps; later ones cut dense regions, where neighbours share more than one centre
-                    for c in np.argsort(-near, kind="stable")[: search.overlap]:
-                        for column, value in zip(placed, (f"{name}.{c}", key, vector)):
-                            column.append(value)
-                schema = batch.schema
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(placed[0], pa.string()), pa.array(placed[1], schema.field("id").type), pa.array(placed[2], schema.field("vector").type)],
-                    names=["shard", "id", "vector"],
-                )
-
-        rows = keep(large.join(fitted, "shard").select("shard", "id", "vector", "centres").mapInArrow(assign, out), "assigned")
+            x, n = unit(frame["vector"].tolist()), int(frame["n"].iloc[0])
+            count = int(min(512, max(2, math.ceil(1.6 * search.overlap * n / search.shard)), len(x)))
+            return pd.DataFrame({"shard": [key[0]], "n": [n], "centres": [pa_list(centres(x, count))]})
+
+        fitted = large.where(take).select("shard", "id", "vector", "n").groupBy("shard").applyInPandas(fit, "shard string, n long, centres array<array<double>>")
+
+        def assign(frame: pd.DataFrame, fit_of: pd.DataFrame) -> pd.DataFrame:
+            if frame.empty or fit_of.empty:
+                return pd.DataFrame({"shard": [], "id": [], "vector": []})
+            x, stars = unit(frame["vector"].tolist()), np.asarray(fit_of["centres"].iloc[0].tolist())
+            near = np.argsort(-(x @ stars.T), axis=1, kind="stable")[:, : search.overlap]
+            rows = np.repeat(np.arange(len(frame)), near.shape[1])
+            names = frame["shard"].iloc[0] + "." + pd.Series(near.ravel()).astype(str)
+            return pd.DataFrame({"shard": names, "id": frame["id"].to_numpy()[rows], "vector": frame["vector"].to_numpy()[rows]})
+
+        # a chunk meets the centres of its shard once, and no shard is one task
+        chunks = F.ceil(F.col("n") / search.chunk).cast("int")
+        members = large.select("shard", "id", "vector", F.pmod(F.xxhash64("id", F.lit(-1 - level)), chunks).cast("int").alias("chunk"))
+        stars = fitted.select("shard", "centres", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        rows = keep(members.groupBy("shard", "chunk").cogroup(stars.groupBy("shard", "chunk")).applyInPandas(assign, out), "assigned")
     return done
 
 
