@@ -2,8 +2,9 @@
 
 Documents become pieces of at most ``width`` tokens. Full pieces are sequences of their own; the others are dealt over
 partitions and packed best-fit decreasing. Dual feasible functions give a lower bound on the bins that a partition's
-pieces need; where the packing meets it, the partition is certified and left alone. Partitions with a gap exchange the
-documents of their unfilled bins and pack them again, as long as the total falls.
+pieces need; where the packing meets it, the partition is certified. Partitions with a gap exchange the documents of
+their unfilled bins and pack them again, as long as the total falls. Then the bound of all pieces together decides: while
+it shows a gap, the unfilled bins of certified partitions are exchanged as well.
 """
 
 from __future__ import annotations
@@ -125,9 +126,11 @@ def lower_bound(sizes: np.ndarray, width: int) -> int:
     Sizes are summed as a histogram, so the work is bounded by width squared: (a) identity, (b) drop sizes below k and
     round sizes above width - k up to a whole bin, (c) floor((m + 1) * size / width) with exact fits kept, for small m.
     """
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=width + 1).astype(np.int64)
+    return counted_bound(np.bincount(sizes, minlength=width + 1).astype(np.int64), width) if len(sizes) else 0
+
+
+def counted_bound(count: np.ndarray, width: int) -> int:
+    """The same of a histogram: ``count[s]`` pieces of size s, 0 to ``width``."""
     size = np.arange(width + 1, dtype=np.int64)
     best = -(-int((count * size).sum()) // width)
     above = np.cumsum(count[::-1])[::-1]  # pieces of at least so many tokens
@@ -147,55 +150,50 @@ def pack(pieces: DataFrame, width: int, rounds: int = 3, per_partition: int = 20
     """Add sequence_id and offset to pieces (any columns, with ``length`` between 1 and ``width``).
 
     A partition packs about ``per_partition`` pieces; their keys are hashes, so no document, source or group is hot.
-    Each round repacks the pieces of unfilled bins in partitions with a gap, dealt anew over fewer partitions, and is
-    accepted only where bins are saved. Sequence numbers are gapless within a partition and unique over all.
+    Each round deals the pieces of unfilled bins anew over fewer partitions, first of those with a gap, then of all while
+    the joint bound is not met, and is accepted only where bins are saved. Sequence numbers are unique over all.
     Ties and repeated rows get places of their own; an empty table gives an empty result.
     """
-    spark = pieces.sparkSession
     full = F.col("length") == width
     base = keep(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     todo = base.where(~full).select("_row", "length")
-    count = todo.count()
-    schema = "_row long, length long, part int, bin long, offset long, used long, gap long"
-
-    def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "_row"], ascending=[False, True], ignore_index=True)
-        sizes = frame["length"].to_numpy(np.int64)
-        bins, offsets, made = best_fit(sizes, width)
-        used = np.bincount(bins, sizes, minlength=made).astype(np.int64)
-        return pd.DataFrame(
-            {"_row": frame["_row"], "length": sizes, "part": np.int32(key[0]), "bin": bins, "offset": offsets, "used": used[bins], "gap": np.int64(made - lower_bound(sizes, width))}
-        )
-
-    def dealt(rows: DataFrame, parts: int, turn: int) -> DataFrame:
+    sizes = np.zeros(width + 1, np.int64)
+    for r in todo.groupBy("length").count().collect():  # at most ``width`` rows
+        sizes[r["length"]] = r["count"]
+    joint = counted_bound(sizes, width)
+    schema = "_row long, length long, turn int, part int, bin long, offset long, used long, gap long"
+
+    def dealt(rows: DataFrame, count: int, turn: int) -> DataFrame:
+        parts = max(1, -(-count // (per_partition * 2**turn)))
+
+        def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["length", "_row"], ascending=[False, True], ignore_index=True)
+            own = frame["length"].to_numpy(np.int64)
+            bins, offsets, made = best_fit(own, width)
+            used = np.bincount(bins, own, minlength=made).astype(np.int64)
+            places = {"_row": frame["_row"], "length": own, "turn": np.int32(turn), "part": np.int32(key[0]), "bin": bins, "offset": offsets}
+            return pd.DataFrame({**places, "used": used[bins], "gap": np.int64(made - lower_bound(own, width))})
+
         salted = rows.select("_row", "length", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(parts)).cast("int").alias("part"))
-        return salted.repartition(max(parts, 1), "part").groupBy("part").applyInPandas(fill, schema)
+        return keep(salted.repartition(parts, "part").groupBy("part").applyInPandas(fill, schema), "packed")
 
     def bins_of(rows: DataFrame) -> int:
-        return rows.select("part", "bin").distinct().count()
-
-    settled: list[DataFrame] = []
-    turn, open_rows = 0, keep(dealt(todo, max(1, -(-count // per_partition)), 0), "packed")
-    while turn < rounds:
-        loose = (F.col("gap") > 0) & (F.col("used") < width)
-        settled.append(open_rows.where(~loose).withColumn("turn", F.lit(turn)))
-        again = open_rows.where(loose)
-        n, before = again.count(), bins_of(again)
-        turn += 1
-        if not n:
-            open_rows = None
+        return rows.where(F.col("offset") == 0).count()
+
+    placed, turn, together = dealt(todo, int(sizes.sum()), 0), 0, False
+    while turn < rounds and bins_of(placed) > joint:
+        loose = F.col("used") < width
+        loose = loose if together else loose & (F.col("gap") > 0)
+        again = placed.where(loose)
+        n = again.count()
+        retry = dealt(again, n, turn + 1) if n else None
+        turn += n > 0
+        if n and bins_of(retry) < bins_of(again):
+            placed = placed.where(~loose).unionByName(retry)
+        elif together:
             break
-        retry = keep(dealt(again, max(1, -(-n // (per_partition * 2**turn))), turn), "packed")
-        if bins_of(retry) >= before:
-            settled.append(again.withColumn("turn", F.lit(turn - 1)))
-            open_rows = None
-            break
-        open_rows = retry
-    if open_rows is not None:
-        settled.append(open_rows.withColumn("turn", F.lit(turn)))
-    placed = settled[0]
-    for more in settled[1:]:
-        placed = placed.unionByName(more)
+        else:
+            together = True
     # sequence numbers: turn and partition above, bin below; full pieces take the negative numbers
     number = F.shiftleft(F.col("turn").cast("long"), 58) + F.shiftleft(F.col("part").cast("long"), 28) + F.col("bin")
     placed = placed.select("_row", number.alias("sequence_id"), F.col("offset").cast("long").alias("offset"))

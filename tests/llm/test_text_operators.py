@@ -200,7 +200,6 @@ def test_packing_places_every_piece_once(docs):
         assert at <= 64
 
 
-@pytest.mark.xfail(reason="open: partitions that are certified one by one do not exchange, so small ones save nothing")
 def test_exchange_saves_bins_over_packing_alone(spark):
     rng = random.Random(2)
     sizes = [rng.choice([34, 30, 20, 44, 12, 52]) for _ in range(2_000)]
