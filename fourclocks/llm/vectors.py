@@ -204,7 +204,7 @@ def find_pairs(of: DataFrame, threshold: float, search: Search) -> DataFrame:
         source, target = np.repeat(np.arange(len(ids)), kept.shape[1])[kept.ravel() >= 0], kept.ravel()[kept.ravel() >= 0]
         both = pd.DataFrame({"id": np.r_[source, target], "to": np.r_[target, source]})  # edges lead both ways
         lists = both.groupby("id")["to"].apply(lambda t: ids[np.unique(t)].tolist())
-        return pd.DataFrame({"id": ids[lists.index.to_numpy()], "near": lists.to_list()})
+        return pd.DataFrame({"id": ids[lists.index.to_numpy(np.int64)], "near": pd.Series(lists.to_list(), dtype=object)})  # a lone node has no row
 
     adjacency = sharded.groupBy("shard").applyInPandas(build, f"id {kind}, near array<{kind}>")
     united = keep(adjacency.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
