@@ -27,7 +27,8 @@ from fourclocks.llm.common import components, keep
 class Search:
     """Parameters. ``shard``: nodes of a shard; ``overlap``: shards of a node; ``degree``, ``pool``: kept and weighed
     neighbours; ``alpha``: pruning slack; ``width``: nodes that a search expands at least; ``slack``: how far below the
-    threshold a search still expands; ``sample``: vectors for fitting centres; ``audit``: audited queries."""
+    threshold a search still expands; ``sample``: vectors for fitting centres; ``chunk``: nodes dealt to centres together;
+    ``audit``: audited queries."""
 
     shard: int = 1200
     overlap: int = 3
@@ -37,6 +38,7 @@ class Search:
     width: int = 24
     slack: float = 0.03
     sample: int = 8192
+    chunk: int = 4096
     audit: int = 128
     target: float = 0.98
 
@@ -69,13 +71,15 @@ def centres(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
 
 
 def shards(of: DataFrame, search: Search) -> DataFrame:
-    """(shard, id, vector): every node in its ``overlap`` nearest shards of each split, shards at most about ``search.shard``.
+    """(shard, id, vector): every node in ``overlap`` shards of about ``search.shard`` nodes at most, near its vector.
 
-    A shard that is still too large is split by centres of its own bounded sample; vectors of other lengths never meet.
+    A shard that is too large is split by centres of its own bounded sample. The first split makes ``overlap`` copies of
+    a node; a later one looks at the children of all its large shards together and keeps as many of the nearest as it
+    had large shards, so the copies do not multiply with the levels. Vectors of other lengths never meet. Directions that
+    no centre tells apart stay together after six levels.
     """
     kind = of.schema["id"].dataType.simpleString()
     element = of.schema["vector"].dataType.simpleString()
-    out = f"shard string, id {kind}, vector {element}"
     done, rows = None, of.select(F.concat(F.lit("d"), F.size("vector").cast("string")).alias("shard"), "id", "vector")
     for level in range(6):
         sizes = rows.groupBy("shard").agg(F.count("*").alias("n"))
@@ -88,37 +92,45 @@ def shards(of: DataFrame, search: Search) -> DataFrame:
             break
         # fit: at most ``search.sample`` vectors of a shard, drawn by id hash
         take = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) * F.col("n").cast("double") <= F.lit(float((search.sample // 2) << 30))
+        copies = 1.6 * (search.overlap if level == 0 else 1)
 
         def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("id").head(search.sample)
-            x = unit(frame["vector"].tolist())
-            count = int(min(512, max(2, math.ceil(1.6 * search.overlap * int(frame["n"].iloc[0]) / search.shard)), len(x)))
-            return pd.DataFrame({"shard": [key[0]], "centres": [pa_list(centres(x, count))]})
+            x, n = unit(frame["vector"].tolist()), int(frame["n"].iloc[0])
+            count = int(min(512, max(2, math.ceil(copies * n / search.shard)), len(x)))
+            return pd.DataFrame({"shard": [key[0]], "n": [n], "centres": [pa_list(centres(x, count))]})
 
-        fitted = large.where(take).select("shard", "id", "vector", "n").groupBy("shard").applyInPandas(fit, "shard string, centres array<array<double>>")
+        fitted = large.where(take).select("shard", "id", "vector", "n").groupBy("shard").applyInPandas(fit, "shard string, n long, centres array<array<double>>")
         fitted = keep(fitted, "centres")
 
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, np.ndarray] = {}
-            for batch in batches:
-                names, ids, vectors = (batch.column(c).to_pylist() for c in ("shard", "id", "vector"))
-                lists = batch.column("centres")
-                placed: tuple[list, list, list] = ([], [], [])
-                for i, (name, key, vector) in enumerate(zip(names, ids, vectors)):
-                    if name not in known:
-                        known[name] = np.asarray(lists[i].as_py())
-                    near = known[name] @ unit([vector])[0]
-                    # the first split overlaps; later ones cut dense regions, where neighbours share more than one centre
-                    for c in np.argsort(-near, kind="stable")[: search.overlap]:
-                        for column, value in zip(placed, (f"{name}.{c}", key, vector)):
-                            column.append(value)
-                schema = batch.schema
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(placed[0], pa.string()), pa.array(placed[1], schema.field("id").type), pa.array(placed[2], schema.field("vector").type)],
-                    names=["shard", "id", "vector"],
-                )
-
-        rows = keep(large.join(fitted, "shard").select("shard", "id", "vector", "centres").mapInArrow(assign, out), "assigned")
+        def assign(frame: pd.DataFrame, fit_of: pd.DataFrame) -> pd.DataFrame:
+            if frame.empty:
+                return pd.DataFrame({"parent": [], "shard": [], "near": [], "id": [], "vector": []})
+            near = unit(frame["vector"].tolist()) @ np.stack([np.stack(c) for c in fit_of["centres"]])[0].T
+            best = np.argsort(-near, axis=1, kind="stable")[:, : search.overlap]
+            at, parent = np.repeat(np.arange(len(frame)), best.shape[1]), frame["shard"].iloc[0]
+            return pd.DataFrame(
+                {
+                    "parent": parent,
+                    "shard": [f"{parent}.{c}" for c in best.ravel()],
+                    "near": near[at, best.ravel()],
+                    "id": frame["id"].to_numpy()[at],
+                    "vector": frame["vector"].to_numpy()[at],
+                }
+            )
+
+        # a chunk of a shard meets its centres once: no shard is one task, no row carries the centres
+        chunks = F.ceil(F.col("n") / F.lit(search.chunk)).cast("int")
+        members = large.select("shard", "id", "vector", F.pmod(F.xxhash64("id", F.lit(-1 - level)), chunks).cast("int").alias("chunk"))
+        stars = fitted.select("shard", "centres", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        placed = members.groupBy("shard", "chunk").cogroup(stars.groupBy("shard", "chunk")).applyInPandas(
+            assign, f"parent string, shard string, near double, id {kind}, vector {element}"
+        )
+        if level:
+            nearest = F.sort_array(F.collect_list(F.struct("near", "shard")), asc=False)  # at most overlap squared entries
+            each = placed.groupBy("id").agg(nearest.alias("all"), F.size(F.collect_set("parent")).alias("parents"), F.first("vector").alias("vector"))
+            placed = each.select(F.explode(F.slice("all", F.lit(1), F.col("parents"))).alias("to"), "id", "vector").select("to.shard", "id", "vector")
+        rows = keep(placed.select("shard", "id", "vector"), "assigned")
     return done
 
 
@@ -160,8 +172,11 @@ def robust_graph(x: np.ndarray, search: Search) -> np.ndarray:
     return kept
 
 
-def range_search(x: np.ndarray, neighbours: np.ndarray, threshold: float, search: Search) -> np.ndarray:
-    """Pairs (i, j), i < j, found by a greedy search for each row from the medoid, expanding everything near the range."""
+def range_search(x: np.ndarray, first: np.ndarray, flat: np.ndarray, threshold: float, search: Search) -> np.ndarray:
+    """Pairs (i, j), i < j, found by a greedy search for each row from the medoid, expanding everything near the range.
+
+    The neighbours of node i are ``flat[first[i]:first[i + 1]]``; a similarity is computed when a search first meets a node.
+    """
     n = len(x)
     if n < 2:
         return np.empty((0, 2), np.int64)
@@ -170,6 +185,7 @@ def range_search(x: np.ndarray, neighbours: np.ndarray, threshold: float, search
     fresh = np.full((n, n), -3.0, np.float32)  # the same, for nodes not expanded yet
     start = (x @ x[medoid]).astype(np.float32)
     seen[:, medoid] = fresh[:, medoid] = start
+    degree = np.diff(first)
     live, turn = np.arange(n), 0
     while len(live):
         best = fresh[live].argmax(axis=1)
@@ -179,17 +195,18 @@ def range_search(x: np.ndarray, neighbours: np.ndarray, threshold: float, search
         if not len(live):
             break
         fresh[live, best] = -3
-        near = neighbours[best]
-        sims = np.einsum("qd,qkd->qk", x[live], x[near]).astype(np.float32)
-        rows, columns = np.nonzero((near >= 0) & (seen[live[:, None], near] == -3))
-        q, node = live[rows], near[rows, columns]
-        seen[q, node] = fresh[q, node] = sims[rows, columns]
+        ends = np.cumsum(degree[best])
+        q = np.repeat(live, degree[best])
+        node = flat[np.arange(len(q)) + np.repeat(first[best] - ends + degree[best], degree[best])]
+        new = seen[q, node] == -3
+        q, node = q[new], node[new]
+        seen[q, node] = fresh[q, node] = np.einsum("pd,pd->p", x[q], x[node])
         turn += 1
     i, j = np.nonzero(seen >= threshold - 1e-4)
-    one, two = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
-    pairs = np.unique(np.stack([one, two], axis=1), axis=0)
-    exact = np.einsum("pd,pd->p", x[pairs[:, 0]], x[pairs[:, 1]])
-    return pairs[exact >= threshold]
+    pairs = np.unique(np.minimum(i, j)[i != j] * n + np.maximum(i, j)[i != j])
+    i, j = pairs // n, pairs % n
+    linked = np.einsum("pd,pd->p", x[i], x[j]) >= threshold
+    return np.stack([i[linked], j[linked]], axis=1)
 
 
 def find_pairs(of: DataFrame, threshold: float, search: Search) -> DataFrame:
@@ -214,10 +231,9 @@ def find_pairs(of: DataFrame, threshold: float, search: Search) -> DataFrame:
         ids = frame["id"].to_numpy()
         place = {v: i for i, v in enumerate(ids.tolist())}
         lists = [[place[t] for t in near if t in place] if near is not None else [] for near in frame["near"]]
-        wide = np.full((len(ids), max(1, max(map(len, lists)))), -1)
-        for i, own in enumerate(lists):
-            wide[i, : len(own)] = own
-        pairs = range_search(unit(frame["vector"].tolist()), wide, threshold, search)
+        first = np.cumsum([0, *map(len, lists)])
+        flat = np.array([t for own in lists for t in own], dtype=np.int64)
+        pairs = range_search(unit(frame["vector"].tolist()), first, flat, threshold, search)
         return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
     found = sharded.join(united, "id", "left").groupBy("shard").applyInPandas(look, f"a {kind}, b {kind}")
