@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -10,8 +12,15 @@ from pyspark.sql import types as T
 
 # Fixed value: the URL namespace of RFC 4122.
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
-# Entities decoded when markup is reduced to visible text (ampersand last).
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+# Built by rule: all named character references, those that may stand without a semicolon, and the old Windows bytes.
+NAMED = json.dumps({f"&{name}": char for name, char in html.entities.html5.items()})
+BARE_NAME = "^&(?:" + "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
+WINDOWS = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)]
+REFERENCE = r"(?s)(&#(?:\d+|[xX][0-9A-Fa-f]+);?|&[A-Za-z][A-Za-z0-9]{0,31};?|[^&]+|&)"
+# Built by rule: lower-case characters that full case folding changes further, to one character or to several.
+FOLDS = {c: c.casefold() for c in map(chr, range(0x10000)) if c.isalpha() and c.lower() == c != c.casefold()}
+FOLD_ONE = {c: to for c, to in FOLDS.items() if len(to) == 1}
+FOLD_MANY = {c: to for c, to in FOLDS.items() if len(to) > 1}
 # What counts as noise, a percentage and a plain number in a markup table cell.
 CELL_NOISE = r"(?s)<!--.*?-->|<ref\b.*?</ref>|<ref\b[^>]*/>"
 CELL_PERCENT = r"(?<!\d)(\d{1,2}(?:\.\d+)?)\s*%"
@@ -90,13 +99,54 @@ def mode_class(text: Column) -> Column:
     return F.when(phone & ~online, "live_phone").when(online & ~phone, "online").otherwise("mixed")
 
 
+def _numeric_reference(token: Column) -> Column:
+    """The character of ``&#228;`` or ``&#xE4;``; null for other tokens, U+FFFD where there is no such character."""
+    hexadecimal = F.regexp_extract(token, r"^&#[xX]0*([0-9A-Fa-f]*);?$", 1)
+    decimal = F.regexp_extract(token, r"^&#0*(\d*);?$", 1)
+    code = F.when(token.rlike("^&#[xX]"), F.when(F.length(hexadecimal) <= 6, F.conv(hexadecimal, 16, 10))).otherwise(
+        F.when(F.length(decimal) <= 7, decimal)
+    )
+    code = F.coalesce(code.try_cast("int"), F.lit(0))
+    windows = F.element_at(F.lit(WINDOWS), F.greatest(code - 0x7F, F.lit(1)))
+    dropped = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+    dropped = dropped | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    char = F.when(none, "\ufffd").when(code.between(0x80, 0x9F), windows).when(dropped, "").otherwise(plain)
+    return F.when(token.startswith("&#"), char)
+
+
+def decode_references(text: Column) -> Column:
+    """Text with its character references decoded once: numeric, named, and old names without their semicolon."""
+    named = F.from_json(F.lit(NAMED), "map<string,string>")
+
+    def one(token):
+        bare = F.regexp_extract(token, BARE_NAME, 0)
+        prefix = F.when(bare != "", F.concat(F.try_element_at(named, bare), F.substring(token, F.length(bare) + 1, F.length(token))))
+        other = F.coalesce(F.try_element_at(named, token), prefix, token)
+        numeric = token.rlike(r"^&#(?:\d|[xX][0-9A-Fa-f])")
+        return F.when(numeric, _numeric_reference(token)).when(token.rlike("^&[A-Za-z]"), other).otherwise(token)
+
+    tokens = F.regexp_extract_all(text, F.lit(REFERENCE), 1)
+    return F.when(text.contains("&"), F.concat_ws("", F.transform(tokens, one))).otherwise(text)
+
+
+def fold_case(text: Column) -> Column:
+    """Full case folding: lower case, then the characters whose folded form differs from it."""
+    single = F.translate(F.lower(text), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    pairs = F.from_json(F.lit(json.dumps([{"a": c, "b": to} for c, to in FOLD_MANY.items()])), "array<struct<a:string,b:string>>")
+    several = F.aggregate(pairs, single, lambda done, pair: F.replace(done, pair["a"], pair["b"]))
+    return F.when(single.rlike("[" + "".join(FOLD_MANY) + "]"), several).otherwise(single)
+
+
+def collapse(text: Column) -> Column:
+    """Runs of white space of any kind become one blank; none stays at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " "))
+
+
 def visible_text(html: Column) -> Column:
-    """Markup without tags; entities decoded, case folded, spaces collapsed."""
-    bare = F.regexp_replace(html, r"<[^>]+>", " ")
-    for entity, char in ENTITIES.items():
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    folded = F.replace(F.lower(bare), F.lit("ß"), F.lit("ss"))
-    return F.trim(F.regexp_replace(folded, r"\s+", " "))
+    """Markup without tags; references decoded, case folded, spaces collapsed."""
+    return collapse(fold_case(decode_references(F.regexp_replace(html, r"<[^>]+>", " "))))
 
 
 def marker_share(text: Column, markers: Sequence[str]) -> Column:

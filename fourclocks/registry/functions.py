@@ -154,8 +154,8 @@ def _(t: Tables):
 
 @query("fn_visible_text", r"""
 SELECT page_id, sha256(v) AS sha, (CAST(contains(v, 'license') AS INTEGER) + CAST(contains(v, 'track(') AS INTEGER)) / 2.0 AS markers
-FROM (SELECT page_id, trim(regexp_replace(replace(lower(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
-      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')), 'ß', 'ss'), '\s+', ' ', 'g')) AS v FROM pages)""")
+FROM (SELECT page_id, trim(regexp_replace(replace(lower(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+      '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g')), 'ß', 'ss'), '\s+', ' ', 'g')) AS v FROM pages)""")
 def _(t: Tables):
     visible = t.pages.select("page_id", x.visible_text(F.col("html")).alias("v"))
     return visible.select("page_id", F.sha2("v", 256).alias("sha"), x.marker_share(F.col("v"), ["License", "track("]).alias("markers"))

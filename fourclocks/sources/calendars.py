@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fourclocks.functions.text import ENTITIES, parse_date
+from fourclocks.functions.text import collapse, decode_references, parse_date
 from fourclocks.sources.tabular import clean, csv_records, json_records
 
 DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "dd.MM.yyyy", "dd/MM/yyyy")
@@ -46,10 +46,7 @@ def ics_records(content: Column) -> Column:
 
 
 def _cell_text(cell: Column) -> Column:
-    text = F.regexp_replace(cell, r"<[^>]+>", "")
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return collapse(decode_references(F.regexp_replace(cell, r"<[^>]+>", "")))
 
 
 def html_records(content: Column) -> Column:

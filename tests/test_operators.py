@@ -133,3 +133,34 @@ def test_a_source_listed_twice_decides_nothing(spark):
     rows = spark.createDataFrame([(1, "s", "L"), (2, "t", "L"), (3, "u", "L")], "id int, source_id string, license string")
     got = {r["id"]: r["decision"] for r in apply_source_policy(rows, registry).collect()}
     assert got == {1: "duplicate_source", 2: "accepted", 3: "unknown_source"}
+
+
+def test_references_and_folding_equal_the_standard_library(spark):
+    import html
+
+    from fourclocks.functions.text import visible_text
+
+    texts = [
+        "f&uuml;r &#228;&#xE4;&#x1F600; &amp;lt; &amp &ampfoo; &nosuch; & &#; &#x; &#xg1;", "a&nbsp;　 b\x1c c", "&#128;&#0;&#xD800;&#1;&#65534;x",
+        "&#99999999999;&#x0000041;&#65 &notin; &notit;", "STRASSE Straße ΟΔΟΣ ﬁn ſt İ", "", "plain",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", visible_text(F.col("t")).alias("v"))
+    assert {r.i: r.v for r in rows.collect()} == {i: " ".join(html.unescape(t).casefold().split()) for i, t in enumerate(texts)}
+
+
+def test_markup_tables_follow_colspan_and_the_last_mention(spark):
+    from fourclocks.sources import markup
+
+    def table(span, header, cells):
+        return f"{{| class=x\n! Date !! {span}| Two-party vote\n|-\n! Firm !! {header}\n|-\n! 3 May 1998\n| Poll || {cells}\n|}}"
+
+    docs = [
+        (1, table("colspan=3 ", "Alpha !! Nova !! Lead", "40% || 60% || 20")),
+        (2, table("colspan=2 ", "Alpha of old !! Nova !! Alpha", "40% || 60%")),
+        (3, table("", "Alpha !! Nova", "45 || 55")),
+        (4, table("colspan=1 ", "Alpha !! Nova", "45 || 55")),
+        (5, table("colspan=2 ", "Others !! Nova", "45 || 55")),
+    ]
+    rules = markup.TableRules("(?i)two-party vote", r"\bAlpha\b", r"\bNova\b")
+    out = markup.extract_poll_rows(spark.createDataFrame(docs, "i int, content string"), rules)
+    assert {r.i: round(r.first_share, 6) for r in out.collect()} == {1: 0.4, 2: 0.6, 3: 0.45}
