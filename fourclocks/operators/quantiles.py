@@ -1,7 +1,8 @@
 """Exact order statistics without gathering a group in one task.
 
-Values fall into bins of a given width; a histogram (map-side combined) tells which bin holds each
-wanted rank, and only the rows of those bins are ranked, after equal values have been merged.
+Values fall into bins of a given width; a histogram (map-side combined) tells which bin holds each wanted rank. Those
+bins are cut into parts and counted again, and only the rows of the parts that hold a rank are ordered, after equal values
+have been merged. The width has to keep the bins of a key to some thousands, as they are summed up in order.
 """
 
 from __future__ import annotations
@@ -11,6 +12,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of a bin that holds a wanted rank.
+PARTS = 1024
+
+
+def _holding(cells: DataFrame, wanted: DataFrame, within: Sequence[str], step: str) -> DataFrame:
+    """``wanted`` with the cell of ``within`` that holds its rank; ``_before`` grows by the rows in front of that cell."""
+    ordered = Window.partitionBy(*within).orderBy(step)
+    summed = cells.select(*within, step, "_m", F.sum("_m").over(ordered).alias("_end"))
+    local = F.col("rank") - F.col("_before")
+    return (
+        wanted.join(summed, list(within))
+        .where((local >= F.col("_end") - F.col("_m")) & (local < F.col("_end")))
+        .withColumn("_before", F.col("_before") + F.col("_end") - F.col("_m"))
+        .drop("_m", "_end")
+    )
+
 
 def order_statistics(
     df: DataFrame,
@@ -20,8 +37,10 @@ def order_statistics(
     width: float,
 ) -> DataFrame:
     """Values at 0-based ``ranks`` (name -> expression over ``_total``), one row per key and name."""
+    place = (F.col(value) / F.lit(width)).cast("double")
+    part = F.floor((place - F.floor(place)) * PARTS).cast("int")
     binned = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_v"), F.floor(F.col(value) / F.lit(width)).cast("long").alias("_bin")
+        *keys, F.col(value).alias("_v"), F.floor(place).cast("long").alias("_bin"), part.alias("_part")
     )
     per_key = Window.partitionBy(*keys)
     histogram = (
@@ -41,19 +60,13 @@ def order_statistics(
         ).alias("_w"),
     ).select("*", "_w.stat", "_w.rank")
     wanted = wanted.where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_upto")))
-    cells = (
-        binned.join(wanted.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi")
-        .groupBy(*keys, "_bin", "_v")
-        .agg(F.count("*").alias("_m"))
-        .withColumn("_end", F.sum("_m").over(Window.partitionBy(*keys, "_bin").orderBy("_v")))
-    )
-    local = F.col("rank") - F.col("_before")
-    return (
-        wanted.drop("_w", "_upto")
-        .join(cells, [*keys, "_bin"])
-        .where((local >= F.col("_end") - F.col("_m")) & (local < F.col("_end")))
-        .select(*keys, "stat", "rank", F.col("_total").alias("total"), F.col("_v").alias("value"))
-    )
+    wanted = wanted.select(*keys, "_bin", "_before", "stat", "rank", F.col("_total").alias("total"))
+    in_bin, in_part = [*keys, "_bin"], [*keys, "_bin", "_part"]
+    inside = binned.join(wanted.select(*in_bin).distinct(), in_bin, "left_semi")
+    parts = _holding(inside.groupBy(*in_part).agg(F.count("*").alias("_m")), wanted, in_bin, "_part")
+    values = inside.join(parts.select(*in_part).distinct(), in_part, "left_semi")
+    found = _holding(values.groupBy(*in_part, "_v").agg(F.count("*").alias("_m")), parts, in_part, "_v")
+    return found.select(*keys, "stat", "rank", "total", F.col("_v").alias("value"))
 
 
 def quantiles(

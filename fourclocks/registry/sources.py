@@ -35,10 +35,10 @@ def _(t: Tables):
 
 
 @query("src_snapshot_dedupe", with_ctes("""
-SELECT DISTINCT source_key, sha256(content) AS sha256 FROM raw r WHERE source_key <> 'web'
-  AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = 'en' AND d.source = r.source_key AND d.text = r.content)""", RAW))
+SELECT DISTINCT source_key, sha256(content) AS sha256 FROM raw r
+  WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = 'en' AND d.source = r.source_key AND d.text = r.content)""", RAW))
 def _(t: Tables):
-    indexed = snapshots.snapshot_index(raw_pages(t), F.col("source_key")).where(F.col("source_key") != "web")
+    indexed = snapshots.snapshot_index(raw_pages(t), F.col("source_key"))
     stored = t.documents.where(F.col("lang") == "en").select(F.col("source").alias("source_key"), F.sha2("text", 256).alias("sha256"))
     return snapshots.dedupe_snapshots(indexed, stored).select("source_key", "sha256")
 
@@ -143,6 +143,15 @@ def _(t: Tables):
         "doc_id", "byte_count", "md5", "table", (F.col("byte_count") == F.col("actual")).alias("bytes_match"))
 
 
+@query("src_inventory_violations", """
+SELECT source, n_chars % 40 AS batch, count(*) FILTER (lang = 'en') AS event_files FROM documents GROUP BY 1, 2 HAVING count(*) FILTER (lang = 'en') <> 1""")
+def _(t: Tables):
+    suffix = F.when(F.col("lang") == "en", ".export.CSV.zip").when(F.col("lang") == "fr", ".mentions.CSV.zip").otherwise(".gkg.csv.zip")
+    line = F.concat_ws(" ", F.octet_length(F.col("text")).cast("string"), F.md5("text"), F.concat(F.lit("https://files.example/"), F.col("source"), suffix))
+    listed = tabular.parse_inventory(t.documents.select("source", (F.col("n_chars") % 40).alias("batch"), line.alias("line")))
+    return tabular.inventory_violations(listed, ["source", "batch"])
+
+
 @query("src_sdmx_csv", """
 SELECT c_custkey, lower(c_mktsegment) AS jurisdiction_id, 'prices:annual' AS metric, (1970 + c_nationkey) || '-12-31' AS observed_at, c_acctbal AS value, c_nationkey = 3 AS drifted
 FROM customer WHERE c_acctbal >= 0 AND c_mktsegment <> 'MACHINERY'""")

@@ -6,7 +6,7 @@ so many objects parse in parallel and nothing leaves the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -149,6 +149,12 @@ def parse_inventory(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+def inventory_violations(listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inventories that do not list exactly one events file, with the number they list; must be empty to go on."""
+    counted = listed.groupBy(*keys).agg(F.count_if(F.col("table") == "events").alias("event_files"))
+    return counted.where(F.col("event_files") != 1)
+
+
 # 0-based positions in the 61-column event export.
 EXPORT_COLUMNS = 61
 EXPORT_POSITIONS = {"event_class": 29, "score": 30, "mentions": 31, "tone": 34, "country": 53}

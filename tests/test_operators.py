@@ -164,3 +164,17 @@ def test_markup_tables_follow_colspan_and_the_last_mention(spark):
     rules = markup.TableRules("(?i)two-party vote", r"\bAlpha\b", r"\bNova\b")
     out = markup.extract_poll_rows(spark.createDataFrame(docs, "i int, content string"), rules)
     assert {r.i: round(r.first_share, 6) for r in out.collect()} == {1: 0.4, 2: 0.6, 3: 0.45}
+
+
+@pytest.mark.parametrize("width", [1e-3, 0.5, 100.0])
+def test_quantiles_are_exact_at_any_bin_width(spark, width):
+    import numpy as np
+
+    draw = random.Random(5)
+    values = {0: [draw.uniform(-1, 1) for _ in range(501)], 1: [0.25] * 40 + [draw.gauss(0.25, 1e-7) for _ in range(300)], 2: [-3.0]}
+    rows = [(k, v) for k, own in values.items() for v in own] + [(0, None)]
+    out = quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", {"a": 0.05, "b": 0.5, "c": 1.0}, width)
+    got = {r.k: (r.a, r.b, r.c) for r in out.collect()}
+    assert got.keys() == values.keys()
+    for k, own in values.items():
+        assert got[k] == pytest.approx(np.quantile(own, [0.05, 0.5, 1.0]), rel=1e-12)
