@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fourclocks.operators.quantiles import order_statistics
+from fourclocks.operators.segments import running_totals
 
 # Event classes counted as conflict, and latency bounds in seconds.
 CONFLICT_CLASSES = (3, 4)
@@ -68,14 +69,15 @@ def completeness(observed: DataFrame, keys: Sequence[str], specs: Mapping[str, S
     )
 
 
-def provenance(df: DataFrame, keys: Sequence[str], source: Sequence[str], order: str) -> DataFrame:
+def provenance(df: DataFrame, keys: Sequence[str], source: Sequence[str], order: str, segment: Column) -> DataFrame:
     """Distinct sources per key as rows, numbered in first-seen order.
 
-    Rows stay long, so nothing is collected; the numbering sees distinct sources only.
+    ``segment`` is an expression over ``first_seen`` that never falls as it rises. Sources are numbered inside a segment and
+    one row per segment carries the count on, so that no task orders all sources of a key.
     """
     first = df.groupBy(*keys, *source).agg(F.min(order).alias("first_seen"))
-    w = Window.partitionBy(*keys).orderBy("first_seen", *source)
-    return first.withColumn("position", F.row_number().over(w))
+    numbered = running_totals(first, keys, ["first_seen", *source], {"position": F.lit(1)}, segment)
+    return numbered.select(*keys, *source, "first_seen", F.col("position").cast("int").alias("position"))
 
 
 def status_rollup(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,8 @@ Keys and the segment column must not be null.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,7 +75,10 @@ def running_totals(
     )
     w = _segment_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = seg.select("*", *[F.sum(f"_x_{n}").over(w).alias(f"_r_{n}") for n in totals])
-    joined = local.join(carried, [*keys, SEG])
+    # null-safe, so that rows with a null key keep their place
+    carried = carried.withColumnsRenamed({c: f"_k_{c}" for c in [*keys, SEG]})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, SEG]])
+    joined = local.join(carried, same)
     return joined.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_c_{n}")).alias(n) for n in totals])
 
 

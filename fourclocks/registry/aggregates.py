@@ -226,10 +226,10 @@ def _(t: Tables):
 
 @query("agg_provenance_distinct", """
 SELECT lang, source, content, f AS first_seen, CAST(row_number() OVER (PARTITION BY lang ORDER BY f, source, content) AS INTEGER) AS position
-FROM (SELECT lang, source, sha256(CAST(n_chars % 100 AS VARCHAR)) AS content, min(doc_id) AS f FROM documents GROUP BY 1, 2, 3)""")
+FROM (SELECT lang, source, sha256(text) AS content, min(doc_id) AS f FROM documents GROUP BY 1, 2, 3)""")
 def _(t: Tables):
-    docs = t.documents.select("lang", "source", F.sha2((F.col("n_chars") % 100).cast("string"), 256).alias("content"), "doc_id")
-    return reporting.provenance(docs, ["lang"], ["source", "content"], "doc_id")
+    docs = t.documents.select("lang", "source", F.sha2("text", 256).alias("content"), "doc_id")
+    return reporting.provenance(docs, ["lang"], ["source", "content"], "doc_id", F.floor(F.col("first_seen") / 1000))
 
 
 @query("agg_status_rollup", with_ctes("""

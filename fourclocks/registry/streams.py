@@ -48,11 +48,12 @@ def _(t: Tables):
 @query("st_alert_windows", with_ctes("""
 SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, job, count(*) AS runs, count(*) FILTER (status = 'failure') AS failures,
        round(count(*) FILTER (status = 'failure') / CAST(count(*) AS DOUBLE), 9) AS error_ratio, count(*) FILTER (status = 'failure') > 0 AS failure_alert,
-       count(*) FILTER (status = 'failure') / CAST(count(*) AS DOUBLE) > 0.05 AS error_alert
+       count(*) FILTER (status = 'failure') / CAST(count(*) AS DOUBLE) > 0.05 AS error_alert, count(*) FILTER (value / 1000 > 0.3) AS slow,
+       20 * count(*) FILTER (value / 1000 > 0.3) > count(value) AS latency_alert
 FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, occurred_at) - s * INTERVAL 5 MINUTE AS w FROM runs CROSS JOIN (VALUES (0), (1), (2)) v(s)) GROUP BY w, job""", RUNS))
 def _(t: Tables):
     out = jobs.alert_windows(t.runs.withColumn("latency", F.col("value") / 1000))
-    return out.select(clock_text("window_start").alias("window_start"), "job", "runs", "failures", rnd("error_ratio").alias("error_ratio"), "failure_alert", "error_alert")
+    return out.select(clock_text("window_start").alias("window_start"), "job", "runs", "failures", rnd("error_ratio").alias("error_ratio"), "failure_alert", "error_alert", "slow", "latency_alert")
 
 
 @query("st_alert_staleness", with_ctes("""

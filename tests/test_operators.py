@@ -178,3 +178,12 @@ def test_quantiles_are_exact_at_any_bin_width(spark, width):
     assert got.keys() == values.keys()
     for k, own in values.items():
         assert got[k] == pytest.approx(np.quantile(own, [0.05, 0.5, 1.0]), rel=1e-12)
+
+
+def test_provenance_numbers_sources_across_segments_and_null_keys(spark):
+    from fourclocks.operators import reporting
+
+    rows = [("a", "x", 5), ("a", "y", 1), ("a", "x", 900), ("a", "z", 2500), (None, "x", 3), (None, "y", 4000)]
+    out = reporting.provenance(spark.createDataFrame(rows, "k string, s string, t long"), ["k"], ["s"], "t", F.floor(F.col("first_seen") / 1000))
+    assert {(r.k, r.s, r.first_seen, r.position) for r in out.collect()} == {
+        ("a", "y", 1, 1), ("a", "x", 5, 2), ("a", "z", 2500, 3), (None, "x", 3, 1), (None, "y", 4000, 2)}
