@@ -167,6 +167,19 @@ def test_audit_counts_what_a_search_misses(spark):
     assert found == 0 and true > 0
 
 
+def test_shards_split_again_without_more_copies(spark):
+    """No node is lost, none has more copies than ``overlap``, and no shard that centres can cut stays too large."""
+    table = spark.createDataFrame([(i, v, 1) for i, v, _ in vector_rows()], "vec_id long, embedding array<float>, label int")
+    of = vectors.nodes(table, "vec_id", "embedding").cache()
+    search = vectors.Search(shard=100, sample=200, chunk=64)
+    rows = vectors.shards(of, search).select("shard", "id").collect()
+    copies, sizes = Counter(r.id for r in rows), Counter(r.shard for r in rows)
+    assert len({(r.shard, r.id) for r in rows}) == len(rows)
+    assert set(copies) == {r.id for r in of.collect()}
+    assert max(copies.values()) <= search.overlap
+    assert max(sizes.values()) <= search.shard
+
+
 def test_vectors_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_vectors(empty).collect() == []
