@@ -3,8 +3,9 @@
 Equal vectors are one node. Nodes go to overlapping shards around k-means centres, split again while a shard is too
 large for one task. Each shard builds a graph whose neighbour lists are robustly pruned; a node's lists from all its
 shards are united. In every shard a greedy search starts at the medoid for each member and, once inside the range,
-expands until no unvisited neighbour is in range. Pairs are confirmed in double precision, and recall is audited
-against brute force; a search below the target is repeated with more overlap and wider lists.
+expands until no unvisited neighbour is in range. Its pairs, confirmed in double precision, only join components; the
+links inside a component are then counted over all pairs of its blocks, so no shard bounds them. Recall is audited against
+brute force; a search below the target is repeated with more overlap and wider lists, and at last all blocks meet.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ class Search:
     """Parameters. ``shard``: nodes of a shard; ``overlap``: shards of a node; ``degree``, ``pool``: kept and weighed
     neighbours; ``alpha``: pruning slack; ``width``: nodes that a search expands at least; ``slack``: how far below the
     threshold a search still expands; ``sample``: vectors for fitting centres; ``chunk``: nodes dealt to centres together;
-    ``audit``: audited queries."""
+    ``audit``: audited queries; ``block``: nodes of a group that meet another block's in one task."""
 
     shard: int = 1200
     overlap: int = 3
@@ -40,6 +41,7 @@ class Search:
     sample: int = 8192
     chunk: int = 4096
     audit: int = 128
+    block: int = 2048
     target: float = 0.98
 
 
@@ -209,8 +211,23 @@ def range_search(x: np.ndarray, first: np.ndarray, flat: np.ndarray, threshold:
     return np.stack([i[linked], j[linked]], axis=1)
 
 
-def find_pairs(of: DataFrame, threshold: float, search: Search) -> DataFrame:
-    """(a, b) ids with a < b of confirmed pairs of nodes."""
+def forest(pairs: np.ndarray, n: int) -> np.ndarray:
+    """(root, node) for every node that pairs (i, j) join to a smaller one: what they connect, in fewer than ``n`` rows."""
+    label = np.arange(n)
+    i, j = pairs[:, 0], pairs[:, 1]
+    while True:
+        before, low = label.copy(), np.minimum(label[i], label[j])
+        for at in (label[i], label[j], i, j):
+            np.minimum.at(label, at, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    node = np.flatnonzero(label < np.arange(n))
+    return np.stack([label[node], node], axis=1)
+
+
+def find_links(of: DataFrame, threshold: float, search: Search) -> DataFrame:
+    """(a, b) ids with a < b that are joined by confirmed pairs of a shard; fewer rows than the shards have."""
     kind = of.schema["id"].dataType.simpleString()
     sharded = keep(shards(of, search), "shards")
 
@@ -234,14 +251,62 @@ def find_pairs(of: DataFrame, threshold: float, search: Search) -> DataFrame:
         first = np.cumsum([0, *map(len, lists)])
         flat = np.array([t for own in lists for t in own], dtype=np.int64)
         pairs = range_search(unit(frame["vector"].tolist()), first, flat, threshold, search)
-        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+        links = forest(pairs, len(ids))
+        return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
     found = sharded.join(united, "id", "left").groupBy("shard").applyInPandas(look, f"a {kind}, b {kind}")
-    return keep(found.distinct(), "pairs")
+    return keep(found.distinct(), "links")
 
 
-def audit(of: DataFrame, pairs: DataFrame, threshold: float, queries: int) -> tuple[int, int]:
-    """(found, true) pairs of ``queries`` nodes of the smallest id hashes, against all nodes by brute force in blocks."""
+def partners(of: DataFrame, threshold: float, block: int, strip: int = 512) -> DataFrame:
+    """(id, others, root) from all pairs of nodes (group, id, vector, copies) of one group, in parts to be summed per id.
+
+    A group is cut into blocks of about ``block`` nodes by id hash; two blocks, or some groups of one block, are a task.
+    ``others`` counts linked rows of the task, ``root`` is the smallest id the task joins the node to. A group of n nodes
+    moves n * n / block rows and no pair leaves its task.
+    """
+    kind = of.schema["id"].dataType.simpleString()
+    sized = of.join(of.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "group")
+    cut = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    total = sized.count()
+    if not total:
+        return of.sparkSession.createDataFrame([], f"id {kind}, others long, root {kind}")
+    one = F.concat(F.lit("s"), F.pmod(F.xxhash64("group"), F.lit(max(1, math.ceil(total / block)))).cast("string"))
+    own = F.pmod(F.xxhash64("id", F.lit(11)), cut).cast("int")
+    met = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
+    met = met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    name = F.when(cut == 1, one).otherwise(F.concat_ws(":", F.col("group").cast("string"), "lo", "hi"))
+    met = met.select(name.alias("task"), "group", "lo", "hi", "own", "id", "vector", "copies")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", ignore_index=True)
+        counts, roots = np.zeros(len(frame), np.int64), np.arange(len(frame))
+        side, copies = frame["own"].to_numpy(), frame["copies"].to_numpy()
+        same = bool(frame["lo"].iloc[0] == frame["hi"].iloc[0])
+        for at in frame.groupby("group", sort=False).indices.values():
+            x = unit(frame["vector"].iloc[at].tolist())
+            left = np.arange(len(at)) if same else np.flatnonzero(side[at] == frame["lo"].iloc[0])
+            right = left if same else np.flatnonzero(side[at] == frame["hi"].iloc[0])
+            links = np.empty((0, 2), np.int64)
+            for k in range(0, len(left), strip):
+                some = left[k : k + strip]
+                hit = x[some] @ x[right].T >= threshold
+                if same:
+                    hit[np.arange(len(some)), some] = False
+                counts[at[some]] += hit @ copies[at[right]]
+                if not same:
+                    counts[at[right]] += copies[at[some]] @ hit
+                i, j = np.nonzero(hit)
+                links = forest(np.concatenate([links, np.stack([some[i], right[j]], axis=1)]), len(at))
+            roots[at[links[:, 1]]] = at[links[:, 0]]
+        ids = frame["id"].to_numpy()
+        return pd.DataFrame({"id": ids, "others": counts, "root": ids[roots]})
+
+    return met.groupBy("task").applyInPandas(run, f"id {kind}, others long, root {kind}")
+
+
+def truth(of: DataFrame, threshold: float, queries: int) -> DataFrame:
+    """(a, b) of all pairs of ``queries`` nodes of the smallest id hashes, against all nodes by brute force in blocks."""
     asked = of.orderBy(F.xxhash64("id", F.lit(3)), "id").select("id", "vector").limit(queries).collect()  # bounded
     by_size: dict[int, tuple[list, np.ndarray]] = {}
     for size in {len(r["vector"]) for r in asked}:
@@ -263,10 +328,21 @@ def audit(of: DataFrame, pairs: DataFrame, threshold: float, queries: int) -> tu
             t = batch.schema.field("id").type
             yield pa.RecordBatch.from_arrays([pa.array(one, t), pa.array(two, t)], names=["a", "b"])
 
-    true = keep(of.select("id", "vector").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct(), "audit")
+    return keep(of.select("id", "vector").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct(), "audit")
+
+
+def audit(of: DataFrame, pairs: DataFrame, threshold: float, queries: int) -> tuple[int, int]:
+    """(found, true) pairs of the audited nodes."""
+    true = truth(of, threshold, queries)
     return true.join(pairs, ["a", "b"], "left_semi").count(), true.count()
 
 
+def joined(true: DataFrame, member: DataFrame) -> tuple[int, int]:
+    """(found, true) pairs; found are those whose nodes share a component, inside which every pair is counted."""
+    a, b = (member.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    return true.join(a, "a").join(b, "b").where("of_a = of_b").count(), true.count()
+
+
 def near_vectors(
     table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", search: Search = Search(), attempts: int = 3
 ) -> DataFrame:
@@ -279,15 +355,18 @@ def near_vectors(
     """
     of = keep(nodes(table, id_col, vector_col), "nodes")
     for attempt in range(attempts):
-        pairs = find_pairs(of, threshold, search)
-        found, true = audit(of, pairs, threshold, search.audit)
+        member = keep(components(find_links(of, threshold, search)), "members")
+        found, true = joined(truth(of, threshold, search.audit), member)
         if found >= search.target * true:
             break
         search = replace(search, overlap=search.overlap + 2, width=2 * search.width, slack=search.slack + 0.03)
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = of.select("id", "copies")
-    linked = both.join(sizes, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
-    per_node = of.join(linked, "id", "left").join(components(pairs), "id", "left").select(
+    else:  # no search was good enough: every node meets every other
+        whole = partners(of.withColumn("group", F.size("vector")), threshold, search.block)
+        pairs = whole.where("root != id").select(F.col("root").alias("a"), F.col("id").alias("b"))
+        member = keep(components(keep(pairs.distinct(), "links")), "members")
+    inside = of.join(member.select("id", F.col("component").alias("group")), "id")
+    linked = partners(inside, threshold, search.block).groupBy("id").agg(F.sum("others").alias("others"))
+    per_node = of.join(linked, "id", "left").join(member, "id", "left").select(
         F.col("vector").alias("_vector"),
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),

@@ -180,6 +180,29 @@ def test_shards_split_again_without_more_copies(spark):
     assert max(sizes.values()) <= search.shard
 
 
+def test_a_group_larger_than_all_shards_of_a_node_keeps_its_links(spark):
+    """Every vector links with all others, many more than ``overlap`` shards hold."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=8)
+    rows = [(i, (centre + rng.normal(size=8) * 0.05).tolist()) for i in range(900)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(table, 0.95, search=vectors.Search(shard=40, sample=200, chunk=128, block=100)).collect()
+    x = vectors.unit([v for _, v in rows])
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist())) and want.min() > 7 * 40
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_a_search_below_its_target_is_not_returned(spark):
+    """Without an attempt, or with a target that none can reach, all blocks meet."""
+    rows = [(i, v) for i, v, _ in vector_rows()[:300]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    x = vectors.unit([v for _, v in rows])
+    want = dict(enumerate(((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()))
+    got = vectors.near_vectors(table, 0.95, search=vectors.Search(target=2.0, block=64), attempts=1).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == want
+
+
 def test_vectors_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_vectors(empty).collect() == []
