@@ -29,7 +29,7 @@ class Search:
     """Parameters. ``shard``: nodes of a shard; ``overlap``: shards of a node; ``degree``, ``pool``: kept and weighed
     neighbours; ``alpha``: pruning slack; ``width``: nodes that a search expands at least; ``slack``: how far below the
     threshold a search still expands; ``sample``: vectors for fitting centres; ``chunk``: nodes dealt to centres together;
-    ``audit``: audited queries; ``block``: nodes of a group that meet another block's in one task."""
+    ``audit``: audited queries, or twice the root of the nodes where that is more; ``block``: nodes of a group that meet another block's in one task."""
 
     shard: int = 1200
     overlap: int = 3
@@ -177,7 +177,7 @@ def robust_graph(x: np.ndarray, search: Search) -> np.ndarray:
 def range_search(x: np.ndarray, first: np.ndarray, flat: np.ndarray, threshold: float, search: Search) -> np.ndarray:
     """Pairs (i, j), i < j, found by a greedy search for each row from the medoid, expanding everything near the range.
 
-    The neighbours of node i are ``flat[first[i]:first[i + 1]]``; a similarity is computed when a search first meets a node.
+    A search that ends without having met its own row has not come to the right place; it goes on from that row. The neighbours of node i are ``flat[first[i]:first[i + 1]]``; a similarity is computed when a search first meets a node.
     """
     n = len(x)
     if n < 2:
@@ -188,14 +188,20 @@ def range_search(x: np.ndarray, first: np.ndarray, flat: np.ndarray, threshold:
     start = (x @ x[medoid]).astype(np.float32)
     seen[:, medoid] = fresh[:, medoid] = start
     degree = np.diff(first)
-    live, turn = np.arange(n), 0
-    while len(live):
+    live, turn, again = np.arange(n), 0, False
+    while True:
+        if not len(live):
+            lost = np.flatnonzero(seen[np.arange(n), np.arange(n)] == -3)
+            if again or not len(lost):
+                break
+            seen[lost, lost] = fresh[lost, lost] = 1
+            live, turn, again = lost, 0, True
         best = fresh[live].argmax(axis=1)
         value = fresh[live, best]
         go = (value > -3) & ((turn < search.width) | (value >= threshold - search.slack))
         live, best = live[go], best[go]
         if not len(live):
-            break
+            continue
         fresh[live, best] = -3
         ends = np.cumsum(degree[best])
         q = np.repeat(live, degree[best])
@@ -305,8 +311,8 @@ def partners(of: DataFrame, threshold: float, block: int, strip: int = 512) -> D
     return met.groupBy("task").applyInPandas(run, f"id {kind}, others long, root {kind}")
 
 
-def truth(of: DataFrame, threshold: float, queries: int) -> DataFrame:
-    """(a, b) of all pairs of ``queries`` nodes of the smallest id hashes, against all nodes by brute force in blocks."""
+def audit(of: DataFrame, pairs: DataFrame, threshold: float, queries: int) -> tuple[int, int]:
+    """(found, true) pairs of ``queries`` nodes of the smallest id hashes, against all nodes by brute force in blocks."""
     asked = of.orderBy(F.xxhash64("id", F.lit(3)), "id").select("id", "vector").limit(queries).collect()  # bounded
     by_size: dict[int, tuple[list, np.ndarray]] = {}
     for size in {len(r["vector"]) for r in asked}:
@@ -328,19 +334,47 @@ def truth(of: DataFrame, threshold: float, queries: int) -> DataFrame:
             t = batch.schema.field("id").type
             yield pa.RecordBatch.from_arrays([pa.array(one, t), pa.array(two, t)], names=["a", "b"])
 
-    return keep(of.select("id", "vector").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct(), "audit")
+    true = keep(of.select("id", "vector").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct(), "audit")
+    return true.join(pairs, ["a", "b"], "left_semi").count(), true.count()
 
 
-def audit(of: DataFrame, pairs: DataFrame, threshold: float, queries: int) -> tuple[int, int]:
-    """(found, true) pairs of the audited nodes."""
-    true = truth(of, threshold, queries)
-    return true.join(pairs, ["a", "b"], "left_semi").count(), true.count()
+def recall(of: DataFrame, member: DataFrame, threshold: float, queries: int) -> float:
+    """Estimated share of the linked nodes' partners that share their component, inside which every pair is counted.
 
+    Half of the queries are nodes with links, half are nodes without, where losses hide. Every query counts alike,
+    whatever its number of partners, and a stratum counts by its nodes. Without any partner the recall is 1.
+    """
+    placed = of.join(member.select("id", "component"), "id", "left").select("id", "vector", F.coalesce("component", "id").alias("component"))
+    placed = keep(placed.join(member.select("id", F.lit(True).alias("linked")), "id", "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "audit")
+    strata = [placed.where("linked"), placed.where("not linked")]
+    asked = [s.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(max(1, queries // 2)).collect() for s in strata]  # bounded
+    by_size: dict[int, list] = {}
+    for r in asked[0] + asked[1]:
+        by_size.setdefault(len(r["vector"]), []).append(r)
+    parts = {size: ([r["id"] for r in rows], np.array([r["component"] for r in rows]), unit([r["vector"] for r in rows])) for size, rows in by_size.items()}
+    kind = of.schema["id"].dataType
 
-def joined(true: DataFrame, member: DataFrame) -> tuple[int, int]:
-    """(found, true) pairs; found are those whose nodes share a component, inside which every pair is counted."""
-    a, b = (member.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-    return true.join(a, "a").join(b, "b").where("of_a = of_b").count(), true.count()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sizes = frame["vector"].map(len).to_numpy()
+            for size, (names, groups, y) in parts.items():
+                at = np.flatnonzero(sizes == size)
+                if len(at):
+                    hit = unit(frame["vector"].iloc[at].tolist()) @ y.T >= threshold
+                    hit &= frame["id"].to_numpy()[at][:, None] != np.array(names)
+                    met = hit & (frame["component"].to_numpy()[at][:, None] == groups)
+                    yield pd.DataFrame({"id": names, "met": met.sum(axis=0), "true": hit.sum(axis=0)}).query("true > 0")
+
+    out = T.StructType([T.StructField("id", kind), *T._parse_datatype_string("met long, true long")])
+    tally = placed.select("id", "vector", "component").mapInPandas(run, out).groupBy("id").agg(F.sum("met").alias("met"), F.sum("true").alias("true"))
+    shares = {r["id"]: r["met"] / r["true"] for r in tally.collect()}  # at most one row a query
+    found = linked = 0.0
+    for stratum, rows in zip(strata, asked):
+        own = [shares[r["id"]] for r in rows if r["id"] in shares]
+        if own:
+            weight = stratum.count() / len(rows)
+            found, linked = found + weight * sum(own), linked + weight * len(own)
+    return found / linked if linked else 1.0
 
 
 def near_vectors(
@@ -356,8 +390,7 @@ def near_vectors(
     of = keep(nodes(table, id_col, vector_col), "nodes")
     for attempt in range(attempts):
         member = keep(components(find_links(of, threshold, search)), "members")
-        found, true = joined(truth(of, threshold, search.audit), member)
-        if found >= search.target * true:
+        if recall(of, member, threshold, max(search.audit, math.ceil(2 * math.sqrt(of.count())))) >= search.target:
             break
         search = replace(search, overlap=search.overlap + 2, width=2 * search.width, slack=search.slack + 0.03)
     else:  # no search was good enough: every node meets every other

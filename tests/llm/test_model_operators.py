@@ -193,6 +193,30 @@ def test_a_group_larger_than_all_shards_of_a_node_keeps_its_links(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_audit_sees_rare_pairs_beside_a_big_group(spark):
+    """One group found whole does not outweigh lonely pairs that were all missed."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=32)
+    rows = [(i, (centre + rng.normal(size=32) * 0.05).tolist()) for i in range(60)]
+    for k in range(20):
+        x = rng.normal(size=32)
+        rows += [(100 + 2 * k, x.tolist()), (101 + 2 * k, (x + rng.normal(size=32) * 0.02).tolist())]
+    of = vectors.nodes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").cache()
+    member = spark.createDataFrame([(i, 0) for i in range(60)], "id long, component long")
+    assert vectors.recall(of, member, 0.95, 400) == pytest.approx(0.6)
+    whole = member.unionByName(spark.createDataFrame([(100 + k, 100 + k // 2 * 2) for k in range(40)], "id long, component long"))
+    assert vectors.recall(of, whole, 0.95, 400) == 1
+
+
+def test_a_search_goes_on_from_its_own_row():
+    """Two far rows that no path from the medoid reaches still find each other."""
+    x = vectors.unit([[1.0, 0.01 * k] for k in range(6)] + [[-1.0, 0.0], [-1.0, 0.01]])
+    lists = [[j for j in range(6) if j != i] for i in range(6)] + [[7], [6]]
+    first = np.cumsum([0, *map(len, lists)])
+    pairs = vectors.range_search(x, first, np.array([t for own in lists for t in own]), 0.95, vectors.Search())
+    assert [6, 7] in pairs.tolist() and len(pairs) == 16
+
+
 def test_a_search_below_its_target_is_not_returned(spark):
     """Without an attempt, or with a target that none can reach, all blocks meet."""
     rows = [(i, v) for i, v, _ in vector_rows()[:300]]
