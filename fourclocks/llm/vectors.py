@@ -78,7 +78,7 @@ def shards(of: DataFrame, search: Search) -> DataFrame:
     A shard that is too large is split by centres of its own bounded sample. The first split makes ``overlap`` copies of
     a node; a later one looks at the children of all its large shards together and keeps as many of the nearest as it
     had large shards, so the copies do not multiply with the levels. Vectors of other lengths never meet. Directions that
-    no centre tells apart stay together after six levels.
+    no centre tells apart stay together after six levels; ``find_links`` searches such a shard in blocks.
     """
     kind = of.schema["id"].dataType.simpleString()
     element = of.schema["vector"].dataType.simpleString()
@@ -232,10 +232,18 @@ def forest(pairs: np.ndarray, n: int) -> np.ndarray:
     return np.stack([label[node], node], axis=1)
 
 
+def by_task(sharded: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Shards of at most ``most`` nodes, which are one task, and larger ones as (group, id, vector)."""
+    sizes = sharded.groupBy("shard").agg(F.count("*").alias("n"))
+    rows = sharded.join(sizes, "shard")
+    large = rows.where(F.col("n") > most).select(F.col("shard").alias("group"), "id", "vector")
+    return rows.where(F.col("n") <= most).drop("n"), large
+
+
 def find_links(of: DataFrame, threshold: float, search: Search) -> DataFrame:
     """(a, b) ids with a < b that are joined by confirmed pairs of a shard; fewer rows than the shards have."""
     kind = of.schema["id"].dataType.simpleString()
-    sharded = keep(shards(of, search), "shards")
+    sharded, large = by_task(keep(shards(of, search), "shards"), search.shard)
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", ignore_index=True)
@@ -261,7 +269,9 @@ def find_links(of: DataFrame, threshold: float, search: Search) -> DataFrame:
         return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
     found = sharded.join(united, "id", "left").groupBy("shard").applyInPandas(look, f"a {kind}, b {kind}")
-    return keep(found.distinct(), "links")
+    # what no centre could cut: its blocks meet, pair by pair
+    met = partners(large.withColumn("copies", F.lit(1).cast("long")), threshold, search.block).where("root != id")
+    return keep(found.unionByName(met.select(F.col("root").alias("a"), F.col("id").alias("b"))).distinct(), "links")
 
 
 def partners(of: DataFrame, threshold: float, block: int, strip: int = 512) -> DataFrame:

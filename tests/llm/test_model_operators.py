@@ -217,6 +217,19 @@ def test_a_search_goes_on_from_its_own_row():
     assert [6, 7] in pairs.tolist() and len(pairs) == 16
 
 
+def test_scaled_copies_of_a_direction_are_cut_into_blocks(spark):
+    """No centre tells them apart; no task gets them whole, and every link is counted."""
+    rows = [(i, [float(i + 1), 2.0 * (i + 1), 0.5 * (i + 1)]) for i in range(400)] + [(1000, [1.0, -1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    search = vectors.Search(shard=50, sample=100, chunk=64, block=60)
+    sharded = vectors.shards(vectors.nodes(table, "vec_id", "embedding"), search)
+    small, large = vectors.by_task(sharded, search.shard)
+    assert max((r["count"] for r in small.groupBy("shard").count().collect()), default=0) <= search.shard
+    assert large.select("id").distinct().count() >= 400
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(table, 0.95, search=search).collect()}
+    assert got == {i: (399, 0) for i in range(400)} | {1000: (0, 1000)}
+
+
 def test_a_search_below_its_target_is_not_returned(spark):
     """Without an attempt, or with a target that none can reach, all blocks meet."""
     rows = [(i, v) for i, v, _ in vector_rows()[:300]]
