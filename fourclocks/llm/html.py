@@ -43,22 +43,40 @@ _TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 #: A name with one of these says what a container has beside it, not what it is.
 _QUALIFIED = frozenset("has with no without".split())
 _P = frozenset(["p"])
+_END = re.compile(r"""[>]|=\s*(["'])""")
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})\b", re.I)
+#: Raw tags that cannot hold themselves: a second one shows that the first was never closed.
+_FLAT = frozenset("button select textarea".split())
+#: The share of a page's text from which a container's name does not make it unwanted.
+_MOST = 0.9
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Place of the > that ends a tag, past quoted values; -1 where the page ends first."""
+    while True:
+        m = _END.search(page, at)
+        if m is None or m[1] is None:
+            return -1 if m is None else m.start()
+        at = page.find(m[1], m.end()) + 1
+        if not at:
+            return -1
 
 
 class Node:
-    """An open element; ``out`` marks what is not the article."""
+    """An open element; ``out`` marks what is not the article, ``mark`` is the number of the tag whose name says so."""
 
-    __slots__ = ("tag", "path", "parent", "out", "score", "blocks")
+    __slots__ = ("tag", "path", "parent", "out", "score", "blocks", "mark")
 
     def __init__(self, tag: str, path: str, parent: "Node | None", out: bool) -> None:
         self.tag, self.path, self.parent, self.out = tag, path, parent, out
-        self.score = 0.0
+        self.score, self.mark = 0.0, 0
         self.blocks: list[str] = []
 
 
 def _tags(page: str) -> Iterator[tuple[str, str, str]]:
     """('text', text, ''), ('open', tag, attributes) and ('close', tag, ''), in one pass without backtracking."""
-    at, size = 0, len(page)
+    at, size, torn = 0, len(page), False
+    unclosed: set[str] = set()  # raw tags without an end in the rest of the page
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -81,15 +99,10 @@ def _tags(page: str) -> Iterator[tuple[str, str, str]]:
             yield "text", "<", ""
             at = lt + 1
             continue
-        end = page.find(">", name.end())
-        first = end
-        while end >= 0 and page.count('"', name.end(), end) % 2:  # a > inside a quoted value
-            if end - lt > 4096:
-                end = first
-                break
-            end = page.find(">", end + 1)
-        if end < 0:
-            end = first if first >= 0 else size
+        end = -1 if torn else _tag_end(page, name.end())
+        if end < 0:  # some quote is never closed: from here on a tag ends at its first >
+            torn, end = True, page.find(">", name.end())
+            end = size if end < 0 else end
         tag, rest = name[0].lower(), page[name.end() : end]
         at = end + 1
         if close:
@@ -97,7 +110,15 @@ def _tags(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield "open", tag, rest
         if tag in RAW and not rest.endswith("/"):
-            stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            stop = re.compile(rf"</?{tag}\b" if tag in _FLAT else rf"</{tag}\b", re.I).search(page, at) if tag not in unclosed else None
+            again = stop is not None and page[stop.start() + 1] != "/"
+            if again or stop is None and tag not in ("script", "style"):  # not closed: it ends where a block begins or ends
+                if not again:
+                    unclosed.add(tag)
+                block = _NEXT_BLOCK.search(page, at)
+                at = min(size if block is None else block.start(), stop.start() if again else size)
+                yield "close", tag, ""
+                continue
             at = size if stop is None else stop.start()
             if stop is not None:
                 past = page.find(">", at)
@@ -106,10 +127,11 @@ def _tags(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 @lru_cache(maxsize=50_000)
-def _judge(tag: str, rest: str) -> tuple[bool, str]:
-    """Whether a tag opens an unwanted part, and its step in a generalised path (tag and first class, digits dropped)."""
+def _judge(tag: str, rest: str) -> tuple[bool, bool, str]:
+    """Whether a tag opens an unwanted part, whether only its name says so, and its step in a generalised path (tag
+    and first class, digits dropped)."""
     if tag in OUT_TAGS or tag in RAW:
-        return True, ""
+        return True, False, ""
     values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
     names = [
         w
@@ -118,20 +140,38 @@ def _judge(tag: str, rest: str) -> tuple[bool, str]:
         for w in parts
     ]
     hidden = _HIDDEN.search(rest) or "display:none" in values.get("style", "").replace(" ", "").lower()
-    marked = tag not in ("html", "body") and any(n in OUT_NAMES for n in names)
+    marked = tag not in ("html", "body", "main", "article") and any(n in OUT_NAMES for n in names)
     first = _DIGITS.sub("", (values.get("class", "").split() or [""])[0].lower())
-    return bool(hidden or marked or values.get("role", "").lower() in OUT_ROLES), f">{tag}.{first}" if first else f">{tag}"
+    out = bool(hidden or values.get("role", "").lower() in OUT_ROLES)
+    return out or marked, marked and not out, f">{tag}.{first}" if first else f">{tag}"
 
 
 def parse(page: str) -> list[Node]:
-    """The containers of a page in page order; each has its blocks of text without unwanted parts."""
+    """The containers of a page in page order; each has its blocks of text without unwanted parts.
+
+    A container whose name marks it as unwanted, but that holds nearly all text of a page without article or main,
+    is wanted after all.
+    """
+    spared: set[int] = set()
+    while True:
+        found, kept, lost = _parse(page, spared)
+        worst = max(lost, key=lambda k: lost[k], default=None)
+        told = any(n.tag in ("article", "main") and n.blocks for n in found)
+        if worst is None or told or lost[worst] < _MOST * (kept + sum(lost.values())):
+            return found
+        spared.add(worst)
+
+
+def _parse(page: str, spared: set[int]) -> tuple[list[Node], int, dict[int, int]]:
+    """Containers, the length of their text, and the lengths lost to containers for their names, by number of the tag."""
+    kept, number, lost = 0, 0, {}
     root = Node("", "", None, False)
     stack, found = [root], [root]
     words: list[str] = []
     in_link = 0
 
     def flush() -> None:
-        nonlocal words
+        nonlocal words, kept
         if not words:
             return
         text = "".join(words)
@@ -142,6 +182,7 @@ def parse(page: str) -> list[Node]:
         top = stack[-1]
         if top.out:
             return
+        kept += len(text)
         owner = None
         for node in reversed(stack):
             if node.tag in CONTAINERS or node is root:
@@ -159,8 +200,11 @@ def parse(page: str) -> list[Node]:
         if kind == "text":
             if not stack[-1].out:
                 words.append(tag)
+            elif stack[-1].mark:
+                lost[stack[-1].mark] = lost.get(stack[-1].mark, 0) + len(" ".join(tag.split()))
             continue
         if kind == "open":
+            number += 1
             if tag in BLOCK:
                 flush()
             if tag in VOID:
@@ -177,9 +221,14 @@ def parse(page: str) -> list[Node]:
             parent = stack[-1]
             if parent.out:
                 node = Node(tag, "", parent, True)
+                if parent.mark and not _judge(tag, "")[0]:
+                    node.mark = parent.mark
             else:
-                out, step = _judge(tag, rest if rest and _TELLING.search(rest) else "")
+                out, named, step = _judge(tag, rest if rest and _TELLING.search(rest) else "")
+                if named and number in spared:
+                    out = named = False
                 node = Node(tag, parent.path + step, parent, out)
+                node.mark = number if named else 0
             stack.append(node)
             in_link += tag == "a"
             if tag in CONTAINERS and not node.out:
@@ -195,7 +244,7 @@ def parse(page: str) -> list[Node]:
                 del stack[depth:]
                 break
     flush()
-    return found
+    return found, kept, lost
 
 
 def votes(page: str, most: int = 3) -> list[tuple[str, float]]:

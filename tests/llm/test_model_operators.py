@@ -267,6 +267,23 @@ def test_broken_pages_end():
     assert html.extract("text &amp; only", None) == "text & only"
 
 
+def test_names_do_not_drop_the_page():
+    long = "Long text, with words. " * 20
+    for open_, close in (('<main class="content sidebar-right">', "</main>"), ('<article class="notice">', "</article>"), ('<div class="social-policy">', "</div>")):
+        assert html.extract(f"<body>{open_}<p>{long}</p>{close}</body>", None) == long.strip()
+    comments = f'<body><div class="text"><p>{long}</p></div><div class="comments"><p>{long * 3}</p></div></body>'
+    assert html.extract(comments, None) == long.strip()
+
+
+def test_unclosed_elements_and_long_quotes_end():
+    for tag in ("button", "svg", "select", "textarea", "noscript", "template"):
+        assert html.extract(f"<body><{tag} x=1>in it<p>Text.</p></body>", None) == "Text."
+    assert html.extract("<body><button>a<p>Text.</p><button>b</button></body>", None) == "Text."
+    for quote in "\"'":
+        assert html.extract(f"<body><p title={quote}{'a > b ' * 2000}{quote}>Text.</p></body>", None) == "Text."
+    assert html.extract("<body><p title=\"it's > that\" lang='a\"b'>Text.</p></body>", None) == "Text."
+
+
 def test_host_consensus_repairs_a_page(spark):
     good = "<body><div class=main><p>{}</p></div><div class=box><p>short</p></div></body>".format("Long article text, with commas, and more. " * 6)
     odd = "<body><div class=main><p>Tiny.</p></div><div class=box><p>{}</p></div></body>".format("A very long box, with commas, and words. " * 6)
