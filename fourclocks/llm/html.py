@@ -49,6 +49,8 @@ _NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})\b", re.I)
 _FLAT = frozenset("button select textarea".split())
 #: The share of a page's text from which a container's name does not make it unwanted.
 _MOST = 0.9
+#: The share from which an article or main outweighs all that is beside it.
+_SOME = 0.25
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -247,24 +249,62 @@ def _parse(page: str, spared: set[int]) -> tuple[list[Node], int, dict[int, int]
     return found, kept, lost
 
 
+def _whole(node: Node, found: list[Node]) -> Node:
+    """The container that holds the whole article of a good container: its outermost article or main, else the lowest one
+    around it, below the body, with nearly all text of the page; itself where there is none."""
+    around = [node]
+    while around[-1].parent is not None:
+        around.append(around[-1].parent)
+    named = [n for n in around if n.tag in ("article", "main")]
+    if named:
+        return named[-1]
+    most = _MOST * sum(map(len, found[0].blocks))
+    around = [n for n in around if n is node or n.tag in CONTAINERS and n.tag != "body"]
+    return next((n for n in around if sum(map(len, n.blocks)) >= most), node)
+
+
 def votes(page: str, most: int = 3) -> list[tuple[str, float]]:
-    """The paths of a page's best containers, each with its share of the best score; equal paths add up."""
+    """The paths of a page's best containers, each with its share of the best score.
+
+    Equal paths add up, and containers inside an article or main count for it. Where one article or main holds a good part of
+    the page's text, only these count, however many teasers stand beside it. The best path then climbs from its best container
+    to the one that holds the whole article.
+    """
+    found = parse(page)
     scores: dict[str, float] = {}
-    for node in parse(page):
+    best: dict[str, Node] = {}
+    for node in found:
         if node.score > 0:
-            scores[node.path] = scores.get(node.path, 0.0) + node.score
-    best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:most]
-    return [(path, value / best[0][1]) for path, value in best]
+            at = node
+            up = node.parent
+            while up is not None:
+                if up.tag in ("article", "main"):
+                    at = up
+                up = up.parent
+            scores[at.path] = scores.get(at.path, 0.0) + node.score
+            if at.path not in best or node.score > best[at.path].score:
+                best[at.path] = node
+    held = [(sum(map(len, n.blocks)), n.path) for n in found if n.tag in ("article", "main")]
+    if held and max(held)[0] >= _SOME * sum(map(len, found[0].blocks)):
+        told = {path for _, path in held}
+        scores = {path: value for path, value in scores.items() if path in told}
+    first = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:most]
+    out: dict[str, float] = {}
+    for k, (path, value) in enumerate(first):
+        to = path if k else _whole(best[path], found).path
+        out[to] = max(out.get(to, 0.0), value / first[0][1])
+    return list(out.items())
 
 
 def extract(page: str, path: str | None) -> str:
-    """Blocks of the containers at ``path``, in page order; of the page's best container where it has none there."""
+    """Blocks of the containers at ``path``, in page order; of the whole article around the page's best container where it
+    has none there."""
     found = parse(page)
     chosen = [n for n in found if n.path == path and n.blocks] if path is not None else []
     outer = [n for n in chosen if not _inside(n, chosen)]
     if not outer:
         best = max(found, key=lambda n: n.score, default=None)
-        outer = [best] if best is not None else []
+        outer = [_whole(best, found)] if best is not None else []
     return " ".join(b for n in outer for b in n.blocks)
 
 

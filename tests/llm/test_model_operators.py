@@ -267,6 +267,20 @@ def test_broken_pages_end():
     assert html.extract("text &amp; only", None) == "text & only"
 
 
+def test_votes_climb_to_the_whole_article():
+    """Text beside the deepest rich container, unequal sections and a grid of teasers inside main."""
+    long = "Long text, with words. " * 40
+    wrapper = f"<body><article><h1>Title</h1><p>lead</p><div class=body><p>{long}</p></div></article></body>"
+    nested = f"<body><main><p>Start.</p><section class=a><p>{long}</p></section><section class=b><p>{long * 2}</p></section></main></body>"
+    grid = f"<body><article><h1>Title</h1><p>{long}</p></article><div class=rest>{'<div class=teaser><p>Some teaser, not linked, of another text.</p></div>' * 30}</div></body>"
+    bare = f"<body><div class=post><div class=part><p>{long}</p></div><div class=other><p>{long}</p></div></div></body>"
+    for page, path in ((wrapper, ">article"), (nested, ">main"), (grid, ">article"), (bare, ">div.post")):
+        assert html.votes(page)[0][0] == f">body{path}"
+    assert html.extract(wrapper, ">body>article") == html.extract(wrapper, None) == f"Title lead {long.strip()}"
+    assert html.extract(nested, None) == f"Start. {long.strip()} {(long * 2).strip()}"
+    assert html.extract(bare, None) == f"{long.strip()} {long.strip()}"
+
+
 def test_names_do_not_drop_the_page():
     long = "Long text, with words. " * 20
     for open_, close in (('<main class="content sidebar-right">', "</main>"), ('<article class="notice">', "</article>"), ('<div class="social-policy">', "</div>")):
