@@ -25,9 +25,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of five-word shingle sets that are 0.8 or more similar; rows without an id stay."""
-    gone = minhash.near_duplicates(docs, size=5, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every component of five-word shingle sets that are 0.8 or more similar, of the smallest id; rows without an
+    id stay. Rows have numbers of their own, so rows that share an id are judged and dropped one by one."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id")
+    own = F.struct("doc_id", F.monotonically_increasing_id().alias("n"))
+    rows = keep(rows.select("row", F.when(F.col("doc_id").isNotNull(), own).alias("key")), "numbered")  # numbers are dealt once
+    gone = minhash.near_duplicates(rows.select("key", "row.text"), size=5, percent=80, id_col="key").where(~F.col("kept")).select("key")
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,8 +109,9 @@ def plan(counts: list[tuple[int, int, int, int, int]], shards: int) -> list[tupl
     return out
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Place every row: id, size, text_crc32, law, shard, slot, grown_shard, old_shard, block, moved.
+def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_id", text_col: str = "text", payload: bool = False) -> DataFrame:
+    """Place every row: id, size, text_crc32, law, shard, slot, grown_shard, old_shard, block, moved; with ``payload`` also the
+    whole input row as ``row``.
 
     Law ``rows``: shard counts are at most one apart, slots gapless from 0. Size is the UTF-8 bytes of the text plus 1
     (null text: none). A null ``old_shard`` counts as shard 0; a null id is placed like any other; repeated rows get
@@ -126,6 +127,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_
         size.alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
+        *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if payload else []),
     ).select(
         "*",
         F.floor(2 * F.log2(F.col("size").cast("double"))).cast("int").alias("block"),
@@ -155,6 +157,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_
             "old_shard",
             "block",
             (F.col("_own.shard") != F.col("old_shard")).alias("moved"),
+            *(["row"] if payload else []),
         )
     )
 
@@ -163,8 +166,13 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id
     """Write the files that the transfers touch and return what to do with every file of the layout.
 
     A file is a (shard, block) folder below ``path``. Those that lose or gain rows are written anew; the returned
-    manifest (shard, block, action) says ``keep``, ``replace`` or, where nothing is left, ``drop``. Ids must be unique.
+    manifest (shard, block, action) says ``keep``, ``replace`` or, where nothing is left, ``drop``. Rows come from the payload
+    of ``placed``, whatever their ids. Without a payload they are joined by id; null or repeated ids are then an error.
     """
+    if "row" not in placed.columns:
+        rows, ids = placed.agg(F.count("*"), F.count_distinct(id_col)).first()
+        if rows != ids:
+            raise ValueError(f"{rows} rows have {ids} different ids: place them with payload=True")
     before = placed.groupBy(F.col("old_shard").alias("shard"), "block").agg(F.max("moved").alias("lost"))
     after = placed.groupBy("shard", "block").agg(F.max("moved").alias("gained"))
     manifest = before.join(after, ["shard", "block"], "full").select(
@@ -176,7 +184,11 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id
         .alias("action"),
     )
     touched = F.broadcast(manifest.where("action = 'replace'").select("shard", "block"))  # at most shards x 80 rows
-    place = placed.join(touched, ["shard", "block"]).select(id_col, "shard", "block")
     clash = [c for c in ("shard", "block") if c in docs.columns]
-    docs.drop(*clash).join(place, id_col).write.partitionBy("shard", "block").parquet(path)
+    place = placed.join(touched, ["shard", "block"])
+    if "row" in placed.columns:
+        written = place.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in clash], "shard", "block")
+    else:
+        written = docs.drop(*clash).join(place.select(id_col, "shard", "block"), id_col)
+    written.write.partitionBy("shard", "block").parquet(path)
     return manifest

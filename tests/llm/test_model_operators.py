@@ -467,3 +467,15 @@ def test_pipeline_drops_what_its_stages_find(spark):
     _, want = near_want(rows, 5, 80)
     near = corpus_pipeline.drop_near_copies(spark, exact, FOLDER)
     assert {r["doc_id"] for r in near.collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_near_stage_judges_rows_that_share_an_id(spark):
+    """A clean row with the id of a near copy stays, and of near copies with one id one stays."""
+    base = [f"w{k}" for k in range(200)]
+    near = base[:-1] + ["other"]
+    clean = [f"c{k}" for k in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (2, " ".join(clean)), (3, " ".join(f"d{k}" for k in range(90))), (None, " ".join(base))]
+    rows += [(4, " ".join(f"e{k}" for k in range(100))), (4, " ".join([*(f"e{k}" for k in range(99)), "x"]))]
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), FOLDER).collect()]
+    assert sorted(i for i, _ in left if i is not None) == [1, 2, 3, 4] and len(left) == 5
+    assert (2, " ".join(clean)) in left

@@ -277,6 +277,18 @@ def test_rewriting_touches_only_changed_files(spark, tmp_path):
     assert "keep" in manifest.values()
 
 
+def test_rewriting_keeps_rows_without_an_id_and_with_a_shared_one(spark, tmp_path):
+    rows = [(None if i % 5 == 0 else i // 2, "t" * (1 + i % 3), 0 if i < 30 else 1 + i % 2, i) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, old int, mark int")
+    placed = resharding.reshard(table, F.col("old"), 3, payload=True)
+    manifest = {(r["shard"], r["block"]): r["action"] for r in resharding.rewrite(table, placed, str(tmp_path / "out")).collect()}
+    written = [r["mark"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    want = [r["row"]["mark"] for r in placed.collect() if manifest[r["shard"], r["block"]] == "replace"]
+    assert sorted(written) == sorted(want) and len(set(written)) == len(written)
+    with pytest.raises(ValueError):
+        resharding.rewrite(table, placed.drop("row"), str(tmp_path / "no"))
+
+
 def test_resharding_an_empty_table(empty):
     assert resharding.reshard(empty, F.lit(0), 4).collect() == []
 
