@@ -96,7 +96,7 @@ class Trees:
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 48, ridge: float = 3.0, least: float = 5.0) -> Trees:
     """Boosted logistic trees; every level adds up gradients in (node, feature, bin) histograms."""
     n, k = x.shape
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(k)]
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(k)] if n else [np.empty(0)] * k
     coded = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1) if n else np.zeros((0, k), np.int64)
     share = float(np.clip((weight * y).sum() / max(weight.sum(), 1e-9), 1e-3, 1 - 1e-3)) if n else 0.5
     base = math.log(share / (1 - share))
