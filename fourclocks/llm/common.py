@@ -19,11 +19,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     The folder carries the application id, so one delete per application cleans up.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """The path of a folder in the shared folder that does not exist yet."""
+    return f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def whole_text(column: str) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -40,4 +40,37 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN a USING (doc_id)
 """
 
-ORACLES = {"op2_secrets": SECRETS, "op8_exact_dedup": EXACT}
+def _field(column: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _leaf(chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", chars, "text")) + ")"
+
+
+#: crc32 of the decimal id, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END)), CAST(4294967295 AS BIGINT))"""
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS altered FROM documents),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)),
+r AS (SELECT doc_id, leaf, altered, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+      FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+lv AS (SELECT tree, 0 AS k, pos, leaf AS h, n FROM r
+       UNION ALL SELECT tree, k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM lv WHERE n > 1 GROUP BY tree, k, pos // 2, n),
+top AS (SELECT 0 AS k, tree AS pos, h, count(*) OVER () AS n FROM lv WHERE n = 1
+        UNION ALL SELECT k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY k, pos // 2, n),
+up AS (SELECT r.tree, r.pos, a.k, (r.pos >> a.k) & 1 AS side, coalesce(b.h, '') AS h
+       FROM r JOIN (SELECT DISTINCT tree, k FROM lv WHERE n > 1) a ON a.tree = r.tree LEFT JOIN lv b ON b.tree = r.tree AND b.k = a.k AND b.pos = xor(r.pos >> a.k, 1)
+       UNION ALL
+       SELECT r.tree, r.pos, 1000 + a.k, (r.tree >> a.k) & 1, coalesce(b.h, '')
+       FROM r CROSS JOIN (SELECT DISTINCT k FROM top WHERE n > 1) a LEFT JOIN top b ON b.k = a.k AND b.pos = xor(r.tree >> a.k, 1)),
+way AS (SELECT tree, pos, list(CAST(side AS VARCHAR) || h ORDER BY k) AS steps, string_agg(h, '' ORDER BY k) AS siblings FROM up GROUP BY 1, 2),
+f AS (SELECT r.*, coalesce(siblings, '') AS siblings, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root,
+             list_reduce(list_prepend(coalesce(altered, leaf), coalesce(steps, [])), lambda a, u: sha256(CASE WHEN u[1] = '1' THEN u[2:] || a ELSE a || u[2:] END)) AS folded_root
+      FROM r LEFT JOIN way USING (tree, pos) JOIN (SELECT tree, h FROM lv WHERE n = 1) s USING (tree))
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+ORACLES = {"op2_secrets": SECRETS, "op8_exact_dedup": EXACT, "op11_merkle": MERKLE}

@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fourclocks.llm import bpe, exact_dedup, html, minhash, packing, quality, resharding, secrets, toxicity, vectors
-from fourclocks.llm.common import table
+from fourclocks.llm import alignment, bpe, exact_dedup, html, merkle, minhash, packing, quality, resharding, secrets, token_files, toxicity, vectors
+from fourclocks.llm.common import fresh, table
 from fourclocks.llm.labels import remainder
 
-#: The score from which a document counts as label 1, and the packed sequence.
-CUT, WIDTH, END = 0.3, 1024, 2
+#: The score from which a document counts as label 1; the packed sequence; the end id of token files.
+CUT, WIDTH, END, STOP = 0.3, 1024, 2, 0
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,11 +80,33 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return judged(toxicity.score(docs, model), held, "n_spans", "spans")
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs, fields = table(spark, folder, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields]
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(docs, merkle.record_hash([F.col(c) for c in fields]), F.when(hit, merkle.record_hash(tampered)))
+
+
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs, place, path = table(spark, folder, "documents"), fresh(spark, "token-files"), public_tokenizers.path
+    token_files.write_files(docs, place, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, STOP)
+    return token_files.read_files(spark, place, docs.schema["doc_id"].dataType)
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path
+    files = path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model")
+    return alignment.align_documents(table(spark, folder, "documents"), *files)
+
+
 def judged(scored: DataFrame, held, *more: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), *more)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_secrets, op3_packing, op4_resharding, op5_minhash, op6_quality, op7_html, op8_exact_dedup, op9_vectors, op10_toxicity)
+    for f in (
+        op1_bpe, op2_secrets, op3_packing, op4_resharding, op5_minhash, op6_quality, op7_html, op8_exact_dedup, op9_vectors,
+        op10_toxicity, op11_merkle, op12_token_files, op13_alignment,
+    )
 }
