@@ -171,18 +171,26 @@ class Tables:
     # election history ------------------------------------------------------------------------
 
     @cached_property
-    def daily_amounts(self) -> DataFrame:
-        """Revenue per order date and flag: the one pass over the fact tables behind the history.
+    def order_amounts(self) -> DataFrame:
+        """Revenue per order and flag: the one pass over the fact tables behind the history.
 
-        Lines shrink to one row per order before the join; the result is bounded by the calendar.
+        Lines shrink to one row per order before the join.
         """
         flag, price = F.col("l_returnflag"), F.col("l_extendedprice")
         per_order = self.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
             *[F.sum(F.when(flag == c, price).otherwise(0.0)).alias(f"v{c}") for c in CONTESTANTS]
         )
-        dated = self.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
-        return (
-            dated.join(per_order, "o_orderkey")
-            .groupBy("day")
-            .agg(*[F.sum(f"v{c}").alias(f"v{c}") for c in CONTESTANTS])
-        )
+        dated = self.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+        return dated.join(per_order, "o_orderkey").drop("o_orderkey")
+
+    @cached_property
+    def daily_amounts(self) -> DataFrame:
+        """Revenue per order date and flag; the result is bounded by the calendar."""
+        return self.order_amounts.groupBy("day").agg(*[F.sum(f"v{c}").alias(f"v{c}") for c in CONTESTANTS])
+
+    @cached_property
+    def daily_amounts_by_nation(self) -> DataFrame:
+        """The same with a series for each nation; days of a customer shrink to one row before the join."""
+        per_customer = self.order_amounts.groupBy("o_custkey", "day").agg(*[F.sum(f"v{c}").alias(f"v{c}") for c in CONTESTANTS])
+        nations = self.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("string").alias("series_id"))
+        return per_customer.join(nations, "o_custkey").groupBy("series_id", "day").agg(*[F.sum(f"v{c}").alias(f"v{c}") for c in CONTESTANTS])

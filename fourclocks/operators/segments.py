@@ -1,27 +1,71 @@
 """Ordered computations per key that never put a whole key into one task.
 
-A key's rows are cut into segments by their order column. Windows run inside a segment only; one
+A key's rows are cut into segments by their order columns. Windows run inside a segment only; one
 summary row per segment (a map-side combined aggregate) carries the state across segments. The
-only window over a whole key sees the summaries: at most one row per segment of the calendar.
-Keys and the segment column must not be null.
+only window over a whole key sees the summaries: at most one row per segment.
+Segments come from a clock (``time_segment``: one a minute, say) or from sampled splitters of the whole order tuple
+(``balanced_segments``), which cut a hot second as well as a hot day. Keys and the segment column must not be null.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEG = "_segment"
+#: Rows that are sampled for each segment that is to come out.
+SAMPLED = 32
 
 
 def time_segment(clock: Column, seconds: int = 60) -> Column:
     return F.floor(F.unix_micros(clock.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def _plain(name: str, kind: T.DataType) -> tuple[Column, str]:
+    """An order column as a value that survives the way through the driver, and its type."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(name).cast("timestamp")), "bigint"
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).cast("long"), "bigint"
+    if isinstance(kind, T.IntegralType):
+        return F.col(name).cast("long"), "bigint"
+    return F.col(name), kind.simpleString()
+
+
+def balanced_segments(df: DataFrame, order: Sequence[str], segments: int | None = None) -> Column:
+    """Number of a row's segment: how many sampled splitters of the order tuple it does not lie before.
+
+    The sample takes the rows of the smallest hashes of the tuple, ``SAMPLED`` for each segment (default: four segments for
+    each shuffle partition), so the driver sees a bounded number of small tuples and two runs see the same ones. Splitters
+    are looked up in two steps, so that a row is compared with about twice the root of their number. Order columns must be
+    orderable and not null; a table of few rows has few segments.
+    """
+    wanted = segments or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [_plain(c, df.schema[c].dataType) for c in order]
+    names = [f"c{i}" for i in range(len(order))]
+    keys = df.select(*[c.alias(n) for n, (c, _) in zip(names, plain)])
+    chosen = sorted(tuple(r) for r in keys.orderBy(F.xxhash64(*names), *names).limit(SAMPLED * wanted).collect())
+    splitters = [chosen[i * len(chosen) // wanted] for i in range(1, wanted)] if chosen else []
+    splitters = sorted(set(splitters))
+    if not splitters:
+        return F.lit(0).cast("long")
+    step = max(1, int(len(splitters) ** 0.5))
+    shelves = [splitters[i : i + step] for i in range(0, len(splitters), step)]
+    kind = "struct<" + ", ".join(f"{n}: {k}" for n, (_, k) in zip(names, plain)) + ">"
+    text = json.dumps([[dict(zip(names, s)) for s in shelf] for shelf in shelves], ensure_ascii=False)
+    table = F.from_json(F.lit(text), f"array<array<{kind}>>")
+    here = F.struct(*[c.alias(n) for n, (c, _) in zip(names, plain)])
+    shelf = F.size(F.filter(table, lambda s: s[0] <= here))  # shelves that begin at or before the row
+    inside = F.size(F.filter(F.element_at(table, F.greatest(shelf, F.lit(1))), lambda s: s <= here))
+    return F.when(shelf == 0, 0).otherwise((shelf - 1) * step + inside).cast("long")
+
+
 def with_segment(df: DataFrame, segment: Column) -> DataFrame:
     return df.withColumn(SEG, segment)
 
@@ -65,9 +109,7 @@ def running_totals(
     segment: Column,
 ) -> DataFrame:
     """Add running sums (including the current row) of ``totals`` (new name -> summand)."""
-    seg = with_segment(df, segment)
-    for name, summand in totals.items():
-        seg = seg.withColumn(f"_x_{name}", summand)
+    seg = with_segment(df, segment).withColumns({f"_x_{name}": summand for name, summand in totals.items()})
     carried = seg.groupBy(*keys, SEG).agg(*[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in totals])
     before = _carry_window(keys).rowsBetween(Window.unboundedPreceding, -1)
     carried = carried.select(

@@ -175,6 +175,57 @@ def _(t: Tables):
     return grid.select("election_id", "horizon_days", "offset_days", day_text("forecast_as_of").alias("forecast_as_of"), day_text("snapshot_date").alias("snapshot_date"))
 
 
+def in_nations(text: str) -> str:
+    """The history's SQL with a series for each nation: every partition and join that is by quarter is by nation too, and an
+    election's id begins with its nation."""
+    swaps = (
+        ("SELECT CAST(o_orderdate AS DATE) AS day", "SELECT c_nationkey AS sid, CAST(o_orderdate AS DATE) AS day"),
+        ("FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)", "FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"),
+        ("qsum AS (SELECT CAST", "qsum AS (SELECT sid, CAST"),
+        ("FROM daily GROUP BY 1)", "FROM daily GROUP BY 1, 2)"),
+        ("SELECT qs, CAST(qs + INTERVAL", "SELECT sid, qs, CAST(qs + INTERVAL"),
+        ("year(qs) || 'Q'", "sid || ':' || year(qs) || 'Q'"),
+        ("OVER (ORDER BY qs)", "OVER (PARTITION BY sid ORDER BY qs)"),
+        ("SELECT qs, CAST(floor(", "SELECT sid, qs, CAST(floor("),
+        ("AS qs FROM daily) GROUP BY 1, 2)", "AS qs FROM daily) GROUP BY 1, 2, 3)"),
+        ("JOIN el ON el.qs = wsum.qs", "JOIN el ON el.sid = wsum.sid AND el.qs = wsum.qs"),
+        ("ON r.ed < t.ed", "ON r.sid = t.sid AND r.ed < t.ed"),
+    )
+    for old, new in swaps:
+        text = text.replace(old, new)
+    return text
+
+
+HIST_N, NEAR_N = in_nations(HIST), in_nations(FOLDS)
+
+
+def nation_records(t: Tables):
+    return cut_lineage(wf.history(t.daily_amounts_by_nation, CONTESTANTS, HORIZONS))
+
+
+def split_id(column: str) -> str:
+    return f"split_part({column}, ':', 1) AS series_id, split_part({column}, ':', 2)"
+
+
+@query("join_horizon_bands", with_ctes(f"""
+SELECT {split_id('eid')} AS election_id, th AS band, CAST(cut_at AS VARCHAR) AS forecast_as_of, CAST(abs(h - th) AS INTEGER) AS horizon_gap,
+       row_number() OVER (PARTITION BY sid, th ORDER BY ed) AS position
+FROM (SELECT r.*, th, row_number() OVER (PARTITION BY r.eid, th ORDER BY abs(h - th), cut_at DESC) AS rn
+      FROM rec r JOIN (SELECT DISTINCT sid, h AS th FROM rec) b ON b.sid = r.sid)
+WHERE rn = 1 AND abs(h - th) <= greatest(2, least(30, ceil(th * 0.1)))""", HIST_N))
+def _(t: Tables):
+    out = wf.horizon_bands(nation_records(t))
+    return out.select("series_id", "election_id", "band", day_text("forecast_as_of").alias("forecast_as_of"), "horizon_gap", "position")
+
+
+@query("join_fold_prefix", with_ctes(f"""
+SELECT {split_id('te')} AS test_election_id, CAST(ta AS VARCHAR) AS test_as_of, count(*) AS upto FROM near GROUP BY te, ta""", HIST_N, NEAR_N))
+def _(t: Tables):
+    r = nation_records(t)
+    marks = wf.fold_marks(r, wf.horizon_bands(r))
+    return marks.select("series_id", *test_keys(), "upto")
+
+
 @query("join_walk_forward", with_ctes("""
 SELECT t.eid AS test_election_id, CAST(t.cut_at AS VARCHAR) AS test_as_of, r.eid AS election_id, CAST(r.cut_at AS VARCHAR) AS forecast_as_of
 FROM rec t JOIN rec r ON r.ed < t.ed AND r.rav <= t.cut_at""", HIST))
@@ -249,8 +300,7 @@ def _(t: Tables):
 
 
 def folds(t: Tables):
-    r = records(t)
-    return wf.fold_rows(r, cut_lineage(wf.training_sets(r)))
+    return wf.Folds(records(t), K)
 
 
 TEST_KEYS = "te AS test_election_id, CAST(ta AS VARCHAR) AS test_as_of"
@@ -263,21 +313,29 @@ def test_keys():
 @query("agg_bias", with_ctes(f"""
 SELECT {TEST_KEYS}, round(w, 9) AS poll_weight, round(step, 9) AS step, {each('round(bias{i}, 9) + 0.0 AS b{i}')} FROM shifted WHERE is_test""", HIST, FOLDS, FITS))
 def _(t: Tables):
-    rows = wf.predictions(folds(t), K).where("is_test").where(F.col("model_family") == "baseline_ensemble")
+    rows = folds(t).test_rows().where(F.col("model_family") == "baseline_ensemble")
     return rows.select(*test_keys(), rnd("poll_weight").alias("poll_weight"), rnd("step").alias("step"),
         *[(rnd(F.col("bias")[i]) + 0.0).alias(f"b{i}") for i in range(K)])
 
 
+@query("agg_bias_series", with_ctes(f"""
+SELECT {split_id('te')} AS test_election_id, CAST(ta AS VARCHAR) AS test_as_of, round(w, 8) AS poll_weight, round(step, 8) AS step, {each('round(bias{i}, 8) + 0.0 AS b{i}')} FROM shifted WHERE is_test""", HIST_N, NEAR_N, FITS))
+def _(t: Tables):
+    rows = wf.Folds(nation_records(t), K).test_rows().where(F.col("model_family") == "baseline_ensemble")
+    return rows.select("series_id", *test_keys(), rnd("poll_weight", 8).alias("poll_weight"), rnd("step", 8).alias("step"),
+        *[(rnd(F.col("bias")[i], 8) + 0.0).alias(f"b{i}") for i in range(K)])
+
+
 @query("job_point_predictions", with_ctes(f"""
 SELECT {TEST_KEYS}, family AS model_family, {each('round(m{i}, 9) AS m{i}')} FROM pred WHERE is_test""", HIST, FOLDS, FITS))
 def _(t: Tables):
-    return wf.predictions(folds(t), K).where("is_test").select(*test_keys(), "model_family", *vector("pred", "m"))
+    return folds(t).test_rows().select(*test_keys(), "model_family", *vector("pred", "m"))
 
 
 @query("win_rolling_residuals", with_ctes(f"""
 SELECT {TEST_KEYS}, family AS model_family, eid AS election_id, {each('round(r{i}, 8) + 0.0 AS r{i}')} FROM resid""", HIST, FOLDS, FITS))
 def _(t: Tables):
-    out = wf.rolling_residuals(wf.predictions(folds(t), K), K)
+    out = wf.rolling_residuals(folds(t).rows(), K)
     return out.select(*test_keys(), "model_family", "election_id", *[(rnd(F.col("residual")[i], 8) + 0.0).alias(f"r{i}") for i in range(K)])
 
 
@@ -287,7 +345,7 @@ SELECT {TEST_KEYS}, family AS model_family, count(*) AS n, round(0.75 * (covar_s
        + 0.25 * greatest((covar_samp(r0, r0) + covar_samp(r1, r1) + covar_samp(r2, r2)) / 3, 0.005 * 0.005) * 2 / 3, 9) AS c00
 FROM resid GROUP BY te, ta, family""", HIST, FOLDS, FITS))
 def _(t: Tables):
-    out = wf.residual_covariance(wf.rolling_residuals(wf.predictions(folds(t), K), K), K)
+    out = folds(t).covariances()
     clipped = out.withColumn("covariance", wf.clip_eigenvalues("covariance"))
     return clipped.select(*test_keys(), "model_family", "n", rnd(F.col("covariance")[0][0]).alias("c00"))
 
@@ -384,8 +442,8 @@ def verified(t: Tables):
     return records(t).withColumn("provenance_verified", F.lit(True))
 
 
-@query("job_reliability", with_ctes(f"""
-SELECT CASE WHEN years < 20 THEN '{wf.REASONS["span"]}' ELSE '' END AS reasons, years >= 20 AS reliable
+@query("job_reliability", with_ctes("""
+SELECT CASE WHEN years < 20 THEN 'span' ELSE '' END AS reasons, years >= 20 AS reliable
 FROM (SELECT year(max(ed)) - year(min(ed)) AS years FROM rec)""", HIST))
 def _(t: Tables):
     r = verified(t)
@@ -406,19 +464,18 @@ bound AS (
     JOIN dnum x ON x.family = p.family AND x.slot = p.pick GROUP BY 1, 2) GROUP BY 1),
 judged AS (
   SELECT c.family, c.brier, c.rmse, concat_ws('; ',
-    CASE WHEN c.brier >= b.brier THEN c.family || ': ' || printf('Brier %.4f does not beat baseline %.4f', c.brier, b.brier)
-         WHEN up >= 0 THEN c.family || ': paired bootstrap does not establish familywise 90% Brier superiority' END,
-    CASE WHEN c.rmse > b.rmse * 1.05 THEN c.family || ': vote-share RMSE exceeds baseline by more than 5%' END,
-    CASE WHEN c.coverage < 0.8 THEN c.family || ': empirical 90% interval coverage is below 80%' END,
-    CASE WHEN k.calibration_error > 0.1 THEN c.family || ': winner-probability calibration error exceeds 10%' END,
-    CASE WHEN k.calibration_error > b.calibration_error + 0.01 THEN c.family || ': winner-probability calibration is materially worse than baseline' END) AS why
+    CASE WHEN c.brier >= b.brier THEN printf('%s:brier:%.4f:%.4f', c.family, c.brier, b.brier) WHEN up >= 0 THEN printf('%s:paired_upper:%.4f:%.4f', c.family, up, 0.0::DOUBLE) END,
+    CASE WHEN c.rmse > b.rmse * 1.05 THEN printf('%s:rmse:%.4f:%.4f', c.family, c.rmse, b.rmse * 1.05) END,
+    CASE WHEN c.coverage < 0.8 THEN printf('%s:coverage:%.4f:%.4f', c.family, c.coverage, 0.8::DOUBLE) END,
+    CASE WHEN k.calibration_error > 0.1 THEN printf('%s:calibration:%.4f:%.4f', c.family, k.calibration_error, 0.1::DOUBLE) END,
+    CASE WHEN k.calibration_error > b.calibration_error + 0.01 THEN printf('%s:calibration_margin:%.4f:%.4f', c.family, k.calibration_error, b.calibration_error + 0.01) END) AS why
   FROM clustered c JOIN calibration k USING (family) JOIN bound USING (family) CROSS JOIN best b)"""
 
 
 @query("job_promotion", with_ctes("""
 SELECT coalesce(arg_min(family, (brier, rmse)) FILTER (why = ''), '') AS winner,
        CASE WHEN count(*) FILTER (why = '') = 0 THEN 'baseline_retained' ELSE 'challenger_promoted' END AS status,
-       CASE WHEN count(*) FILTER (why = '') = 0 THEN string_agg(why, '; ' ORDER BY family) ELSE 'Beat ' || (SELECT family FROM best) || ' on Brier score; Vote-share RMSE and interval coverage gates passed' END AS reasons
+       CASE WHEN count(*) FILTER (why = '') = 0 THEN string_agg(why, '; ' ORDER BY family) ELSE 'beats:' || (SELECT family FROM best) END AS reasons
 FROM judged""", HIST, FOLDS, FITS, SCORES, CALIBRATION, METRICS, PAIRED))
 def _(t: Tables):
     r = verified(t)

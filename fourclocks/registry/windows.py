@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fourclocks.bindings import EVENT_CUTOFF, Tables, ts
 from fourclocks.operators import asof, ranking, revisions
-from fourclocks.operators.segments import running_totals, time_segment, trailing_count
+from fourclocks.operators.segments import balanced_segments, running_totals, trailing_count
 from fourclocks.registry import clock_text, day_text, query, rnd, with_ctes
 from fourclocks.registry.ctes import FEED, OBS, RUNS
 from fourclocks.session import shared_folder
@@ -37,7 +37,8 @@ SELECT unit_id, contestant_id, event_id, CAST(sum(step) OVER (PARTITION BY unit_
 FROM (SELECT *, CASE WHEN lag(k % 3) OVER (PARTITION BY unit_id, contestant_id ORDER BY reported_at, event_id) IS NOT DISTINCT FROM k % 3
              THEN 0 ELSE 1 END AS step FROM feed)""", FEED))
 def _(t: Tables):
-    out = revisions.number_revisions(bucketed(t), KEYS, ORDER, "content", time_segment(F.col("reported_at")))
+    feed = bucketed(t)
+    out = revisions.number_revisions(feed, KEYS, ORDER, "content", balanced_segments(feed, ORDER))
     return out.select(*KEYS, "event_id", "revision")
 
 
@@ -45,7 +46,8 @@ def _(t: Tables):
 SELECT unit_id, contestant_id, event_id, CAST(dense_rank() OVER (PARTITION BY unit_id, contestant_id ORDER BY f) - 1 AS BIGINT) AS revision
 FROM (SELECT *, min(event_id) OVER (PARTITION BY unit_id, contestant_id, k % 3) AS f FROM feed)""", FEED))
 def _(t: Tables):
-    out = revisions.number_revisions(bucketed(t), KEYS, ORDER, "content", time_segment(F.col("reported_at")), "any")
+    feed = bucketed(t)
+    out = revisions.number_revisions(feed, KEYS, ORDER, "content", balanced_segments(feed, ORDER), "any")
     return out.select(*KEYS, "event_id", "revision")
 
 
@@ -57,7 +59,7 @@ FROM (SELECT *, lag(votes) OVER w AS previous_votes, lag(k) OVER w AS previous_k
 WHERE votes < previous_votes OR k < previous_k""", FEED))
 def _(t: Tables):
     feed = t.feed.withColumn("reporting_fraction", F.col("k") / 100.0)
-    bad = revisions.monotonic_violations(feed, KEYS, ORDER, time_segment(F.col("reported_at")))
+    bad = revisions.monotonic_violations(feed, KEYS, ORDER, balanced_segments(feed, ORDER))
     return bad.select("event_id", *KEYS, "votes", "previous_votes", "reason")
 
 
@@ -67,7 +69,7 @@ SELECT event_id, count(*) OVER w AS reported, CAST(sum(votes) OVER w AS BIGINT)
 FROM feed WINDOW w AS (PARTITION BY unit_id, contestant_id ORDER BY reported_at, event_id)""", FEED))
 def _(t: Tables):
     totals = {"reported": F.lit(1), "votes_so_far": F.col("votes")}
-    running = running_totals(t.feed, KEYS, ORDER, totals, time_segment(F.col("reported_at")))
+    running = running_totals(t.feed, KEYS, ORDER, totals, balanced_segments(t.feed, ORDER))
     whole = t.feed.groupBy(*KEYS).agg(F.count("*").alias("n"))
     return running.join(whole, KEYS).select(
         "event_id", F.col("reported").cast("long").alias("reported"), "votes_so_far",
