@@ -52,6 +52,7 @@ def load() -> None:
     """Import every module that registers queries."""
     from fourclocks.registry import (  # noqa: F401
         aggregates,
+        audits,
         contracts,
         functions,
         history,

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fourclocks.bindings import CONTESTANTS, EVENT_CUTOFF, Tables, ts
-from fourclocks.operators import seats
+from fourclocks.bindings import CONTESTANTS, EVENT_CUTOFF, MODES, Tables, ts
+from fourclocks.operators import asof, seats
 from fourclocks.plans import evidence, publication
 from fourclocks.registry import clock_text, day_text, query, rnd, with_ctes
 from fourclocks.registry.aggregates import SPECS
 from fourclocks.registry.ctes import FEED, OBS, POLLS, VOTES
 from fourclocks.registry.seats import ELIGIBLE, REMAINDER
+from fourclocks.registry.sources import scratch
 
 K = len(CONTESTANTS)
 
@@ -136,35 +137,76 @@ def derived(kind: str, parts: str) -> str:
     return (f"substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-5' || substr({digest}, 14, 3) || '-' || {variant} || substr({digest}, 18, 3) || '-' || substr({digest}, 21, 12)")
 
 
-@query("job_bundle_normalise", with_ctes(f"""
-SELECT 'model_versions' AS entity, {derived('model', "'v1:' || mode")} AS id, mode AS detail FROM polls GROUP BY mode
-UNION ALL SELECT 'forecast_snapshots', {derived('snapshot', 'poll_id')}, CAST(election_id AS VARCHAR) FROM polls
-UNION ALL SELECT 'simulation_runs', {derived('run', "poll_id || ':' || mode")}, {derived('model', "'v1:' || mode")} FROM polls
-UNION ALL SELECT 'forecast_outcomes', {derived('snapshot', 'poll_id')}, c FROM polls CROSS JOIN (VALUES ('A'), ('N'), ('R')) v(c)
-UNION ALL SELECT 'forecast_coalitions', {derived('snapshot', 'poll_id')}, c FROM polls CROSS JOIN (VALUES ('A+R'), ('A+N')) v(c)
-UNION ALL SELECT 'duplicates', {derived('snapshot', 'poll_id')}, '' FROM polls WHERE pollster = election_id""", POLLS))
-def _(t: Tables):
+FEATURES = """'{"drivers":[],"input_provenance":[{"source_id":"' || mode || '"}],"input_revision_ids":["' || pollster || '","' || election_id || '"],"missing_drivers":null}'"""
+
+
+def bundle_documents(t: Tables):
+    """Polls as forecast documents: each cites the revisions of its pollster and of its election."""
     text = {c: F.col(c).cast("string") for c in ("poll_id", "election_id", "pollster")}
 
     def member(i):
-        return F.struct(F.lit(CONTESTANTS[i]).alias("contestant_id"), F.lit(0.5).alias("win_probability"), F.col("shares")[i].alias("projected_share"))
+        share = F.col("shares")[i]
+        seats = F.floor(share * 100).cast("int")
+        return F.struct(
+            F.lit(CONTESTANTS[i]).alias("contestant_id"), F.lit(0.5).alias("win_probability"), share.alias("projected_share"), (share - 0.1).alias("share_low"), (share + 0.1).alias("share_high"),
+            seats.alias("projected_seats"), (seats - 3).alias("seats_low"), (seats + 3).alias("seats_high"))
 
     def pair(*ids):
-        return F.struct(F.array(*[F.lit(i) for i in ids]).alias("member_ids"), F.lit(0.5).alias("majority_probability"))
+        return F.struct(F.array(*[F.lit(i) for i in ids]).alias("member_ids"), F.lit(0.5).alias("majority_probability"), F.lit(50).alias("seats_median"), F.lit(40).alias("seats_low"), F.lit(60).alias("seats_high"))
 
     document = F.struct(
         text["poll_id"].alias("id"), text["election_id"].alias("election_id"), day_text("fieldwork_end").alias("as_of"), F.lit("v1").alias("model_version"),
         F.col("mode").alias("model_family"), F.array(text["pollster"], text["election_id"]).alias("input_revision_ids"),
+        F.array(F.struct(F.col("mode").alias("source_id"))).alias("input_provenance"), F.array().cast("array<struct<label:string,confidence:double>>").alias("drivers"),
         F.array(*[member(i) for i in range(K)]).alias("outcomes"), F.array(pair("R", "A"), pair("A", "N")).alias("coalition_outcomes"))
-    tables = publication.normalise_bundles(t.polls.select(F.to_json(document).alias("content")))
+    return t.polls.select(F.to_json(document).alias("content"))
+
+
+@query("job_bundle_normalise", with_ctes(f"""
+SELECT 'model_versions' AS entity, {derived('model', "'v1:' || mode")} AS id, mode AS detail FROM polls GROUP BY mode
+UNION ALL SELECT 'forecast_snapshots', {derived('snapshot', 'poll_id')}, CAST(election_id AS VARCHAR) FROM polls
+UNION ALL SELECT 'simulation_runs', {derived('run', "poll_id || ':' || mode")}, {derived('model', "'v1:' || mode")} FROM polls
+UNION ALL SELECT 'feature_snapshots', {derived('feature', f"poll_id || ':' || sha256({FEATURES})")}, sha256({FEATURES}) FROM polls
+UNION ALL SELECT 'forecast_outcomes', {derived('snapshot', 'poll_id')}, c FROM polls CROSS JOIN (VALUES ('A'), ('N'), ('R')) v(c)
+UNION ALL SELECT 'forecast_coalitions', {derived('snapshot', 'poll_id')}, c FROM polls CROSS JOIN (VALUES ('A+R'), ('A+N')) v(c)
+UNION ALL SELECT 'duplicates', {derived('snapshot', 'poll_id')}, '' FROM polls WHERE pollster = election_id""", POLLS))
+def _(t: Tables):
     picks = {
         "model_versions": ("model_id", "model_family"), "forecast_snapshots": ("snapshot_id", "election_id"), "simulation_runs": ("run_id", "model_id"),
-        "forecast_outcomes": ("snapshot_id", "contestant_id"), "forecast_coalitions": ("snapshot_id", "coalition_key"), "duplicates": ("snapshot_id", None)}
-    out = None
-    for name, (ident, detail) in picks.items():
-        part = tables[name].select(F.lit(name).alias("entity"), F.col(ident).alias("id"), (F.col(detail) if detail else F.lit("")).alias("detail"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        "feature_snapshots": ("feature_id", "content_sha256"), "forecast_outcomes": ("snapshot_id", "contestant_id"), "forecast_coalitions": ("snapshot_id", "coalition_key"), "duplicates": ("snapshot_id", None)}
+    tagged = publication.tagged_bundles(bundle_documents(t)).where(F.col("entity").isin(*picks))
+    ident, detail = F.lit(None).cast("string"), F.lit("")
+    for name, (first, second) in picks.items():
+        own = F.col("entity") == name
+        ident = F.when(own, F.col(f"{name}.{first}")).otherwise(ident)
+        detail = F.when(own, F.col(f"{name}.{second}")).otherwise(detail) if second else detail
+    # documents share model versions; all other rows differ
+    return tagged.select("entity", ident.alias("id"), detail.alias("detail")).distinct()
+
+
+@query("job_bundle_fields", with_ctes("""
+SELECT poll_id, c AS contestant_id, round(s, 9) AS projected_share, round(s - 0.1, 9) AS share_low, round(s + 0.1, 9) AS share_high, CAST(floor(s * 100) AS INTEGER) AS projected_seats,
+       CAST(floor(s * 100) AS INTEGER) - 3 AS seats_low, CAST(floor(s * 100) AS INTEGER) + 3 AS seats_high
+FROM (SELECT poll_id, unnest(['A', 'N', 'R']) AS c, unnest([sa, sn, sr]) AS s FROM polls)""", POLLS))
+def _(t: Tables):
+    tagged = publication.load_bundles(bundle_documents(t), scratch(t, "bundles"))
+    snapshots = publication.bundle_table(tagged, "forecast_snapshots").select("snapshot_id", F.col("document_id").cast("long").alias("poll_id"))
+    outcomes = publication.bundle_table(tagged, "forecast_outcomes").join(snapshots, "snapshot_id")
+    return outcomes.select("poll_id", "contestant_id", *[rnd(c).alias(c) for c in ("projected_share", "share_low", "share_high")], "projected_seats", "seats_low", "seats_high")
+
+
+@query("job_bundle_verify", with_ctes("""
+SELECT poll_id AS document_id, CASE WHEN pollster = election_id THEN 'duplicate_revisions' WHEN c_mktsegment = 'BUILDING' OR (e.c_custkey IS NULL) OR e_late OR p_late THEN 'unverified' ELSE 'verified' END AS status
+FROM (SELECT p.poll_id, p.pollster, p.election_id, a.c_mktsegment, e.c_custkey, p.pollster % 7 = 3 AND p.fieldwork_end < DATE '1995-01-01' AS p_late,
+             (e.c_mktsegment = 'BUILDING') OR (p.election_id % 7 = 3 AND p.fieldwork_end < DATE '1995-01-01') AS e_late
+      FROM polls p JOIN customer a ON a.c_custkey = p.pollster LEFT JOIN customer e ON e.c_custkey = p.election_id) AS e""", POLLS))
+def _(t: Tables):
+    # a revision for each customer, under every mode as its source; those of one segment come from elsewhere, some are late
+    there = F.when(F.col("c_custkey") % 7 == 3, F.lit("1995-01-01")).otherwise(F.lit("1970-01-01")).cast("timestamp")
+    modes = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("elsewhere"))).otherwise(F.array(*[F.lit(m) for m in (*sorted(set(MODES.values())), "unknown")]))
+    revisions = t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.explode(modes).alias("source_id"), there.alias("available_at"), there.alias("retrieved_at"))
+    out = publication.verify_bundles(publication.load_bundles(bundle_documents(t), scratch(t, "bundles")), revisions)
+    return out.select(F.col("document_id").cast("long").alias("document_id"), "status")
 
 
 @query("job_pack_normalise", """
@@ -204,21 +246,38 @@ def _(t: Tables):
     return out
 
 
-@query("job_live_results", with_ctes("""
-SELECT unit_id, decision, count(*) AS n FROM (
-  SELECT event_id, unit_id, CASE WHEN decision = 'accepted' AND (votes < lag(votes) OVER w OR k < lag(k) OVER w) THEN 'regressed' ELSE decision END AS decision
+LIVE = """
+  SELECT event_id, unit_id, contestant_id, CASE WHEN decision = 'accepted' AND (votes < lag(votes) OVER w OR k < lag(k) OVER w) THEN 'regressed' ELSE decision END AS decision
   FROM (SELECT f.*, CASE WHEN NOT reported_at BETWEEN opens_at AND closes_at THEN 'outside_window' WHEN c_custkey IS NULL THEN 'unknown_unit'
                WHEN contestant_id NOT IN ('click', 'view', 'purchase') THEN 'unknown_contestant' ELSE 'accepted' END AS decision
         FROM feed f JOIN (SELECT user_id, min(ts) FILTER (value > 50) AS opens_at, max(ts) FILTER (value > 50) AS closes_at FROM events GROUP BY 1) ON user_id = unit_id
         LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON c_custkey = unit_id)
-  WINDOW w AS (PARTITION BY unit_id, contestant_id, decision ORDER BY reported_at, event_id)) GROUP BY 1, 2""", FEED))
-def _(t: Tables):
+  WINDOW w AS (PARTITION BY unit_id, contestant_id, decision ORDER BY reported_at, event_id)"""
+
+
+def live_decisions(t: Tables):
     clock = F.when(F.col("value") > 50, F.col("ts").cast("timestamp"))
     windows = t.events.groupBy(F.col("user_id").alias("unit_id")).agg(F.min(clock).alias("opens_at"), F.max(clock).alias("closes_at"))
     units = t.customer.where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("unit_id"))
     rows = t.feed.withColumn("reporting_fraction", F.col("k") / 100.0).drop("k")
-    decided = publication.live_ingest(rows, windows, units, ("click", "view", "purchase"))
-    return decided.groupBy("unit_id", "decision").agg(F.count("*").alias("n"))
+    return publication.live_ingest(rows, windows, units, ("click", "view", "purchase"))
+
+
+@query("job_live_results", with_ctes(f"SELECT unit_id, decision, count(*) AS n FROM ({LIVE}) GROUP BY 1, 2", FEED))
+def _(t: Tables):
+    return live_decisions(t).groupBy("unit_id", "decision").agg(F.count("*").alias("n"))
+
+
+@query("job_live_published", with_ctes(f"""
+SELECT {derived('official_result_update', "unit_id || ':' || n")} AS id, unit_id, n AS rows, stored FROM (
+  SELECT unit_id, count(*) AS n, count(DISTINCT contestant_id) AS stored FROM ({LIVE}) WHERE decision = 'accepted' GROUP BY 1)""", FEED))
+def _(t: Tables):
+    base = scratch(t, "live")
+    # decided once, then appended, served and announced from what was stored
+    table, events = publication.publish_live(live_decisions(t), base + "/results", base + "/events", ts(EVENT_CUTOFF))
+    again, _ = publication.publish_live(live_decisions(t).limit(50), base + "/results", base + "/again", ts(EVENT_CUTOFF))  # known rows add nothing
+    served = asof.newest(again, ["unit_id", "contestant_id"], ["reported_at", "event_id"]).groupBy("unit_id").agg(F.count("*").alias("stored"))
+    return events.select("id", "unit_id", "rows").join(served, "unit_id")
 
 
 @query("job_live_events", with_ctes(f"""
