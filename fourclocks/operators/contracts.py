@@ -314,4 +314,7 @@ def snapshot_view(snapshots: DataFrame, kind: str) -> DataFrame:
             "data_quality",
             "freshness",
         )
-    return snapshots.select(*[c for c in VIEWS[kind] if c in snapshots.columns])
+    absent = [c for c in VIEWS[kind] if c not in snapshots.columns]
+    if absent:
+        raise ValueError(f"view {kind} needs columns that are absent: {absent}")
+    return snapshots.select(*VIEWS[kind])

@@ -121,6 +121,14 @@ def _(t: Tables):
     return _rounded(draw_ops.summarise_draws(t.draws, ["election_id", "scenario_id"], CONTESTANTS))
 
 
+@query("agg_draw_missing", with_ctes("""
+SELECT e.n_nationkey AS election_id, s.scenario_id FROM nation e CROSS JOIN (VALUES ('1-URGENT'), ('5-LOW'), ('none')) s(scenario_id)
+WHERE NOT EXISTS (SELECT 1 FROM draws d WHERE d.election_id = e.n_nationkey AND d.scenario_id = s.scenario_id)""", DRAWS))
+def _(t: Tables):
+    declared = t.nation.select(F.col("n_nationkey").alias("election_id"), F.explode(F.array(F.lit("1-URGENT"), F.lit("5-LOW"), F.lit("none"))).alias("scenario_id"))
+    return draw_ops.missing_scenarios(t.draws, declared, ["election_id", "scenario_id"])
+
+
 @query("agg_draw_majority", with_ctes("""
 SELECT election_id, count(*) AS draws, round(avg(CAST(top >= majority AS INTEGER)), 9) AS majority_probability,
        round(median(turnout), 9) AS turnout_median

@@ -253,6 +253,27 @@ def _(t: Tables):
     return view.withColumns({"as_of": day_text("as_of"), "published_at": day_text("published_at")})
 
 
+def view_sql(kind: str, *columns: str) -> str:
+    return f"SELECT '{kind}' AS kind, {' || chr(124) || '.join(f'CAST({c} AS VARCHAR)' for c in columns)} AS row FROM v"
+
+
+@query("proj_snapshot_kinds", "WITH v AS (SELECT * FROM orders JOIN customer ON c_custkey = o_custkey)\n" + "\nUNION ALL ".join((
+    view_sql("simulation", "o_orderkey", "c_nationkey", "o_orderpriority", "o_custkey"), view_sql("sources", "o_orderkey", "c_nationkey", "c_name"),
+    view_sql("drivers", "o_orderkey", "c_nationkey", "c_mktsegment"), view_sql("map", "o_orderkey", "c_nationkey", "c_custkey"), view_sql("mechanics", "c_nationkey", "o_orderstatus", "c_custkey"),
+    view_sql("comparison", "c_nationkey", "o_orderpriority", "c_custkey", "o_orderkey"), view_sql("catalog", "c_nationkey", "c_custkey", "o_orderstatus"))))
+def _(t: Tables):
+    snapshots = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(
+        F.col("o_orderkey").alias("snapshot_id"), F.col("c_nationkey").alias("election_id"), F.col("o_orderpriority").alias("model_family"), F.col("o_custkey").alias("simulation_count"),
+        F.col("c_name").alias("source_ids"), F.col("c_mktsegment").alias("drivers"), F.col("c_custkey").alias("jurisdiction_id"), F.col("o_orderstatus").alias("system"),
+        F.col("c_custkey").alias("seats_total"), F.col("c_custkey").alias("brier"), F.col("o_orderkey").alias("rmse"), F.col("o_orderstatus").alias("coverage_status"))
+    out = None
+    for kind in contracts.VIEWS:
+        view = contracts.snapshot_view(snapshots, kind)
+        part = view.select(F.lit(kind).alias("kind"), F.concat_ws("|", *[F.col(c).cast("string") for c in view.columns]).alias("row"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("flt_latest_year_codes", """
 SELECT o_orderkey, year(o_orderdate) AS year, CASE o_orderpriority WHEN '1-URGENT' THEN 'electoral-democracy' ELSE 'liberal-democracy' END AS label
 FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) AND o_orderpriority IN ('1-URGENT', '2-HIGH')""".replace("year(o_orderdate) AS year", "CAST(year(o_orderdate) AS INTEGER) AS year"))

@@ -20,6 +20,12 @@ def _(t: Tables):
     return t.orders.select("o_orderkey", x.content_hash(*parts, F.lit(None)).alias("sha"))
 
 
+@query("fn_json_hash", """
+SELECT o_orderkey, sha256('{"customer":' || o_custkey || ',"note":null,"status":"' || o_orderstatus || '"}') AS sha FROM orders""")
+def _(t: Tables):
+    return t.orders.select("o_orderkey", x.json_hash(status=F.col("o_orderstatus"), customer=F.col("o_custkey"), note=F.lit(None).cast("string")).alias("sha"))
+
+
 DIGEST = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url))"
 
 

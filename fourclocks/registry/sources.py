@@ -178,10 +178,12 @@ def _(t: Tables):
     return tabular.parse_event_export(t.events.select("event_id", line.alias("line")))
 
 
-@query("src_calendar_records", """
+CALENDAR = """
 SELECT o_orderkey, 'e-' || o_orderkey AS election_id, 'Vote & count ' || o_orderkey AS name, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS election_date,
-       CASE o_orderstatus WHEN 'F' THEN 'held' ELSE 'scheduled' END AS status FROM orders""")
-def _(t: Tables):
+       CASE o_orderstatus WHEN 'F' THEN 'held' ELSE 'scheduled' END AS status"""
+
+
+def calendar_objects(t: Tables):
     key = F.col("o_orderkey").cast("string")
     ident, name = F.concat(F.lit("e-"), key), F.concat(F.lit("Vote & count "), key)
     status = F.when(F.col("o_orderstatus") == "F", "Held").otherwise("Scheduled")
@@ -200,10 +202,30 @@ def _(t: Tables):
         F.when(kind == "1-URGENT", F.to_json(F.array(record))).when(kind == "2-HIGH", F.concat(F.lit('{"elections":'), F.to_json(F.array(record)), F.lit("}")))
         .when(kind == "3-MEDIUM", ics).when(kind == "5-LOW", csv).otherwise(html).alias("content"),
         F.when(kind.isin("1-URGENT", "2-HIGH"), "json").when(kind == "3-MEDIUM", "ics").when(kind == "5-LOW", "csv").otherwise("html").alias("format"))
-    out = calendars.parse_calendar(raw).where("valid")
+    return raw
+
+
+@query("src_calendar_records", CALENDAR + " FROM orders")
+def _(t: Tables):
+    out = calendars.parse_calendar(calendar_objects(t)).where("valid")
     return out.select("o_orderkey", "election_id", "name", day_text("election_date").alias("election_date"), "status")
 
 
+@query("src_calendar_unreadable", CALENDAR.replace("SELECT", "SELECT TRUE AS valid,") + """
+FROM orders WHERE o_orderkey % 13 <> 5 UNION ALL SELECT FALSE, o_orderkey, '', '', '', '' FROM orders WHERE o_orderkey % 13 = 5""")
+def _(t: Tables):
+    # every thirteenth object is cut short, of no known format or of none
+    turn, raw = F.col("o_orderkey") % 39, calendar_objects(t)
+    broken = F.col("o_orderkey") % 13 == 5
+    raw = raw.withColumns({
+        "content": F.when(broken, F.substring("content", 1, 11)).otherwise(F.col("content")),
+        "format": F.when(turn == 18, "docx").when(turn == 31, F.lit(None)).otherwise(F.col("format"))})
+    out = calendars.parse_calendar(raw)
+    shown = [F.when(F.col("valid"), c).otherwise("").alias(n) for n, c in (
+        ("election_id", F.col("election_id")), ("name", F.col("name")), ("election_date", day_text("election_date")), ("status", F.col("status")))]
+    return out.select("valid", "o_orderkey", *shown)
+
+
 @query("src_markup_poll_tables", with_ctes("""
 SELECT poll_id, CAST(ra + rb AS INTEGER) AS rows_used, round((ra * (a - 1) + rb * (a + 1)) / (100.0 * (ra + rb)), 9) AS first_share,
        round(1 - (ra * (a - 1) + rb * (a + 1)) / (100.0 * (ra + rb)), 9) AS second_share
@@ -223,6 +245,23 @@ def _(t: Tables):
     return out.withColumns({"first_share": rnd("first_share"), "second_share": rnd("second_share")})
 
 
+@query("src_markup_vectors", with_ctes("""
+SELECT poll_id, CAST(ra + rb AS INTEGER) AS rows_used, round((ra * a + rb * (a + 1)) / (100.0 * ra + 101.0 * rb), 9) AS first_share, round(n * (ra + rb) / (100.0 * ra + 101.0 * rb), 9) AS second_share,
+       round(r * (ra + rb) / (100.0 * ra + 101.0 * rb), 9) AS other_share
+FROM (SELECT *, CAST(a < 100 AND n < 100 AND r < 100 AS INTEGER) AS ra, CAST(a + 1 < 100 AND n < 100 AND r < 100 AS INTEGER) AS rb
+      FROM (SELECT *, 100 - a - n AS r FROM (SELECT poll_id, CAST(floor(100 * sa) AS INTEGER) AS a, CAST(floor(100 * sn) AS INTEGER) AS n FROM polls)))
+WHERE ra + rb > 0""", POLLS))
+def _(t: Tables):
+    a, n = F.floor(F.col("shares")[0] * 100).cast("int"), F.floor(F.col("shares")[1] * 100).cast("int")
+    text = [x.cast("string") for x in (a, n, 100 - a - n, a + 1)]
+    body = F.concat(
+        F.lit("Intro\n{| class=first\n| Other || 30 || 30 || 40\n|}\n== Campaign polling ==\n{{Box\n|a=1\n|}}\n{| class=x\n! Firm !! One !! Two !! Rest\n|-\n| Poll A || "), F.concat_ws(" || ", *text[:3]),
+        F.lit("\n|\n{| class=inner\n| 2 || 20 || 20 || 60\n|-\n| 3 || 10 || 20 || 70\n|}\n|-\n| Poll B || "), F.concat_ws(" || ", text[3], *text[1:3]),
+        F.lit("\n|-\n| Gap || 12 || n/a || 3\n|-\n| Sum || 40 || 40 || 40\n|}\n{| class=later\n| x || 30 || 30 || 40\n|}"))
+    out = markup.extract_poll_vectors(t.polls.select("poll_id", body.alias("content")), markup.VectorRules(r"^==\s*Campaign polling\s*==\s*$", 1))
+    return out.withColumns({c: rnd(c) for c in ("first_share", "second_share", "other_share")})
+
+
 @query("src_geojson_layer", """
 SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'geometry_type' WHEN c_mktsegment = 'BUILDING' THEN 'empty_coordinates' WHEN c_mktsegment = 'MACHINERY' THEN 'no_features' ELSE '' END AS problem
 FROM customer WHERE NOT (c_acctbal < 0 AND c_mktsegment = 'MACHINERY')
@@ -242,19 +281,27 @@ def scratch(t: Tables, name: str) -> str:
 
 
 @query("src_pack_scan", """
-SELECT 'n' || n_nationkey AS jurisdiction_id, n_name AS name, count(c_custkey) > 0 AS hashed FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+SELECT 'n' || n_nationkey AS jurisdiction_id, n_name AS name, sha256('{"jurisdiction":{"id":"n' || n_nationkey || '","name":"' || n_name || '"},"rules":{"engine":"fptp"}}' || chr(10)) AS sha256,
+       'part=' || n_nationkey AS folder FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
 def _(t: Tables):
     folder = scratch(t, "packs")
     present = t.nation.join(t.customer.select(F.col("c_nationkey").alias("n_nationkey")), "n_nationkey", "left_semi")
     body = F.struct(
         F.struct(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name")).alias("jurisdiction"),
         F.create_map(F.lit("engine"), F.lit("fptp")).alias("rules"))
-    rows = present.select(F.col("n_nationkey").alias("part"), F.to_json(body).alias("value"))
-    rows.write.partitionBy("part").option("lineSep", "\n").text(os.path.join(folder, "files"))
-    files = snapshots.read_snapshots(t.spark, folder, "*.txt")
-    pack = F.from_json(F.col("content").cast("string"), documents.PACK)
-    return files.select(pack["jurisdiction"]["id"].alias("jurisdiction_id"), pack["jurisdiction"]["name"].alias("name"),
-        (F.length(F.sha2("content", 256)) == 64).alias("hashed"))
+    rows = present.select(F.col("n_nationkey").alias("part"), F.from_json(F.to_json(body), "jurisdiction struct<id:string,name:string>, rules map<string,string>").alias("b")).select("part", "b.*")
+    rows.repartition("part").write.partitionBy("part").json(folder)
+    packs = documents.read_packs(t.spark, folder)
+    named = F.element_at(F.split("path", "/"), -2)
+    return packs.select(F.col("pack.jurisdiction.id").alias("jurisdiction_id"), F.col("pack.jurisdiction.name").alias("name"), "sha256", named.alias("folder"))
+
+
+@query("src_snapshot_collisions", """
+SELECT 'k' || (doc_id % 50) AS object_key, count(DISTINCT text) AS contents FROM documents GROUP BY 1 HAVING count(DISTINCT text) > 1""")
+def _(t: Tables):
+    # a store that files texts under a key of its own instead of their digest
+    stored = t.documents.select(F.concat(F.lit("k"), (F.col("doc_id") % 50).cast("string")).alias("object_key"), F.sha2("text", 256).alias("sha256"))
+    return snapshots.snapshot_collisions(stored)
 
 
 @query("src_elections_by_year", """

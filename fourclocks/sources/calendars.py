@@ -61,15 +61,21 @@ def html_records(content: Column) -> Column:
     header = F.transform(cells[0], lambda h: F.lower(F.trim(h)))
     body = F.filter(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))), lambda r: F.size(r) > 0)
 
+    # of a repeated header the last column counts, as in CSV
+    places = F.transform(F.array_distinct(header), lambda name: F.struct(name.alias("name"), (F.size(header) - F.array_position(F.reverse(header), name) + 1).cast("int").alias("at")))
+
     def record(row):
-        width = F.least(F.size(header), F.size(row))
-        return F.map_from_arrays(F.slice(header, F.lit(1), width), F.slice(row, F.lit(1), width))
+        there = F.filter(places, lambda p: p["at"] <= F.size(row))
+        return F.map_from_arrays(there["name"], F.transform(there["at"], lambda at: F.element_at(row, at)))
 
     return F.when(F.size(rows) >= 2, F.transform(body, record))
 
 
 def parse_calendar(raw: DataFrame, fields: CalendarFields = CalendarFields()) -> DataFrame:
-    """Calendar records of raw objects (``format``: json, csv, ics, html) with a ``valid`` flag."""
+    """Calendar records of raw objects (``format``: json, csv, ics, html) with a ``valid`` flag.
+
+    An object that cannot be read, holds no records or has another format keeps one row, which is not valid.
+    """
     body = raw.withColumn("content", clean(F.col("content")))
     kind = F.col("format")
     listed = (
@@ -77,7 +83,7 @@ def parse_calendar(raw: DataFrame, fields: CalendarFields = CalendarFields()) ->
         .when(kind == "ics", ics_records(F.col("content")))
         .when(kind == "html", html_records(F.col("content")))
     )
-    exploded = body.where(kind != "csv").withColumn("record", F.explode(listed))
+    exploded = body.where(~kind.eqNullSafe(F.lit("csv"))).withColumn("record", F.explode_outer(listed))
     rows = exploded.unionByName(csv_records(body.where(kind == "csv"), "content"))
 
     def at(name):

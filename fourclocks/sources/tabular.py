@@ -63,12 +63,15 @@ def csv_records(df: DataFrame, content: str, name: str = "record") -> DataFrame:
 
 
 def records(raw: DataFrame, list_field: str = "results") -> DataFrame:
-    """``record`` maps of raw objects whose ``format`` column says json or csv; an unreadable object keeps one null record."""
+    """``record`` maps of raw objects whose ``format`` column says json or csv; an unreadable object, one of another format or
+    of none keeps one null record."""
     body = raw.withColumn("content", clean(F.col("content")))
     from_json = body.where(F.col("format") == "json").withColumn(
         "record", F.explode_outer(json_records(F.col("content"), list_field))
     )
-    return from_json.unionByName(csv_records(body.where(F.col("format") == "csv"), "content"))
+    known = F.coalesce(F.col("format").isin("json", "csv"), F.lit(False))
+    other = body.where(~known).withColumn("record", F.lit(None).cast("map<string,string>"))
+    return from_json.unionByName(csv_records(body.where(F.col("format") == "csv"), "content")).unionByName(other)
 
 
 @dataclass(frozen=True)
