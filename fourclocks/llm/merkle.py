@@ -1,12 +1,13 @@
 """Merkle manifest of a dataset, checked by a recursive climb.
 
 Every row is a leaf. Leaves ascend by id inside their group; pairs are hashed level by level to the group's subroot, and
-the subroots, ordered by group, to the root. Levels are built ``STRIDE`` at a time and stored as node rows: a node's row
-holds the siblings on its way up to the ancestor ``STRIDE`` levels above and a link to that ancestor's row. A recursive
-query starts at the leaves, follows the links, appends the siblings and folds a possibly tampered leaf hash with them.
+the subroots, ordered by group, to the root. Levels are built ``STRIDES`` at a time and stored as node rows: a node's row
+holds the siblings on its way up to an ancestor several levels above and a link to that ancestor's row; the last link of a
+group goes up to the root. A recursive query starts at the leaves, follows the links, appends the siblings and folds a
+possibly tampered leaf hash with them.
 
-Rows of upper nodes are stored once for each lane of ``2 ** LANE`` neighbouring leaves, so no join key of the climb holds
-more leaves than that, whatever the size of a group; the copies are a small share of the leaves.
+Rows of upper nodes are stored once for each lane of neighbouring leaves (the leaves below one node of the first link), so no
+join key of the climb holds more leaves than that, whatever the size of a group; the copies are a small share of the leaves.
 """
 
 from __future__ import annotations
@@ -24,10 +25,8 @@ from pyspark.sql.window import Window
 
 from fourclocks.llm.common import keep
 
-#: Levels between two stored links, and leaves (as a power of two) that share a copy of an upper node's row.
-STRIDE, LANE = 6, 12
-#: The step of the rows that lead from a subroot to the root.
-TOP = 1_000
+#: Levels between two stored links: of the leaves, and of the nodes above. A lane is the leaves below one first link.
+STRIDES = (12, 6)
 
 _UPS = T.StructType(
     [
@@ -51,14 +50,14 @@ def parent(hashes: Sequence[bytes]) -> bytes:
     return hashlib.sha256("".join(h.hex() for h in hashes).encode()).digest()
 
 
-def climb_block(hashes: Sequence[bytes], size: int) -> tuple[bytes, list[list[bytes | None]]]:
-    """The top of a block of at most ``2 ** STRIDE`` nodes, and for each node its siblings on the way there.
+def climb_block(hashes: Sequence[bytes], size: int, stride: int) -> tuple[bytes, list[list[bytes | None]]]:
+    """The top of a block of at most ``2 ** stride`` nodes, and for each node its siblings on the way there.
 
     ``size`` is the number of nodes on the block's level in the whole tree: a level with one node is the last one. A node
     that is alone in its run has the sibling None.
     """
     level, ups = list(hashes), [[] for _ in hashes]
-    for k in range(STRIDE):
+    for k in range(stride):
         if size <= 1:
             break
         for i, way in enumerate(ups):
@@ -88,66 +87,68 @@ def positions(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return ordered.join(offsets, same).withColumn("pos", F.col("_n") + F.col("_shift")).drop("_n", "_group", "_part", "_shift")
 
 
-def build(leaves: DataFrame, payload: Sequence[str], last: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Leaves with their first links, the node rows above them, and the tops (tree, leaves, hash).
-
-    leaves: tree, pos, leaves, hash and ``payload``. ``last`` is the step that follows a tree's top (None: the climb ends).
-    A block is bounded by ``2 ** STRIDE`` nodes, so no task holds more of a group than that.
-    """
-    width = 1 << STRIDE
-    most = leaves.agg(F.max("leaves")).first()[0] or 0
+def _blocks(rows: DataFrame, stride: int, extra: Sequence[str], size: Column, name: str) -> DataFrame:
+    """Blocks of ``2 ** stride`` neighbouring nodes with their top and each node's siblings; no task holds more of a group."""
 
     def climbed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = batch.column(batch.schema.get_field_index("items"))
-            hashes = items.flatten().field("hash").to_pylist()
-            tops, ups, at = [], [], 0
-            for n, size in zip(items.value_lengths().to_pylist(), batch.column(batch.schema.get_field_index("size")).to_pylist()):
-                top, ways = climb_block(hashes[at : at + n], size)
-                at += n
-                tops.append(top)
-                ups.append(ways)
-            made = [pa.array(tops, pa.binary()), pa.array(ups, pa.list_(pa.list_(pa.binary())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "top", "ups"])
-
-    level, extra, step, shelves, tops = leaves, list(payload), 0, [], None
-    first = None
+            items, sizes = (batch.column(batch.schema.get_field_index(c)) for c in ("items", "size"))
+            for k in range(batch.num_rows):
+                hashes = items.slice(k, 1).flatten().field("hash").to_pylist()
+                top, ways = climb_block(hashes, sizes[k].as_py(), stride)
+                made = [pa.array([top], pa.binary()), pa.array([ways], pa.list_(pa.list_(pa.binary())))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, *made], names=[*batch.schema.names, "top", "ups"])
+
+    item = F.struct("pos", "hash", *extra)
+    blocks = rows.groupBy("tree", "leaves", F.shiftright("pos", stride).alias("block")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    blocks = blocks.withColumn("size", size)
+    return keep(blocks.mapInArrow(climbed, T.StructType([*blocks.schema.fields, *_UPS.fields])), name)
+
+
+def build(leaves: DataFrame, payload: Sequence[str]) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Leaves with their first links, the node rows above them (None: there are none), and the tops (tree, hash).
+
+    leaves: tree, pos, leaves (of the tree), hash and ``payload``. Links carry at (place on their level), up (siblings) and
+    next (the step of the link that follows; null where the top is reached).
+    """
+    most = leaves.agg(F.max("leaves")).first()[0] or 0
+    level, extra, step, below = leaves, list(payload), 0, 0
+    first = nodes = tops = None
     while True:
-        # nodes of this level in the tree
-        size = F.ceil(F.col("leaves") / F.lit(float(width**step))).cast("long")
-        item = F.struct("pos", "hash", *extra)
-        blocks = level.groupBy("tree", "leaves", F.shiftright("pos", STRIDE).alias("block")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-        blocks = blocks.withColumn("size", size)
-        done = keep(blocks.mapInArrow(climbed, T.StructType([*blocks.schema.fields, *_UPS.fields])), f"level-{step}")
-        following = F.when(F.col("size") > width, F.lit(step + 1)).otherwise(F.lit(last).cast("int"))
-        rows = done.select("tree", "leaves", following.alias("next"), F.explode(F.arrays_zip("items", "ups")).alias("z")).select(
+        stride = STRIDES[min(step, 1)]
+        size = F.ceil(F.col("leaves") / F.lit(float(1 << below))).cast("long")  # nodes of this level in the tree
+        done = _blocks(level, stride, extra, size, f"level-{step}")
+        ended = F.col("size") <= 1 << stride
+        rows = done.select("tree", "leaves", F.when(~ended, step + 1).alias("next"), F.explode(F.arrays_zip("items", "ups")).alias("z")).select(
             "tree", "leaves", "next", F.col("z.items.pos").alias("at"), F.col("z.ups").alias("up"), *[F.col("z.items")[c].alias(c) for c in ["hash", *extra]]
         )
         if step == 0:
             first = rows
         else:
-            shelves.append(node_rows(rows, step))
-        ended = done.where(F.col("size") <= width).select("tree", "leaves", F.col("top").alias("hash"))
-        tops = ended if tops is None else tops.unionByName(ended)
-        if most <= width ** (step + 1):
-            break
-        level = done.where(F.col("size") > width).select("tree", "leaves", F.col("block").alias("pos"), F.col("top").alias("hash"))
+            # one copy for each lane below the node
+            wide = below - STRIDES[0]
+            lanes = F.sequence(F.shiftleft("at", wide), F.least(F.shiftleft(F.col("at") + 1, wide) - 1, F.shiftright(F.col("leaves") - 1, STRIDES[0])))
+            shelf = rows.select("tree", F.lit(step).alias("step"), F.explode(lanes).alias("lane"), "at", "up", "next")
+            nodes = shelf if nodes is None else nodes.unionByName(shelf)
+        here = done.where(ended).select("tree", F.col("top").alias("hash"))
+        tops = here if tops is None else tops.unionByName(here)
+        below += stride
+        if most <= 1 << below:
+            return first, nodes, tops
+        level = done.where(~ended).select("tree", "leaves", F.col("block").alias("pos"), F.col("top").alias("hash"))
         extra, step = [], step + 1
-    nodes = None
-    for shelf in shelves:
-        nodes = shelf if nodes is None else nodes.unionByName(shelf)
-    return first, nodes, tops
 
 
-def node_rows(rows: DataFrame, step: int) -> DataFrame:
-    """The rows of one step keyed for the climb: tree, step, lane, at, up, next, subroot."""
-    if step == 1:
-        lanes = F.array("at")
-    else:
-        wide = STRIDE * step - LANE  # lanes below a node, as a power of two
-        begin, end = F.shiftleft("at", wide), F.shiftleft(F.col("at") + 1, wide) - 1
-        lanes = F.sequence(begin, F.least(end, F.shiftright(F.col("leaves") - 1, LANE)))
-    return rows.select("tree", F.lit(step).alias("step"), F.explode(lanes).alias("lane"), "at", "up", "next", F.lit(None).cast("binary").alias("subroot"))
+def roofed(links: DataFrame, ways: DataFrame) -> DataFrame:
+    """Last links of a tree go on up to the root: siblings and place of the subroot are put behind their own."""
+    last = F.col("next").isNull()
+    joined = links.join(ways, "tree")
+    return joined.select(
+        *[c for c in links.columns if c not in ("at", "up")],
+        F.when(last, F.col("at") + F.expr("shiftleft(tree, size(up))")).otherwise(F.col("at")).alias("at"),
+        F.when(last, F.concat("up", "way")).otherwise(F.col("up")).alias("up"),
+        F.when(last, F.col("subroot")).alias("subroot"),
+    )
 
 
 @contextmanager
@@ -168,10 +169,17 @@ def _fold(up: str, start: str, at: str) -> str:
       (acc, u) -> unhex(sha2(concat(if(u.second, u.s, ''), lower(hex(acc)), if(u.second, '', coalesce(u.s, ''))), 256)))"""
 
 
-def climb(spark: SparkSession, first: DataFrame, nodes: DataFrame | None, payload: Sequence[str], name: str) -> DataFrame:
-    """Every leaf's way to the last link: ``payload``, tree, leaves, folded, path (siblings, null where none), subroot.
+def _flat(up: str) -> str:
+    """SQL: the siblings one after the other, without those that are absent."""
+    return f"aggregate({up}, CAST('' AS BINARY), (acc, s) -> concat(acc, coalesce(s, CAST('' AS BINARY))))"
 
-    ``first`` has ``start``, the hash to fold. The recursive query runs once, into a table.
+
+def climb(spark: SparkSession, first: DataFrame, nodes: DataFrame | None, payload: Sequence[str], name: str, flat: bool) -> DataFrame:
+    """Every leaf's way to the last link: ``payload``, tree, folded, path (``flat``: proof, its hash) and subroot.
+
+    ``first`` has ``start``, the hash to fold, and ``place``; both tables have subroot (of last links). The path holds the
+    siblings: with ``flat`` as one run of bytes, else as a list with null where there is none. The recursive query runs once,
+    into a table.
     """
     tag = uuid.uuid4().hex
     empty = "tree long, step int, lane long, at long, up array<binary>, next int, subroot binary"
@@ -179,19 +187,19 @@ def climb(spark: SparkSession, first: DataFrame, nodes: DataFrame | None, payloa
     for view, df in views.items():
         df.createOrReplaceTempView(view)
     own = ", ".join(f"`{c}`" for c in payload)
-    lane = f"CASE WHEN c.step = 1 THEN shiftright(c.pos, {STRIDE}) ELSE shiftright(c.pos, {LANE}) END"
+    shown = _flat if flat else str
     sql = f"""
 WITH RECURSIVE climb AS (
-  SELECT {own}, tree, leaves, at AS pos, next AS step, {_fold("up", "start", "at")} AS folded, up AS path, CAST(NULL AS BINARY) AS subroot
+  SELECT {own}, tree, shiftright(place, {STRIDES[0]}) AS lane, next AS step, {_fold("up", "start", "at")} AS folded, {shown("up")} AS path, subroot
   FROM leaf_{tag}
   UNION ALL
-  SELECT {", ".join(f"c.`{c}`" for c in payload)}, c.tree, c.leaves, c.pos, n.next, {_fold("n.up", "c.folded", "n.at")}, concat(c.path, n.up), coalesce(n.subroot, c.subroot)
-  FROM climb c JOIN node_{tag} n ON n.tree = c.tree AND n.step = c.step AND n.lane = {lane}
+  SELECT {", ".join(f"c.`{c}`" for c in payload)}, c.tree, c.lane, n.next, {_fold("n.up", "c.folded", "n.at")}, concat(c.path, {shown("n.up")}), n.subroot
+  FROM climb c JOIN node_{tag} n ON n.tree = c.tree AND n.step = c.step AND n.lane = c.lane
 )
-SELECT * FROM climb WHERE step IS NULL"""
+SELECT {own}, tree, folded, {"sha2(lower(hex(path)), 256) AS proof" if flat else "path"}, subroot FROM climb WHERE step IS NULL"""
     try:
         with _no_row_limit(spark):
-            return keep(spark.sql(sql).drop("pos", "step"), name)
+            return keep(spark.sql(sql), name)
     finally:
         for view in views:
             spark.catalog.dropTempView(view)
@@ -220,34 +228,31 @@ def manifest(docs: DataFrame, leaf: Column, altered: Column, id_col: str = "doc_
     out = T.StructType([T.StructField(id_col, rows.schema["id"].dataType)] + [T.StructField(c, T.StringType()) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")] + [T.StructField("verified", T.BooleanType())])
     if trees.isEmpty():
         return spark.createDataFrame([], out)
-    first, nodes, tops = build(keep(own, "placed"), ["id", "start"], TOP)
+    first, nodes, tops = build(keep(own, "placed"), ["id", "start"])
     subroots = keep(tops, "subroots")
     # the way from each subroot to the root, by the same climb one storey higher
     higher = subroots.crossJoin(F.broadcast(trees.agg(F.max("trees").alias("n")))).select(  # one row
-        F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.col("n").alias("leaves"), "hash", F.col("leaves").alias("below"), F.col("hash").alias("start")
+        F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.col("n").alias("leaves"), "hash", F.col("hash").alias("start")
     )
-    top_first, top_nodes, top = build(higher, ["below", "start"], None)
-    ways = climb(spark, top_first.withColumn("rank", F.col("at")), top_nodes, ["rank", "below", "start"], "ways")
+    none = F.lit(None).cast("binary").alias("subroot")
+    top_first, top_nodes, top = build(higher, ["start"])
+    top_first = top_first.select("*", F.col("at").alias("place"), none)
+    ways = climb(spark, top_first, None if top_nodes is None else top_nodes.select("*", none), ["place", "start"], "ways", flat=False)
+    ways = ways.select(F.col("place").alias("tree"), F.col("path").alias("way"), F.col("start").alias("subroot"))
     root = top.first()["hash"].hex()
-    lanes = F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("below") - 1, LANE))
-    roofs = ways.select(
-        F.col("rank").alias("tree"), F.lit(TOP).alias("step"), F.explode(lanes).alias("lane"), F.col("rank").alias("at"), F.col("path").alias("up"), F.lit(None).cast("int").alias("next"), F.col("start").alias("subroot")
-    )
-    # the lanes of a tree with one block only are those of its leaves
-    nodes = roofs if nodes is None else nodes.unionByName(roofs)
-    done = climb(spark, first, keep(nodes, "nodes"), ["id", "hash"], "climbed")
+    first = roofed(first.withColumn("place", F.col("at")), ways)
+    done = climb(spark, first, None if nodes is None else keep(roofed(nodes, ways), "nodes"), ["id", "hash"], "climbed", flat=True)
 
     def text(column: str) -> Column:
         return F.lower(F.hex(column))
 
-    siblings = F.array_join(F.transform("path", lambda s: F.lower(F.hex(s))), "")
     folded = text("folded")
     return done.select(
         F.col("id").alias(id_col),
         text("hash").alias("leaf"),
         text("subroot").alias("subroot"),
         F.lit(root).alias("root"),
-        F.sha2(siblings, 256).alias("proof_sha256"),
+        F.col("proof").alias("proof_sha256"),
         folded.alias("folded_root"),
         (folded == F.lit(root)).alias("verified"),
     )
