@@ -174,6 +174,15 @@ def robust_graph(x: np.ndarray, search: Search) -> np.ndarray:
     return kept
 
 
+def cosines(x: np.ndarray, i: np.ndarray, j: np.ndarray, strip: int = 1 << 15) -> np.ndarray:
+    """Dot products of row pairs; rows are gathered in strips, so memory does not grow with pairs times dimensions."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), strip):
+        part = slice(at, at + strip)
+        out[part] = np.einsum("pd,pd->p", x[i[part]], x[j[part]])
+    return out
+
+
 def range_search(x: np.ndarray, first: np.ndarray, flat: np.ndarray, threshold: float, search: Search) -> np.ndarray:
     """Pairs (i, j), i < j, found by a greedy search for each row from the medoid, expanding everything near the range.
 
@@ -208,12 +217,12 @@ def range_search(x: np.ndarray, first: np.ndarray, flat: np.ndarray, threshold:
         node = flat[np.arange(len(q)) + np.repeat(first[best] - ends + degree[best], degree[best])]
         new = seen[q, node] == -3
         q, node = q[new], node[new]
-        seen[q, node] = fresh[q, node] = np.einsum("pd,pd->p", x[q], x[node])
+        seen[q, node] = fresh[q, node] = cosines(x, q, node)
         turn += 1
     i, j = np.nonzero(seen >= threshold - 1e-4)
     pairs = np.unique(np.minimum(i, j)[i != j] * n + np.maximum(i, j)[i != j])
     i, j = pairs // n, pairs % n
-    linked = np.einsum("pd,pd->p", x[i], x[j]) >= threshold
+    linked = cosines(x, i, j) >= threshold
     return np.stack([i[linked], j[linked]], axis=1)
 
 
