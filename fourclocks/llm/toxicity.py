@@ -27,6 +27,10 @@ from fourclocks.llm.labels import counts, labelled
 _TOKEN = re.compile(r"\w+|[.!?\n]")
 _ENDS = frozenset(".!?\n")
 CHAIN = 64
+#: Words from a form to where its surroundings are compared.
+REACH = 12
+#: A sentence that several documents share is fitted on as often as they are, up to so many times.
+REPEATS = 4
 _CACHE = 200_000
 _FLOOR = 1e-6
 
@@ -189,10 +193,78 @@ def fit(sample: list[tuple[list[str], list[int], float]], rounds: int = 80, ridg
     return Field({f: float(weights[i]) for f, i in known.items() if abs(weights[i]) > 1e-4}, moves, start + bias)
 
 
+#: Hashes of a sketch, sketch hashes of a band, and the share of equal hashes from which two documents are copies.
+SKETCH, BAND, ALIKE = 64, 4, 0.7
+
+
+def sketch(text: str) -> np.ndarray:
+    """Smallest hashes of a text's runs of five words; of all words where there are fewer."""
+    words = np.array([zlib.crc32(w.encode()) for w in tokens(text) if w not in _ENDS], np.uint64)
+    rng = np.random.default_rng(11)
+    factor = rng.integers(1, 1 << 62, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    runs = max(1, len(words) - 4)
+    one = np.zeros(runs, np.uint64)
+    for k in range(min(5, len(words)) if len(words) >= 5 else len(words)):
+        one = one * mix + (words[k : k + runs] if len(words) >= 5 else words[k])
+    low = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for at in range(0, runs, 4096):
+        low = np.minimum(low, ((one[at : at + 4096, None] ^ (one[at : at + 4096, None] >> np.uint64(31))) * factor[0] + factor[1]).min(axis=0))
+    return low
+
+
+def copy_classes(sketches: np.ndarray) -> np.ndarray:
+    """The first row of each row's class: rows that share a band with a class and agree with its first row there."""
+    first = np.arange(len(sketches))
+
+    def root(i: int) -> int:
+        while first[i] != i:
+            first[i] = first[first[i]]
+            i = first[i]
+        return i
+
+    for band in range(0, SKETCH, BAND):
+        seen: dict[bytes, int] = {}
+        for i, own in enumerate(sketches[:, band : band + BAND]):
+            j = seen.setdefault(own.tobytes(), i)
+            if j != i and (sketches[i] == sketches[j]).mean() >= ALIKE:
+                a, b = sorted((root(i), root(j)))
+                first[b] = a
+    return np.array([root(i) for i in range(len(first))], np.int64)
+
+
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """One row, of the smallest id, of every class of near copies and label: copies of a document are one vote.
+
+    The driver holds the sketches of the sample, whose size is a documented bound (half a kilobyte a row).
+    """
+    kind = sample.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(made, pa.binary())], names=["id", "y", "sketch"])
+
+    out = T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
+    rows = sorted(sample.select("id", "y", "text").mapInArrow(run, out).collect(), key=lambda r: r["id"])
+    if not rows:
+        return sample
+    kept = set()
+    for y in (0, 1):
+        own = [r for r in rows if r["y"] == y]
+        if own:
+            first = copy_classes(np.stack([np.frombuffer(r["sketch"], np.uint64) for r in own]))
+            kept |= {own[k]["id"] for k in set(first.tolist())}
+    chosen = sample.sparkSession.createDataFrame([(i,) for i in sorted(kept)], T.StructType([T.StructField("id", kind)]))
+    return sample.join(F.broadcast(chosen), "id")
+
+
 def telling_forms(sample: DataFrame, chance: float = 1.0, share: float = 0.97) -> dict[str, float]:
     """Whole words and beginnings of four or more letters of whose documents a share of ``share`` is toxic (classes
     weighed alike), and that enough toxic documents hold: so many that fewer than ``chance`` of all forms would fall into
-    toxic documents alone if the labels were dealt at random."""
+    toxic documents alone if the labels were dealt at random. ``sample`` has one row of each class of copies, so copies of one
+    document count once. As many different words must stand ``REACH`` words before the form, and as many after it: a sentence
+    that documents share counts in each of them, the inside of a longer shared passage counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: tuple[Counter, Counter] = Counter(), Counter()
@@ -215,25 +287,27 @@ def telling_forms(sample: DataFrame, chance: float = 1.0, share: float = 0.97) -
     least = max(2, math.ceil(math.log(max(1, held.count()) / chance) / odds)) if sizes.get(0) else 2
     rate = F.col("toxic") / (F.col("toxic") + F.col("clean") * even)
     # a bounded list: the sample is bounded, and a form needs several of its documents
-    likely = held.where(F.col("toxic") >= least).select("form", rate.alias("rate")).where(F.col("rate") >= share).orderBy(F.desc("toxic"), "form").limit(50_000)
+    likely = held.where(F.col("toxic") >= least).select("form", "toxic", rate.alias("rate")).where(F.col("rate") >= share).orderBy(F.desc("toxic"), "form").limit(50_000)
     wanted = {r["form"]: r["rate"] for r in likely.collect()}
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[str, int]] = set()
-            for text in batch.column(0):
-                words = ["", *tokens(text.as_py()), ""]
-                for k in range(1, len(words) - 1):
-                    if words[k] not in _ENDS:
-                        own = [f for f in forms(words[k])[:-1] if f in wanted]
-                        if own:
-                            around = zlib.crc32(f"{words[k - 1]} {words[k + 1]}".encode())
-                            found.update((f, around) for f in own)
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64())], names=["form", "around"])
-
-    # copies of a document repeat its words in one place; what counts is the number of different neighbourhoods
-    spread = sample.where("y = 1").select("text").mapInArrow(places, "form string, around long").distinct().groupBy("form").count()
-    return {r["form"]: wanted[r["form"]] for r in spread.where(F.col("count") >= least).collect()}
+            found: set[tuple[str, int, int]] = set()
+            for key, text in zip(batch.column(0), batch.column(1)):
+                words = [w for w in tokens(text.as_py()) if w not in _ENDS]
+                edge = zlib.crc32(str(key.as_py()).encode())  # beyond its ends every document differs
+                for k, word in enumerate(words):
+                    own = [f for f in forms(word)[:-1] if f in wanted]
+                    if own:
+                        before = zlib.crc32(" ".join(words[k - REACH - 1 : k - REACH + 1]).encode()) if k > REACH else edge
+                        after = zlib.crc32(" ".join(words[k + REACH : k + REACH + 2]).encode()) if k + REACH + 1 < len(words) else edge
+                        found.update((f, side, at) for f in own for side, at in ((0, before), (1, after)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["form", "side", "around"])
+
+    # a passage that documents share has one surrounding inside; a toxic sentence stands in many, on both sides
+    met = sample.where("y = 1").select("id", "text").mapInArrow(places, "form string, side int, around long").distinct()
+    spread = met.groupBy("form", "side").count().groupBy("form").agg(F.min("count").alias("n"), F.count("*").alias("sides"))
+    return {r["form"]: wanted[r["form"]] for r in spread.where((F.col("n") >= least) & (F.col("sides") == 2)).collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str, training, most: tuple[int, int] = (12_000, 3_000), chains_a_class: int = 2_500, window: int = 24, id_col: str = "doc_id", text_col: str = "text") -> Field:
@@ -242,8 +316,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str, training, most: tuple
 
     Without toxic training rows every score is near 0.
     """
-    sample = labelled(docs, labels, target, training, most, id_col, text_col)
-    telling = telling_forms(sample)
+    sample = keep(labelled(docs, labels, target, training, most, id_col, text_col), "sample")
+    single = one_of_copies(sample)
+    telling = telling_forms(single)
 
     stems = {f[1:5] for f in telling}
 
@@ -265,17 +340,19 @@ def train(docs: DataFrame, labels: DataFrame, target: str, training, most: tuple
             )
 
     kind = sample.schema["id"].dataType.simpleString()
-    cut = sample.select("id", "text", "y").mapInArrow(run, f"id {kind}, k long, y int, words string, hit boolean, near boolean")
-    cut = keep(cut.dropDuplicates(["y", "words"]), "chains")
+    cut = single.select("id", "text", "y").mapInArrow(run, f"id {kind}, k long, y int, words string, hit boolean, near boolean")
+    first = F.min(F.struct("id", "k")).alias("at")
+    cut = keep(cut.groupBy("y", "words").agg(first, F.count("*").alias("n"), F.first("hit").alias("hit"), F.first("near").alias("near")).select("*", "at.*"), "chains")
     pick = F.xxhash64("id", "k")
     picked = []
-    # toxic sentences; clean ones that look alike, and any; the rest of toxic documents
-    for some, number in (("y = 1 and hit", 2), ("y = 0 and near", 1), ("y = 0", 1), ("y = 1 and not hit", 1)):
-        picked += cut.where(some).orderBy(pick, "id", "k").limit(number * chains_a_class // 2).collect()
+    # toxic sentences, those that many documents share first; clean ones that look alike, and any; the rest of toxic documents
+    for some, number, order in (("y = 1 and hit", 2, [F.desc("n"), pick]), ("y = 0 and near", 1, [F.desc("n"), pick]), ("y = 0", 1, [pick]), ("y = 1 and not hit", 1, [pick])):
+        picked += cut.where(some).orderBy(*order, "id", "k").limit(number * chains_a_class // 2).collect()
     labelled_chains = []
     for r in picked:
         words = r["words"].split(" ")
-        labelled_chains.append((words, [mark(w) if r["y"] else 0 for w in words], 1.0))
+        chain = (words, [mark(w) if r["y"] else 0 for w in words], 1.0)
+        labelled_chains += [chain] * min(r["n"], REPEATS)
     model = fit(labelled_chains)
     if not model.weights:
         return model
