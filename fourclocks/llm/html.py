@@ -6,10 +6,13 @@ Spark counts per host. Every page is then read again at its host's winning path,
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +26,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
+_NAMED = frozenset(["article", "main"])
 CONTAINERS = frozenset("article main section div td body center blockquote".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 OUT_TAGS = frozenset("nav header footer aside form head dialog menu".split())
@@ -32,6 +36,15 @@ OUT_NAMES = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs header footer sidebar aside widget comment comments discussion reply replies respond "
     "share sharing social related recommended newsletter subscribe subscription signup login popup modal toolbar pagination pager".split()
 )
+#: Words that say how such a part is laid out. A name marks a part if it consists of these and the words above, so that
+#: ``share-buttons`` does and ``share-price`` does not.
+PLAIN_NAMES = frozenset(
+    "area bar block bottom box btn button buttons center col column columns container content fixed global holder icon icons inner item "
+    "items left link links list main middle module outer page panel post posts primary right row secondary section side site slot small "
+    "sticky strip text top unit widgets wrap wrapper zone".split()
+)
+#: Words that inside an article may well name a part of it.
+OUTSIDE_ONLY = frozenset(["discussion"])
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -40,8 +53,6 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)", re.I)
 _TELLING = re.compile(r"class|id|role|hidden|style", re.I)
-#: A name with one of these says what a container has beside it, not what it is.
-_QUALIFIED = frozenset("has with no without".split())
 _P = frozenset(["p"])
 _END = re.compile(r"""[>]|=\s*(["'])""")
 _NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})\b", re.I)
@@ -65,14 +76,54 @@ def _tag_end(page: str, at: int) -> int:
 
 
 class Node:
-    """An open element; ``out`` marks what is not the article, ``mark`` is the number of the tag whose name says so."""
+    """An element. ``hard`` marks what is not the article whatever its name; ``mark`` is the number of the innermost tag around
+    it whose name says so (0: none). Its blocks are ``lo`` to ``hi`` of the page's, the tags inside it ``number`` to ``last``.
+    ``owner`` is the nearest container, ``whole`` the outermost article or main, ``key`` stands for the path."""
+
+    __slots__ = ("tag", "step", "key", "parent", "hard", "mark", "score", "lo", "hi", "number", "last", "owner", "whole", "inside")
+
+    def __init__(self, tag: str, step: str, parent: "Node | None", hard: bool, mark: int, number: int, lo: int) -> None:
+        self.tag, self.step, self.parent, self.hard, self.mark, self.number, self.lo = tag, step, parent, hard, mark, number, lo
+        self.score, self.hi, self.last = 0.0, lo, number
+        fine = not hard and not mark
+        self.key = 0 if parent is None else _child(parent.key, step) if fine else parent.key
+        self.owner = self if parent is None or fine and tag in CONTAINERS else parent.owner
+        self.whole = parent.whole if parent is not None and parent.whole is not None else self if fine and tag in _NAMED else None
+        self.inside = parent is not None and parent.inside or tag in _NAMED
+
+    def path(self) -> str:
+        steps, at = [], self
+        while at is not None:
+            steps.append(at.step)
+            at = at.parent
+        return "".join(reversed(steps))
+
+
+class Page:
+    """The containers of a page in page order, the root first, and its blocks of text without unwanted parts."""
+
+    def __init__(self, found: list[Node], blocks: list[str]) -> None:
+        self.found, self.blocks = found, blocks
+        self.sums = [0, *accumulate(map(len, blocks))]
+
+    def size(self, node: Node) -> int:
+        return self.sums[node.hi] - self.sums[node.lo]
 
-    __slots__ = ("tag", "path", "parent", "out", "score", "blocks", "mark")
+    def text(self, nodes: list[Node]) -> str:
+        return " ".join(b for n in nodes for b in self.blocks[n.lo : n.hi])
 
-    def __init__(self, tag: str, path: str, parent: "Node | None", out: bool) -> None:
-        self.tag, self.path, self.parent, self.out = tag, path, parent, out
-        self.score, self.mark = 0.0, 0
-        self.blocks: list[str] = []
+
+@lru_cache(maxsize=200_000)
+def _child(key: int, step: str) -> int:
+    """The number that stands for a path, from that of the path above and a step: the same in every process."""
+    return int.from_bytes(hashlib.blake2b(f"{key} {step}".encode(), digest_size=8).digest(), "little")
+
+
+def key_of(path: str) -> int:
+    key = 0
+    for step in path.split(">")[1:]:
+        key = _child(key, f">{step}")
+    return key
 
 
 def _tags(page: str) -> Iterator[tuple[str, str, str]]:
@@ -128,48 +179,61 @@ def _tags(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", tag, ""
 
 
+def _says_out(names: str, inside: bool) -> bool:
+    """Whether a class or id has a name that consists of words of unwanted parts and their layout."""
+    for one in names.split():
+        parts = set(_WORD.findall(_HUMP.sub(" ", one).lower()))
+        told = parts & (OUT_NAMES - OUTSIDE_ONLY if inside else OUT_NAMES)
+        if told and parts <= OUT_NAMES | PLAIN_NAMES:
+            return True
+    return False
+
+
 @lru_cache(maxsize=50_000)
-def _judge(tag: str, rest: str) -> tuple[bool, bool, str]:
+def _judge(tag: str, rest: str, inside: bool) -> tuple[bool, bool, str]:
     """Whether a tag opens an unwanted part, whether only its name says so, and its step in a generalised path (tag
-    and first class, digits dropped)."""
+    and first class, digits dropped). ``inside`` an article, some names say nothing."""
     if tag in OUT_TAGS or tag in RAW:
         return True, False, ""
     values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
-    names = [
-        w
-        for one in f"{values.get('class', '')} {values.get('id', '')}".split()
-        if _QUALIFIED.isdisjoint(parts := _WORD.findall(_HUMP.sub(" ", one).lower()))
-        for w in parts
-    ]
     hidden = _HIDDEN.search(rest) or "display:none" in values.get("style", "").replace(" ", "").lower()
-    marked = tag not in ("html", "body", "main", "article") and any(n in OUT_NAMES for n in names)
-    first = _DIGITS.sub("", (values.get("class", "").split() or [""])[0].lower())
+    marked = tag not in ("html", "body", "main", "article") and _says_out(f"{values.get('class', '')} {values.get('id', '')}", inside)
+    first = _DIGITS.sub("", (values.get("class", "").split() or [""])[0].lower()).replace(">", "")
     out = bool(hidden or values.get("role", "").lower() in OUT_ROLES)
     return out or marked, marked and not out, f">{tag}.{first}" if first else f">{tag}"
 
 
-def parse(page: str) -> list[Node]:
-    """The containers of a page in page order; each has its blocks of text without unwanted parts.
+def parse(page: str) -> Page:
+    """The containers of a page in page order and its blocks of text without unwanted parts.
 
-    A container whose name marks it as unwanted, but that holds nearly all text of a page without article or main,
-    is wanted after all.
+    Containers whose names mark them as unwanted, but that hold nearly all text of a page without article or main, are wanted
+    after all: such containers lie inside each other, and they are spared from the outside in, until an article or main is
+    found. A page is read twice at most.
     """
-    spared: set[int] = set()
-    while True:
-        found, kept, lost = _parse(page, spared)
-        worst = max(lost, key=lambda k: lost[k], default=None)
-        told = any(n.tag in ("article", "main") and n.blocks for n in found)
-        if worst is None or told or lost[worst] < _MOST * (kept + sum(lost.values())):
-            return found
-        spared.add(worst)
-
-
-def _parse(page: str, spared: set[int]) -> tuple[list[Node], int, dict[int, int]]:
-    """Containers, the length of their text, and the lengths lost to containers for their names, by number of the tag."""
-    kept, number, lost = 0, 0, {}
-    root = Node("", "", None, False)
+    read, kept, own, above, told = _parse(page, frozenset())
+    if not own or 0 in told:
+        return read
+    total, inner = kept + sum(own.values()), dict(own)
+    for mark in sorted(above, reverse=True):
+        if above[mark]:
+            inner[above[mark]] = inner.get(above[mark], 0) + inner.get(mark, 0)
+    spared = []
+    for mark in sorted(m for m, size in inner.items() if size >= _MOST * total):
+        spared.append(mark)
+        if mark in told:
+            break
+    return _parse(page, frozenset(spared))[0] if spared else read
+
+
+def _parse(page: str, spared: frozenset[int]) -> tuple[Page, int, dict[int, int], dict[int, int], set[int]]:
+    """The page; the length of its text; the lengths lost to marked tags, by number; the mark around each mark; the marks (0:
+    none) right below which there is text of an article or main. Linear in the page's length."""
+    blocks: list[str] = []
+    root = Node("", "", None, False, 0, 0, 0)
     stack, found = [root], [root]
+    open_ = Counter()
     words: list[str] = []
+    kept, number, own, above, told = 0, 0, Counter(), {}, set()
     in_link = 0
 
     def flush() -> None:
@@ -181,32 +245,39 @@ def _parse(page: str, spared: set[int]) -> tuple[list[Node], int, dict[int, int]
         text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if not text:
             return
-        top = stack[-1]
-        if top.out:
-            return
         kept += len(text)
-        owner = None
-        for node in reversed(stack):
-            if node.tag in CONTAINERS or node is root:
-                owner = owner or node
-                node.blocks.append(text)
+        blocks.append(text)
+        owner = stack[-1].owner
+        if stack[-1].inside:
+            told.add(0)
         worth = (len(text) + 25 * text.count(",")) * (0.2 if in_link else 1.0)
         owner.score += worth
-        above = owner.parent
-        while above is not None and above.tag not in CONTAINERS and above is not root:
-            above = above.parent
-        if above is not None:
-            above.score += worth / 2
+        if owner.parent is not None:
+            owner.parent.owner.score += worth / 2
+
+    def cut(depth: int) -> None:
+        """Close all elements from a depth on."""
+        nonlocal in_link
+        for node in stack[depth:]:
+            node.hi, node.last = len(blocks), number
+            open_[node.tag] -= 1
+            in_link -= node.tag == "a"
+        del stack[depth:]
 
     for kind, tag, rest in _tags(page):
+        top = stack[-1]
         if kind == "text":
-            if not stack[-1].out:
+            if top.hard:
+                continue
+            if top.mark:
+                size = len(" ".join(tag.split()))
+                own[top.mark] += size
+                if size and top.inside:
+                    told.add(top.mark)
+            else:
                 words.append(tag)
-            elif stack[-1].mark:
-                lost[stack[-1].mark] = lost.get(stack[-1].mark, 0) + len(" ".join(tag.split()))
             continue
         if kind == "open":
-            number += 1
             if tag in BLOCK:
                 flush()
             if tag in VOID:
@@ -214,53 +285,55 @@ def _parse(page: str, spared: set[int]) -> tuple[list[Node], int, dict[int, int]
             closing = CLOSES.get(tag)
             if closing or tag in BLOCK:
                 goes = closing | _P if closing else _P
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag in goes:
-                        del stack[depth:]
-                        break
-                    if stack[depth].tag in BLOCK and stack[depth].tag not in goes:
-                        break
+                if any(open_[t] for t in goes):
+                    for depth in range(len(stack) - 1, 0, -1):
+                        if stack[depth].tag in goes:
+                            cut(depth)
+                            break
+                        if stack[depth].tag in BLOCK:
+                            break
+            number += 1
             parent = stack[-1]
-            if parent.out:
-                node = Node(tag, "", parent, True)
-                if parent.mark and not _judge(tag, "")[0]:
-                    node.mark = parent.mark
+            if parent.hard:
+                node = Node(tag, "", parent, True, parent.mark, number, len(blocks))
             else:
-                out, named, step = _judge(tag, rest if rest and _TELLING.search(rest) else "")
-                if named and number in spared:
-                    out = named = False
-                node = Node(tag, parent.path + step, parent, out)
-                node.mark = number if named else 0
+                out, named, step = _judge(tag, rest if rest and _TELLING.search(rest) else "", parent.inside)
+                mark = parent.mark
+                if named and number not in spared:
+                    above[number], mark = mark, number
+                node = Node(tag, step, parent, out and not named, mark, number, len(blocks))
             stack.append(node)
+            open_[tag] += 1
             in_link += tag == "a"
-            if tag in CONTAINERS and not node.out:
+            if tag in CONTAINERS and not node.hard and not node.mark:
                 found.append(node)
-                if tag in ("article", "main"):
+                if tag in _NAMED:
                     node.score += 50.0
             continue
         if tag in BLOCK:
             flush()
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag == tag:
-                in_link -= sum(1 for x in stack[depth:] if x.tag == "a")
-                del stack[depth:]
-                break
+        if open_[tag]:
+            depth = len(stack) - 1
+            while stack[depth].tag != tag:
+                depth -= 1
+            cut(depth)
     flush()
-    return found, kept, lost
+    cut(1)
+    root.hi, root.last = len(blocks), number
+    return Page(found, blocks), kept, own, above, told
 
 
-def _whole(node: Node, found: list[Node]) -> Node:
+def _whole(node: Node, page: Page) -> Node:
     """The container that holds the whole article of a good container: its outermost article or main, else the lowest one
     around it, below the body, with nearly all text of the page; itself where there is none."""
-    around = [node]
-    while around[-1].parent is not None:
-        around.append(around[-1].parent)
-    named = [n for n in around if n.tag in ("article", "main")]
-    if named:
-        return named[-1]
-    most = _MOST * sum(map(len, found[0].blocks))
-    around = [n for n in around if n is node or n.tag in CONTAINERS and n.tag != "body"]
-    return next((n for n in around if sum(map(len, n.blocks)) >= most), node)
+    if node.whole is not None:
+        return node.whole
+    most, at = _MOST * page.sums[-1], node
+    while at is not None:
+        if (at is node or at.tag in CONTAINERS and at.tag != "body") and page.size(at) >= most:
+            return at
+        at = at.parent
+    return node
 
 
 def votes(page: str, most: int = 3) -> list[tuple[str, float]]:
@@ -270,51 +343,41 @@ def votes(page: str, most: int = 3) -> list[tuple[str, float]]:
     the page's text, only these count, however many teasers stand beside it. The best path then climbs from its best container
     to the one that holds the whole article.
     """
-    found = parse(page)
-    scores: dict[str, float] = {}
-    best: dict[str, Node] = {}
-    for node in found:
+    read = parse(page)
+    scores: dict[int, float] = {}
+    best: dict[int, Node] = {}
+    for node in read.found:
         if node.score > 0:
-            at = node
-            up = node.parent
-            while up is not None:
-                if up.tag in ("article", "main"):
-                    at = up
-                up = up.parent
-            scores[at.path] = scores.get(at.path, 0.0) + node.score
-            if at.path not in best or node.score > best[at.path].score:
-                best[at.path] = node
-    held = [(sum(map(len, n.blocks)), n.path) for n in found if n.tag in ("article", "main")]
-    if held and max(held)[0] >= _SOME * sum(map(len, found[0].blocks)):
-        told = {path for _, path in held}
-        scores = {path: value for path, value in scores.items() if path in told}
+            key = (node.whole or node).key
+            scores[key] = scores.get(key, 0.0) + node.score
+            if key not in best or node.score > best[key].score:
+                best[key] = node
+    held = [(read.size(n), n.key) for n in read.found if n.tag in _NAMED]
+    if held and max(held)[0] >= _SOME * read.sums[-1]:
+        told = {key for _, key in held}
+        scores = {key: value for key, value in scores.items() if key in told}
     first = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:most]
     out: dict[str, float] = {}
-    for k, (path, value) in enumerate(first):
-        to = path if k else _whole(best[path], found).path
-        out[to] = max(out.get(to, 0.0), value / first[0][1])
+    for k, (key, value) in enumerate(first):
+        to = (best[key].whole or best[key]) if k else _whole(best[key], read)
+        path = to.path()
+        out[path] = max(out.get(path, 0.0), value / first[0][1])
     return list(out.items())
 
 
 def extract(page: str, path: str | None) -> str:
     """Blocks of the containers at ``path``, in page order; of the whole article around the page's best container where it
     has none there."""
-    found = parse(page)
-    chosen = [n for n in found if n.path == path and n.blocks] if path is not None else []
-    outer = [n for n in chosen if not _inside(n, chosen)]
+    read, key = parse(page), None if path is None else key_of(path)
+    outer: list[Node] = []
+    for node in read.found:
+        # a container inside one that is taken is taken with it
+        if node.key == key and node.hi > node.lo and (not outer or node.number > outer[-1].last):
+            outer.append(node)
     if not outer:
-        best = max(found, key=lambda n: n.score, default=None)
-        outer = [_whole(best, found)] if best is not None else []
-    return " ".join(b for n in outer for b in n.blocks)
-
-
-def _inside(node: Node, others: list[Node]) -> bool:
-    at = node.parent
-    while at is not None:
-        if any(at is o for o in others):
-            return True
-        at = at.parent
-    return False
+        best = max(read.found, key=lambda n: n.score, default=None)
+        outer = [_whole(best, read)] if best is not None else []
+    return read.text(outer)
 
 
 def host(url: str):
