@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fourclocks.session import cut_lineage
+
 #: Parts of a bin that holds a wanted rank.
 PARTS = 1024
 
@@ -39,8 +41,11 @@ def order_statistics(
     """Values at 0-based ``ranks`` (name -> expression over ``_total``), one row per key and name."""
     place = (F.col(value) / F.lit(width)).cast("double")
     part = F.floor((place - F.floor(place)) * PARTS).cast("int")
-    binned = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_v"), F.floor(place).cast("long").alias("_bin"), part.alias("_part")
+    # bins, parts and values read these rows in turn: what they come from is computed once
+    binned = cut_lineage(
+        df.where(F.col(value).isNotNull()).select(
+            *keys, F.col(value).alias("_v"), F.floor(place).cast("long").alias("_bin"), part.alias("_part")
+        )
     )
     per_key = Window.partitionBy(*keys)
     histogram = (

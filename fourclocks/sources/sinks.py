@@ -36,14 +36,29 @@ def canonical_records(df: DataFrame, key: str = "election_id", snapshot: str = "
     return df.select(key, snapshot, F.sha2(body, 256).alias("digest"), body.alias("body"))
 
 
-def publish(df: DataFrame, path: str, key: str = "election_id", snapshot: str = "snapshot_id") -> None:
-    """Write immutable snapshot records partitioned by election; republishing adds nothing."""
-    records = canonical_records(df, key, snapshot)
+def publish(df: DataFrame, path: str, key: str = "election_id", snapshot: str = "snapshot_id", buckets: int = 256) -> None:
+    """Write immutable snapshot records partitioned by election; republishing adds nothing.
+
+    Elections lie in ``bucket=`` folders by hash, and only the buckets of the elections in ``df`` are read back, however many
+    have been published.
+    """
+    records = canonical_records(df, key, snapshot).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     spark = df.sparkSession
-    if table_exists(spark, path):
-        stored = spark.read.schema(records.schema).json(path)
+    there = set(folder_names(spark, path))
+    hits = [f"bucket={r[0]}" for r in records.select("bucket").distinct().collect()]  # at most ``buckets``
+    folders = [f"{path}/{h}" for h in sorted(hits) if h in there]
+    if folders:
+        stored = spark.read.schema(records.schema).option("basePath", path).json(folders)
         records = append_rows(stored, records, [key, snapshot, "digest"])
-    records.write.mode("append").partitionBy(key).json(path)
+    records.repartition("bucket").write.mode("append").partitionBy("bucket", key).json(path)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no folder."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
 
 
 def write_events(df: DataFrame, path: str) -> None:

@@ -13,13 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """Names of what lies in a folder; none where there is no folder."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+from fourclocks.sources.sinks import folder_names
 
 
 class Ledger:
@@ -37,13 +31,13 @@ class Ledger:
 
     def generation(self, spark: SparkSession) -> int:
         """The last complete generation; the first one needs no compaction to be complete."""
-        found = sorted((int(n[4:]) for n in _names(spark, self.path) if n.startswith("gen=")), reverse=True)
-        return next((g for g in found if g and "_SUCCESS" in _names(spark, f"{self.path}/gen={g}")), 0)
+        found = sorted((int(n[4:]) for n in folder_names(spark, self.path) if n.startswith("gen=")), reverse=True)
+        return next((g for g in found if g and "_SUCCESS" in folder_names(spark, f"{self.path}/gen={g}")), 0)
 
     def read(self, spark: SparkSession, hits: Sequence[int] | None = None, before: int | None = None) -> DataFrame:
         """Rows with ``bucket`` and ``batch``, of some buckets and of the batches before one (default: all)."""
         root = f"{self.path}/gen={self.generation(spark)}"
-        there = {int(n[7:]) for n in _names(spark, root) if n.startswith("bucket=")}
+        there = {int(n[7:]) for n in folder_names(spark, root) if n.startswith("bucket=")}
         folders = [f"{root}/bucket={b}" for b in sorted(there if hits is None else there & set(hits))]
         schema = f"{self.schema}, bucket int, batch long"
         if not folders:
