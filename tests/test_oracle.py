@@ -21,5 +21,13 @@ def test_query_equals_sql(spark, name):
     assert problem == "" and count > 0
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables absent")
+def test_every_query_can_be_built(spark):
+    """Plans of all registered queries but streams, which run as they are built (tests/test_streams.py)."""
+    for name, query in entry.queries().items():
+        if not name.startswith(("st_", "op")) and name != "pipeline":
+            assert query(spark, FOLDER).columns, name
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
