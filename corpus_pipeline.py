@@ -20,7 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of texts that are equal without white space."""
+    """One row of every group of texts that are equal without white space: the longest, then the smallest id, null last.
+
+    Null texts count as empty, and empty texts are one group. Of rows that are equal in text and id exactly one stays. An empty
+    table gives an empty result."""
     return exact_dedup.equal_texts(docs, payload=True).where("kept").select("row.*")
 
 
@@ -35,12 +38,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced; ``n_chars`` follows the text."""
+    """All documents, with every secret replaced; ``n_chars`` follows the text. Null texts stay null, repeated rows stay."""
     return secrets.redact_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences."""
+    """The places of all documents' pieces in sequences, a row per piece.
+
+    A null text counts as empty and has one piece, its end id. Repeated rows and rows without an id have places of their own;
+    pieces of one length take places in any order. An empty table gives an empty result."""
     return queries.packed(docs)
 
 
