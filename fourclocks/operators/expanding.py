@@ -17,7 +17,7 @@ from fourclocks.operators.segments import balanced_segments, running_totals
 from fourclocks.session import cut_lineage
 
 #: Children of a node of the count tree.
-FAN = 64
+FAN = 16
 
 
 def prefix_values(values: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
