@@ -1,8 +1,10 @@
 """Resharding by minimum-cost flow.
 
 Documents of an old shard fall into blocks (size classes). A flow from blocks to new shards whose capacities are row
-counts, at a cost of a block's mean bytes for every row that leaves its shard, gives the transfers that move the fewest
-bytes. The network has shards x classes nodes whatever the data; documents meet it only as counts.
+counts, at a cost of a block's mean bytes for every row that leaves its shard, says how many rows of a block go where. Of a
+block the smallest rows leave: whole ranges of sizes, and in the range where the cut falls those below an exact size, so the
+bytes moved are the fewest that the capacities allow. The network has shards x classes nodes whatever the data; documents
+meet it only as counts.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql.window import Window
 
 from fourclocks.llm.common import whole_text
 
-#: Size classes in halves of a power of two, and hash buckets that split a block for ranking.
-CLASSES, BUCKETS = 80, 32
+#: Size classes in halves of a power of two, ranges of sizes of a class, and rows from which a range is ranked in lanes.
+CLASSES, RANGES, LANE = 80, 32, 100_000
 
 
 def min_cost_flow(supply: np.ndarray, home: np.ndarray, cost: np.ndarray, capacity: np.ndarray) -> np.ndarray:
@@ -75,14 +77,12 @@ def capacities(rows: int, shards: int, old: np.ndarray) -> np.ndarray:
     return out
 
 
-def plan(counts: list[tuple[int, int, int, int, int]], shards: int) -> list[tuple[int, int, int, list[tuple[int, int, int, int]]]]:
-    """From (old, class, bucket, rows, bytes): per group, its (from rank, to rank, shard, first slot) segments.
-
-    Small ranks (small documents) of a block leave, the large ones stay.
-    """
+def transfers(cells: list[tuple[int, int, int, int, int]], shards: int) -> tuple[dict[tuple[int, int], list[tuple[int, int]]], dict[tuple[int, int], tuple[int, int]]]:
+    """From (old, class, range, rows, bytes): per block the (rows, shard) that it sends, those that stay last, and per block
+    whose leavers end inside a range that range and how many of its rows leave."""
     groups: dict[tuple[int, int], list] = defaultdict(list)
-    for old, kind, bucket, rows, size in sorted(counts):
-        groups[old, kind].append((bucket, rows, size))
+    for old, kind, part, rows, size in sorted(cells):
+        groups[old, kind].append((part, rows, size))
     blocks = sorted(groups)
     supply = np.array([sum(x[1] for x in groups[b]) for b in blocks], np.int64)
     cost = np.array([sum(x[2] for x in groups[b]) for b in blocks], float) / np.maximum(supply, 1)
@@ -90,22 +90,55 @@ def plan(counts: list[tuple[int, int, int, int, int]], shards: int) -> list[tupl
     width = max(shards, int(home.max(initial=0)) + 1)
     old_rows = np.bincount(home, supply, minlength=width).astype(np.int64)
     flow = min_cost_flow(supply, home, cost, capacities(int(supply.sum()), shards, old_rows))
-    slots, out = np.zeros(width, np.int64), []
+    sent, cuts = {}, {}
     for i, b in enumerate(blocks):
         leave = [(int(n), s) for s, n in enumerate(flow[i]) if n and s != home[i]]
-        queue = leave + ([(int(flow[i, home[i]]), int(home[i]))] if flow[i, home[i]] else [])
-        for bucket, rows, _ in groups[b]:
+        sent[b] = leave + ([(int(flow[i, home[i]]), int(home[i]))] if flow[i, home[i]] else [])
+        left = sum(n for n, _ in leave)
+        for part, rows, _ in groups[b]:
+            if 0 < left < rows:
+                cuts[b] = (part, left)
+            left = max(0, left - rows)
+    return sent, cuts
+
+
+def limits(cuts: dict[tuple[int, int], tuple[int, int]], sizes: list[tuple[int, int, int, int]]) -> dict[tuple[int, int], int]:
+    """From (old, class, size, rows) of the cut ranges: per block the size at which its leavers end."""
+    by_block: dict[tuple[int, int], list] = defaultdict(list)
+    for old, kind, size, rows in sizes:
+        by_block[old, kind].append((size, rows))
+    out = {}
+    for block, (_, left) in cuts.items():
+        for size, rows in sorted(by_block[block]):
+            if left <= rows:
+                out[block] = size
+                break
+            left -= rows
+    return out
+
+
+def plan(sent: dict[tuple[int, int], list[tuple[int, int]]], counts: list[tuple[int, int, int, int, int, int]]) -> list[tuple]:
+    """From (old, class, range, side, lane, rows): per group its (from rank, to rank, shard, first slot) segments. Groups of a
+    block are served in order of size, so the first ones leave."""
+    groups: dict[tuple[int, int], list] = defaultdict(list)
+    for old, kind, part, side, lane, rows in sorted(counts):
+        groups[old, kind].append((part, side, lane, rows))
+    slots: dict[int, int] = defaultdict(int)
+    out = []
+    for b in sorted(groups):
+        queue = list(sent[b])
+        for part, side, lane, rows in groups[b]:
             at, segments = 0, []
             while at < rows:
                 n, shard = queue[0]
                 take = min(n, rows - at)
-                segments.append((at, at + take, shard, int(slots[shard])))
+                segments.append((at, at + take, shard, slots[shard]))
                 slots[shard] += take
                 at += take
                 queue[0] = (n - take, shard)
                 if not queue[0][0]:
                     queue.pop(0)
-            out.append((*b, bucket, segments))
+            out.append((*b, part, side, lane, segments))
     return out
 
 
@@ -116,8 +149,9 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_
     Law ``rows``: shard counts are at most one apart, slots gapless from 0. Size is the UTF-8 bytes of the text plus 1
     (null text: none). A null ``old_shard`` counts as shard 0; a null id is placed like any other; repeated rows get
     places of their own; other columns are ignored. An empty table gives an empty result.
-    The driver sees one count for each old shard, class and bucket (at most shards x 80 x 32); rows are ranked inside
-    such a group, so a hot shard is spread over hundreds of groups.
+    The driver sees one count for each old shard, class and range (at most shards x 80 x 32), the sizes of at most one range a
+    block (a seventieth of the size itself), and one more count for every ``LANE`` rows. Rows are ranked inside such a group;
+    equal sizes are dealt over lanes by hash, so neither a hot shard nor a hot size is one group.
     """
     spark = docs.sparkSession
     text = whole_text(text_col)
@@ -131,15 +165,27 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_
     ).select(
         "*",
         F.floor(2 * F.log2(F.col("size").cast("double"))).cast("int").alias("block"),
-        F.pmod(F.xxhash64("_id", "text_crc32"), F.lit(BUCKETS)).cast("int").alias("bucket"),
-    )
-    keys = ["old_shard", "block", "bucket"]
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()  # bounded: see above
-    made = plan([tuple(r) for r in counted], shards) if counted else []
-    segments = spark.createDataFrame(
-        made,
-        "old_shard int, block int, bucket int, segments array<struct<lo: long, hi: long, shard: int, slot: long>>",
     )
+    low = F.pow(F.lit(2.0), F.col("block") / 2)
+    place = F.floor((F.col("size") / low - 1) / (2**0.5 - 1) * RANGES).cast("int")
+    rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), place)))
+    block = ["old_shard", "block"]
+    counted = [tuple(r) for r in rows.groupBy(*block, "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()]  # bounded: see above
+    sent, cuts = transfers(counted, shards) if counted else ({}, {})
+    kind = "old_shard int, block int, part int"
+    ends: dict[tuple[int, int], int] = {}
+    if cuts:
+        cut = spark.createDataFrame([(*b, part) for b, (part, _) in cuts.items()], kind)
+        found = rows.join(F.broadcast(cut), [*block, "part"]).groupBy(*block, "size").agg(F.count("*").alias("n")).collect()
+        ends = limits(cuts, [tuple(r) for r in found])
+    cells = [(old, k, part, 1 + n // LANE, ends.get((old, k)) if cuts.get((old, k), (None, 0))[0] == part else None) for old, k, part, n, _ in counted]
+    cells_df = F.broadcast(spark.createDataFrame(cells, f"{kind}, lanes long, ends long"))  # at most shards x 80 x 32 rows
+    side = F.coalesce(F.signum(F.col("size") - F.col("ends")).cast("int"), F.lit(0))
+    lane = F.pmod(F.xxhash64("_id", "text_crc32"), F.col("lanes"))
+    rows = rows.join(cells_df, [*block, "part"]).withColumns({"side": side, "lane": lane}).drop("lanes", "ends")
+    keys = [*block, "part", "side", "lane"]
+    made = plan(sent, [tuple(r) for r in rows.groupBy(*keys).agg(F.count("*").alias("n")).collect()])
+    segments = spark.createDataFrame(made, f"{kind}, side int, lane long, segments array<struct<lo: long, hi: long, shard: int, slot: long>>")
     order = Window.partitionBy(*keys).orderBy("size", "_id", "text_crc32")
     ranked = rows.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
     own = F.filter("segments", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"]))[0]
