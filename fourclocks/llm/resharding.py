@@ -18,8 +18,9 @@ from pyspark.sql.window import Window
 
 from fourclocks.llm.common import whole_text
 
-#: Size classes in halves of a power of two, ranges of sizes of a class, and rows from which a range is ranked in lanes.
-CLASSES, RANGES, LANE = 80, 32, 100_000
+#: Size classes in halves of a power of two, ranges of sizes of a class, and what a lane of a range holds at most: so many rows,
+#: and one such part of all rows.
+CLASSES, RANGES, LANE, PART = 80, 32, 100_000, 1024
 
 
 def min_cost_flow(supply: np.ndarray, home: np.ndarray, cost: np.ndarray, capacity: np.ndarray) -> np.ndarray:
@@ -150,7 +151,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_
     (null text: none). A null ``old_shard`` counts as shard 0; a null id is placed like any other; repeated rows get
     places of their own; other columns are ignored. An empty table gives an empty result.
     The driver sees one count for each old shard, class and range (at most shards x 80 x 32), the sizes of at most one range a
-    block (a seventieth of the size itself), and one more count for every ``LANE`` rows. Rows are ranked inside such a group;
+    block (a seventieth of the size itself), and some more counts (``PART``, and one for every ``LANE`` rows). Rows are ranked inside such a group;
     equal sizes are dealt over lanes by hash, so neither a hot shard nor a hot size is one group.
     """
     spark = docs.sparkSession
@@ -178,7 +179,8 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_
         cut = spark.createDataFrame([(*b, part) for b, (part, _) in cuts.items()], kind)
         found = rows.join(F.broadcast(cut), [*block, "part"]).groupBy(*block, "size").agg(F.count("*").alias("n")).collect()
         ends = limits(cuts, [tuple(r) for r in found])
-    cells = [(old, k, part, 1 + n // LANE, ends.get((old, k)) if cuts.get((old, k), (None, 0))[0] == part else None) for old, k, part, n, _ in counted]
+    total = sum(c[3] for c in counted)
+    cells = [(old, k, part, 1 + max(n // LANE, n * PART // total), ends.get((old, k)) if cuts.get((old, k), (None, 0))[0] == part else None) for old, k, part, n, _ in counted]
     cells_df = F.broadcast(spark.createDataFrame(cells, f"{kind}, lanes long, ends long"))  # at most shards x 80 x 32 rows
     side = F.coalesce(F.signum(F.col("size") - F.col("ends")).cast("int"), F.lit(0))
     lane = F.pmod(F.xxhash64("_id", "text_crc32"), F.col("lanes"))
