@@ -18,6 +18,9 @@ from fourclocks.llm.common import keep, whole_text
 
 _BLOCK = 4096  # documents of a block of postings
 _MOST = 64  # strings and clauses kept while a query is derived
+_RUN = 64  # entries of an array that are gone through together
+_CHUNK = 1024  # code points of a piece of text
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -135,25 +138,64 @@ def candidates(postings: DataFrame, queries: dict[int, Clauses]) -> DataFrame:
     return hits.groupBy("id").agg(F.collect_set("rule").alias("rules"))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body (or a lambda in it) reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, merge) -> Column:
+    """For every entry of an array of ints, all earlier entries merged, from 0 on.
+
+    Runs of ``_RUN`` entries are merged first, then entries within a run, so that no array is copied for every entry.
+    """
+    state = "struct<at:int,out:array<int>>"
+
+    def within(run: Column, first: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            return F.struct(merge(s["at"], x).alias("at"), F.array_append(s["out"], s["at"]).alias("out")).cast(state)
+
+        return F.aggregate(run, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")).cast(state), step, lambda s: s["out"])
+
+    def of(runs: Column) -> Column:
+        totals = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), merge))
+        return F.flatten(F.zip_with(runs, within(totals, F.lit(0)), within))
+
+    return _bound(_runs(values), of)
+
+
+def _runs(values: Column) -> Column:
+    """An array cut into arrays of ``_RUN`` entries, the last one shorter."""
+
+    def of(v: Column) -> Column:
+        numbers = F.filter(F.sequence(F.lit(0), F.floor(F.size(v) / _RUN).cast("int")), lambda k: k * _RUN < F.size(v))
+        return F.transform(numbers, lambda k: F.slice(v, k * _RUN + 1, _RUN))
+
+    return _bound(values, of)
+
+
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, kind, end) of a rule's matches, in code points."""
     pattern = F.lit(rule.pattern)
-    zipped = F.arrays_zip(
+    parts = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("gap"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("all"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("own"),
     )
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(F.coalesce(x["all"], F.lit("")))
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        more = F.when(F.char_length(x["own"]) >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(end.alias("at"), more.cast(kind).alias("found"))
+    def lengths(x: Column) -> Column:
+        whole = F.coalesce(F.char_length(x["all"]), F.lit(0))
+        return F.struct(F.char_length(x["gap"]).alias("gap"), whole.alias("all"), F.char_length(x["own"]).alias("own"))
+
+    def place(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + x["all"]).alias("end"), x["own"].alias("own"))
 
-    return F.aggregate(zipped, empty, step, lambda s: s["found"])
+    def of(sizes: Column) -> Column:
+        placed = F.zip_with(sizes, _before(F.transform(sizes, lambda x: x["gap"] + x["all"]), lambda a, b: a + b), place)
+        long_enough = F.filter(placed, lambda x: x["own"] >= rule.least)
+        return F.transform(long_enough, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    return _bound(F.transform(parts, lengths), of).cast(_SPANS)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text", payload: bool = False) -> DataFrame:
@@ -170,8 +212,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "
         rows = rows.join(hits, F.col("_id").eqNullSafe(F.col("id")), "left").drop("id")
     else:
         rows = rows.withColumn("rules", F.lit(None).cast("array<int>"))
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    none = F.array().cast(kind)
+    none = F.array().cast(_SPANS)
     found = []
     for i, rule in enumerate(rules):
         due = F.array_contains("rules", i) if i in queries else F.col("_text").rlike(rule.pattern)
@@ -186,26 +227,38 @@ def listed(found: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each maximal run of overlapping spans replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each maximal run of overlapping spans replaced by ``mark``.
+
+    What stays is taken from chunks of the text, a run of cuts at a time, so the work is linear in the text and its spans.
+    """
+
+    def of(spans: Column, chunks: Column) -> Column:
+        reach = _before(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))  # the end of all spans before
+        stays = F.zip_with(spans, reach, lambda x, at: F.struct(at.alias("at"), x["start"].alias("to")))
+        tail = F.struct(F.array_max(F.transform(spans, lambda x: x["end"])).alias("at"), F.char_length(text).alias("to"))
+        cuts = F.concat(F.filter(stays, lambda x: x["to"] >= x["at"]), F.array(tail))
+        return F.array_join(F.transform(_runs(cuts), lambda run: taken(run, chunks)), mark)
+
+    def taken(run: Column, chunks: Column) -> Column:
+        first = F.floor(F.element_at(run, 1)["at"] / _CHUNK).cast("int")
+        last = F.floor(F.element_at(run, -1)["to"] / _CHUNK).cast("int")
+        piece = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
 
-    def step(state: Column, x: Column) -> Column:
-        fresh = x["start"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, x["start"] - state["at"])
-        out = F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
+        def of(near: Column) -> Column:
+            return F.array_join(F.transform(run, lambda x: F.substring(near, x["at"] - first * _CHUNK + 1, x["to"] - x["at"])), mark)
 
-    def finish(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text)))
+        return _bound(piece, of)
 
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, finish)).otherwise(text)
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    out = _bound(found, lambda spans: _bound(chunks, lambda c: of(spans, c)))
+    return F.when(F.size(found) > 0, out).otherwise(text)
 
 
 def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The same rows and columns with secrets replaced; rows without secrets are unchanged, a null text stays null."""
     found = scan(docs, rules, id_col, text_col, payload=True)
-    hit = F.size("found") > 0
-    text = redacted(F.col("_text"), F.col("found"))
+    hit, text = F.size("found") > 0, F.col("_clean")
+    found = found.withColumn("_clean", redacted(F.col("_text"), F.col("found")))
     out = []
     for c in docs.columns:
         if c == text_col:
