@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fourclocks.session import cut_lineage
+from fourclocks.session import stored
 
 CLOCKS = ("observed_at", "available_at", "retrieved_at")
 
@@ -194,47 +194,56 @@ def unit_levels(units: DataFrame) -> DataFrame:
 
     ``ok``, ``missing_parent`` (the unit's own parent is unknown), ``missing_ancestor`` (one further up is) or
     ``unreachable`` (no root, as the chain is a cycle).
-    Pointer doubling over the units that are somebody's parent: every round doubles the climbed steps, so a chain of n
-    units takes log2(n) joins. A pointer that has not ended after as many steps as there are such units is on a cycle.
+    Pointer doubling over the units that are somebody's parent: every round doubles the climbed steps of the pointers that
+    have not ended, so a chain of n units takes log2(n) joins. A chain has a unit at each distance from its end; once a round
+    ends no pointer, those that are left are on cycles or lead into one.
     """
+    units = stored(units)
     base = units.select("unit_id", "parent_id")
     parents = base.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("unit_id")).distinct()
-    inner = base.join(parents, "unit_id", "left_semi").select("unit_id", F.col("parent_id").alias("_up"))
+    inner = stored(base.join(parents, "unit_id", "left_semi").select("unit_id", F.col("parent_id").alias("_up")))
     known = inner.select(F.col("unit_id").alias("_up"), F.lit(True).alias("_hit"))
-    jumps = cut_lineage(
-        inner.join(known, "_up", "left").select(
+    # tops need no join, in which their null keys would meet in one task
+    tops = inner.where(F.col("_up").isNull()).withColumn("_hit", F.lit(None).cast("boolean"))
+    climbing = inner.where(F.col("_up").isNotNull()).join(known, "_up", "left").select("unit_id", "_up", "_hit")
+    jumps = stored(
+        climbing.unionByName(tops).select(
             "unit_id",
             F.when(F.col("_hit"), F.col("_up")).alias("_up"),
             F.when(F.col("_hit"), 1).otherwise(0).cast("long").alias("_steps"),
             (F.col("_up").isNotNull() & F.col("_hit").isNull()).alias("_lost"),
         )
     )
-    most = jumps.count()
+    at_end = jumps.where(F.col("_up").isNull())
     while True:
-        far = jumps.agg(F.max(F.when(F.col("_up").isNotNull(), F.col("_steps")))).first()[0]
-        if far is None or far > most:
+        open_ = jumps.where(F.col("_up").isNotNull())
+        n_ended, n_open = jumps.agg(F.count_if(F.col("_up").isNull()), F.count("_up")).first()
+        if not n_open or not n_ended:
             break
-        onward = jumps.select(
+        onward = at_end.unionByName(open_).select(
             F.col("unit_id").alias("_up"), F.col("_up").alias("_to"), F.col("_steps").alias("_more"), F.col("_lost").alias("_gone")
         )
-        jumps = cut_lineage(
-            jumps.join(onward, "_up", "left").select(
+        jumps = stored(
+            open_.join(onward, "_up").select(
                 "unit_id",
                 F.col("_to").alias("_up"),
-                (F.col("_steps") + F.coalesce("_more", F.lit(0))).alias("_steps"),
-                (F.col("_lost") | F.coalesce("_gone", F.lit(False))).alias("_lost"),
+                (F.col("_steps") + F.col("_more")).alias("_steps"),
+                (F.col("_lost") | F.col("_gone")).alias("_lost"),
             )
         )
-    found = jumps.select(F.col("unit_id").alias("parent_id"), F.col("_up").isNotNull().alias("_round"), "_steps", "_lost")
+        at_end = at_end.unionByName(jumps.where(F.col("_up").isNull()))
+    climbed = at_end.unionByName(open_)
+    found = climbed.select(F.col("unit_id").alias("parent_id"), F.col("_up").isNotNull().alias("_round"), "_steps", "_lost")
     status = (
-        F.when(F.col("parent_id").isNull(), "ok")
-        .when(F.col("_steps").isNull(), "missing_parent")
+        F.when(F.col("_steps").isNull(), "missing_parent")
         .when(F.col("_round"), "unreachable")
         .when(F.col("_lost"), "missing_ancestor")
         .otherwise("ok")
     )
-    depth = F.when(F.col("parent_id").isNull(), 0).when(status == "ok", F.col("_steps") + 1).otherwise(-1)
-    return units.join(found, "parent_id", "left").select(*units.columns, depth.cast("int").alias("depth"), status.alias("status"))
+    depth = F.when(status == "ok", F.col("_steps") + 1).otherwise(-1)
+    roots = units.where(F.col("parent_id").isNull()).select("*", F.lit(0).alias("depth"), F.lit("ok").alias("status"))
+    below = units.where(F.col("parent_id").isNotNull()).join(found, "parent_id", "left")
+    return roots.unionByName(below.select(*units.columns, depth.cast("int").alias("depth"), status.alias("status")))
 
 
 def interval_join(points: DataFrame, windows: DataFrame, keys: Sequence[str], day: str) -> DataFrame:

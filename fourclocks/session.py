@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(os.path.join(shared_folder(spark), "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder as Parquet and read back.
+
+    Later plans see the true size of its files; a checkpoint keeps the estimate of the plan before it, which a chain of joins
+    multiplies up from round to round.
+    """
+    path = os.path.join(shared_folder(df.sparkSession), "stored", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -88,6 +88,18 @@ def test_levels_have_no_depth_limit(spark):
     assert got["lost"] == (-1, "missing_parent") and got["below"] == (-1, "missing_ancestor")
 
 
+def test_levels_of_many_short_cycles_take_few_rounds(spark):
+    """Rounds follow the longest chain, not the number of units, and no round multiplies the planner's size up."""
+    from fourclocks.operators.asof import unit_levels
+
+    pairs = [(f"{side}{i}", f"{other}{i}") for i in range(300) for side, other in ("ab", "ba")]
+    out = unit_levels(spark.createDataFrame([("r", None), ("c", "r"), ("d", "c"), *pairs], "unit_id string, parent_id string"))
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+    got = {r["unit_id"]: (r["depth"], r["status"]) for r in out.collect()}
+    assert got.pop("r") == (0, "ok") and got.pop("c") == (1, "ok") and got.pop("d") == (2, "ok")
+    assert len(got) == 600 and set(got.values()) == {(-1, "unreachable")}
+
+
 def test_csv_of_real_shapes(spark):
     from fourclocks.sources.tabular import csv_records
 
