@@ -157,13 +157,26 @@ def marker_share(text: Column, markers: Sequence[str]) -> Column:
     return hits / F.lit(float(len(markers)))
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` names it: a list of one element binds it to a name.
+
+    Inside a lambda Spark evaluates an expression again for each of its uses.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def cell_number(cell: Column) -> Column:
     """The number of a markup table cell: a percentage first, else a plain number, else null."""
+
+    def plain(value):
+        found = F.regexp_extract(F.regexp_replace(value, CELL_MARKUP, ""), CELL_PLAIN, 1)
+        return bind(found, lambda n: F.when(n != "", n))
+
+    def number(value):
+        return bind(F.regexp_extract(value, CELL_PERCENT, 1), lambda n: F.when(n != "", n).otherwise(plain(value)))
+
     value = F.element_at(F.split(cell, r"\|"), -1)
-    value = F.regexp_replace(value, CELL_NOISE, "")
-    percent = F.regexp_extract(value, CELL_PERCENT, 1)
-    plain = F.regexp_extract(F.regexp_replace(value, CELL_MARKUP, ""), CELL_PLAIN, 1)
-    return F.when(percent != "", percent).when(plain != "", plain).try_cast("double")
+    return bind(F.regexp_replace(value, CELL_NOISE, ""), number).try_cast("double")
 
 
 def strip_suffix(identifier: Column, family: Column) -> Column:

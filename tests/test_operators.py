@@ -199,3 +199,18 @@ def test_provenance_numbers_sources_across_segments_and_null_keys(spark):
     out = reporting.provenance(spark.createDataFrame(rows, "k string, s string, t long"), ["k"], ["s"], "t", F.floor(F.col("first_seen") / 1000))
     assert {(r.k, r.s, r.first_seen, r.position) for r in out.collect()} == {
         ("a", "y", 1, 1), ("a", "x", 5, 2), ("a", "z", 2500, 3), (None, "x", 3, 1), (None, "y", 4000, 2)}
+
+
+def test_poll_rows_evaluate_each_expression_once(spark):
+    """The plan names a document's regular expressions once each; uses inside lambdas and pushed filters repeat none."""
+    from fourclocks.sources import markup
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "{| class=x\n! Two-party vote\n! A !! B\n|-\n! 1 May 1998\n| P || 60 || 40\n|}")], "i int, content string").where("i < 9")
+    for out in (
+        markup.extract_poll_rows(docs, markup.TableRules("Two-party vote", "A", "B")),
+        markup.extract_poll_vectors(docs, markup.VectorRules("^== x ==$", 0)),
+    ):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") + plan.count("regexp_extract_all(") + plan.count("aggregate(") < 15
+    rows = markup.extract_poll_rows(docs, markup.TableRules("Two-party vote", "A", "B")).collect()
+    assert [(r.i, r.rows_used, r.first_share) for r in rows] == [(3, 1, 0.6)]
