@@ -29,6 +29,8 @@ BUNDLE = (
     f"outcomes array<{OUTCOME}>, coalition_outcomes array<{COALITION}>"
 )
 BUNDLE_TABLES = ("model_versions", "feature_snapshots", "simulation_runs", "forecast_snapshots", "forecast_outcomes", "forecast_coalitions", "feature_revisions", "duplicates")
+#: How bundles are written: identifiers and digests are hexadecimal text, and several files are open in a task.
+BUNDLE_FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 
 
 def derived_id(kind: str, *parts: Column) -> Column:
@@ -116,10 +118,19 @@ def normalise_bundles(raw: DataFrame) -> dict[str, DataFrame]:
 
 
 def load_bundles(raw: DataFrame, path: str) -> DataFrame:
-    """Parse once, write the rows of all tables into a folder per entity, and return them; a table then reads its folder."""
-    tagged = tagged_bundles(raw)
-    tagged.write.mode("overwrite").partitionBy("entity").parquet(path)
-    return raw.sparkSession.read.schema(tagged.schema).parquet(path)
+    """Parse once, write the rows of all tables into a folder per entity, and return them; a table then reads its folder.
+
+    A task holds a file of each entity open (there are nine, each with a bounded block), so that the wide rows of all tables
+    are not sorted by entity, and spilled, before they are written.
+    """
+    spark, writers = raw.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    tagged, before = tagged_bundles(raw), spark.conf.get(writers, "0")
+    spark.conf.set(writers, max(len(BUNDLE_TABLES) + 1, int(before)))
+    try:
+        tagged.write.mode("overwrite").partitionBy("entity").options(**BUNDLE_FILES).parquet(path)
+    finally:
+        spark.conf.set(writers, before)
+    return spark.read.schema(tagged.schema).parquet(path)
 
 
 def verify_bundles(tagged: DataFrame, revisions: DataFrame) -> DataFrame:

@@ -214,3 +214,20 @@ def test_poll_rows_evaluate_each_expression_once(spark):
         assert plan.count("regexp_extract(") + plan.count("regexp_extract_all(") + plan.count("aggregate(") < 15
     rows = markup.extract_poll_rows(docs, markup.TableRules("Two-party vote", "A", "B")).collect()
     assert [(r.i, r.rows_used, r.first_share) for r in rows] == [(3, 1, 0.6)]
+
+
+def test_bundles_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """While the tables are written, a task may hold a file of each entity open; the session's setting then comes back."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from fourclocks.plans import publication
+
+    name, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(int(spark.conf.get(name))), write(self, *a, **k))[1])
+    docs = spark.createDataFrame([('{"id":"1","election_id":"e","input_revision_ids":["a","a"]}',), ("{}",)], "content string")
+    before = spark.conf.get(name)
+    tagged = publication.load_bundles(docs, str(tmp_path / "b"))
+    entities = {r.entity for r in tagged.select("entity").distinct().collect()}
+    assert {p.name for p in (tmp_path / "b").glob("entity=*")} == {f"entity={e}" for e in entities}
+    assert {"forecast_snapshots", "duplicates", "unreadable"} <= entities
+    assert seen == [len(publication.BUNDLE_TABLES) + 1] and spark.conf.get(name) == before
