@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,8 +149,15 @@ def override(base: DataFrame, latest: DataFrame, keys: Sequence[str], columns: S
 
 
 def unknown_refs(df: DataFrame, dim: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Distinct references without a target."""
-    return df.select(*key).distinct().join(dim.select(*key), list(key), "left_anti")
+    """Distinct references without a target; a null reference has none.
+
+    Both sides shrink to distinct references in one aggregate, before and after its shuffle: repeats are not sorted for a join.
+    """
+    whole = reduce(and_, [F.col(c).isNotNull() for c in key])
+    used = df.select(*key, F.lit(True).alias("_used"), F.lit(False).alias("_known"))
+    known = dim.select(*key).where(whole).select(*key, F.lit(False).alias("_used"), F.lit(True).alias("_known"))
+    seen = used.unionByName(known).groupBy(*key).agg(F.bool_or("_used").alias("_used"), F.bool_or("_known").alias("_known"))
+    return seen.where(F.col("_used") & ~F.col("_known")).select(*[F.col(c).cast(df.schema[c].dataType) for c in key])
 
 
 def lineage_verified(wanted: DataFrame, known: DataFrame, owner: Sequence[str], ref: str) -> DataFrame:

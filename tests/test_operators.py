@@ -231,3 +231,11 @@ def test_bundles_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     assert {p.name for p in (tmp_path / "b").glob("entity=*")} == {f"entity={e}" for e in entities}
     assert {"forecast_snapshots", "duplicates", "unreadable"} <= entities
     assert seen == [len(publication.BUNDLE_TABLES) + 1] and spark.conf.get(name) == before
+
+
+def test_unknown_refs_sort_and_join_no_repeats(spark):
+    """Null references have no target, a null target meets none, and repeats are not sorted for a join."""
+    refs = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "ref int")
+    out = asof.unknown_refs(refs, spark.createDataFrame([(2,), (None,), (3,), (3,)], "ref long"), ["ref"])
+    assert out.dtypes == [("ref", "int")] and sorted((r.ref for r in out.collect()), key=str) == [1, None]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
