@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fourclocks.operators.segments import previous_values, running_totals
+from fourclocks.session import stored
 
 
 def number_revisions(
@@ -24,9 +25,11 @@ def number_revisions(
     any: a new number only for a hash the key never showed (A, B, A gives 0, 1, 0).
     """
     if mode == "latest":
-        seen = previous_values(df, keys, order, {"_before": hash_column}, segment)
+        # a row's segment is looked up once; both passes and their summaries read it
+        cut = stored(df.withColumn("_cut", segment))
+        seen = previous_values(cut, keys, order, {"_before": hash_column}, F.col("_cut"))
         is_new = F.when(F.col("_before").eqNullSafe(F.col(hash_column)), 0).otherwise(1)
-        counted = running_totals(seen, keys, order, {"_steps": is_new}, segment)
+        counted = running_totals(seen, keys, order, {"_steps": is_new}, F.col("_cut"))
         return counted.withColumn("revision", (F.col("_steps") - 1).cast("long")).select(
             *df.columns, "revision"
         )

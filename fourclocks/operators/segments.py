@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fourclocks.functions.text import bind
+
 SEG = "_segment"
 #: Rows that are sampled for each segment that is to come out.
 SAMPLED = 32
@@ -61,9 +63,16 @@ def balanced_segments(df: DataFrame, order: Sequence[str], segments: int | None
     text = json.dumps([[dict(zip(names, s)) for s in shelf] for shelf in shelves], ensure_ascii=False)
     table = F.from_json(F.lit(text), f"array<array<{kind}>>")
     here = F.struct(*[c.alias(n) for n, (c, _) in zip(names, plain)])
-    shelf = F.size(F.filter(table, lambda s: s[0] <= here))  # shelves that begin at or before the row
-    inside = F.size(F.filter(F.element_at(table, F.greatest(shelf, F.lit(1))), lambda s: s <= here))
-    return F.when(shelf == 0, 0).otherwise((shelf - 1) * step + inside).cast("long")
+
+    def on_shelf(at):
+        """The shelf (how many begin at or before the row) and the row are looked up once for all their uses."""
+        inside = F.size(F.filter(F.element_at(table, F.greatest(at["shelf"], F.lit(1))), lambda s: s <= at["row"]))
+        return F.when(at["shelf"] == 0, 0).otherwise((at["shelf"] - 1) * step + inside)
+
+    def found(row):
+        return F.struct(F.size(F.filter(table, lambda s: s[0] <= row)).alias("shelf"), row.alias("row"))
+
+    return bind(bind(here, found), on_shelf).cast("long")
 
 
 def with_segment(df: DataFrame, segment: Column) -> DataFrame:

@@ -239,3 +239,13 @@ def test_unknown_refs_sort_and_join_no_repeats(spark):
     out = asof.unknown_refs(refs, spark.createDataFrame([(2,), (None,), (3,), (3,)], "ref long"), ["ref"])
     assert out.dtypes == [("ref", "int")] and sorted((r.ref for r in out.collect()), key=str) == [1, None]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_revision_numbers_look_a_segment_up_once(spark):
+    """No pass over the rows repeats the lookup among the splitters."""
+    from fourclocks.operators.segments import balanced_segments
+
+    df = spark.createDataFrame([("u", i, "ab"[i // 3 % 2]) for i in range(40)], "k string, at long, h string")
+    out = revisions.number_revisions(df, ["k"], ["at"], "h", balanced_segments(df, ["at"], 5))
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["at"]: r["revision"] for r in out.collect()} == {i: i // 3 for i in range(40)}
