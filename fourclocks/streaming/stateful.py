@@ -87,7 +87,7 @@ class MonotonicResults(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         votes, fractions, times, ids = _columns(rows, ["votes", "reporting_fraction", "reported_at", "event_id"])
-        last = self.good.get() if self.good.exists() else None
+        last = self.good.get()  # none for a new key; each call is a round trip to the state store
         # rows older than the last good one of earlier triggers are behind it; from the first newer one on, time only rises
         early = 0 if last is None else int(np.searchsorted(times, last[2]))
         ok, best_v, best_f = (np.empty(len(votes), d) for d in (bool, votes.dtype, float))
