@@ -1,9 +1,9 @@
 """Alignment of the tokens that two tokenizers cut a text into.
 
 Both sides tile the bytes of ``space + text``. Byte offsets where tokens of both sides end cut a document into groups. The
-links, all pairs of tokens whose bytes overlap, come from pandas ``merge_asof``: the start of a token finds the covering
-token of the other side, in both directions. Documents are keys of that join; long ones are cut at group ends into several
-keys, so a frame stays bounded whatever the length of a document (but for a single group).
+links, all pairs of tokens whose bytes overlap, come from an as-of search: the start of a token finds the covering token of
+the other side, in both directions. Documents lie one behind the other in a frame, so one search serves them all; long ones
+are cut at group ends into several parts, so a frame stays bounded whatever the length of a document (but for a single group).
 
 Counts of id pairs over the corpus take a second pass: the first one stores for each document its distinct pairs with their
 number of links, partial sums of the pairs are added up in Spark, and the table of sums comes back in slices of at most
@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,6 +31,8 @@ from fourclocks.llm.packing import _RARE
 FRAME, SLICE, PARTIAL = 1 << 20, 1 << 21, 1 << 20
 #: Ids of the second side stay below this factor in a pair's number.
 WIDTH = 1 << 17
+#: Bits of a pair's number; those above them name a document of a frame.
+PAIR = 39
 _BYTE = regex.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -62,27 +63,39 @@ class Sides:
             piece = self.pieces.id_to_piece(i)
             byte = _BYTE.fullmatch(piece)
             self.b_bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
+        # with one table of bytes, ids of the fast coder tile a text wherever their sizes add up to it: its tokens are slices
+        self.tiles = self.fast is not None and self.fast.n_vocab <= len(self.a_bytes) and all(self._same(i) for i in range(self.fast.n_vocab))
         self.a_sizes = np.array([len(b) for b in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(b) for b in self.b_bytes], np.int64)
+        self.a_table, self.b_table = (np.array([*x, None], object)[:-1] for x in (self.a_bytes, self.b_bytes))  # looked up by array
         names_a, names_b = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
         # texts of the ids with the sign that follows: within a run, after the last of a run
         self.names = np.array([n + "," for n in names_a] + [n + "|" for n in names_a] + [n + "," for n in names_b] + [n + ";" for n in names_b], object)
 
+    def _same(self, i: int) -> bool:
+        """Whether the fast coder's token of an id, if it has one, has the bytes of the other file's entry."""
+        try:
+            return self.fast.decode_single_token_bytes(i) == self.a_bytes[i]
+        except KeyError:
+            return True
+
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides; none where the text is empty or the bytes of a side are not space + text."""
         none = np.empty(0, np.int64), np.empty(0, np.int64)
         if not text:
             return none
         spaced = " " + text
-        if self.fast is None or _RARE.search(spaced):
+        exact = self.fast is None or _RARE.search(spaced) is not None
+        if exact:
             a = self.exact.encode(spaced, add_special_tokens=False).ids
         else:
             a = bpe.encode(spaced, self.fast)
-        b = self.pieces.encode(text, num_threads=1)
+        a, b = np.asarray(a, np.int64), np.asarray(self.pieces.encode(text, num_threads=1), np.int64)
         raw = spaced.encode()
-        if b"".join([self.a_bytes[i] for i in (a.tolist() if isinstance(a, np.ndarray) else a)]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+        whole = self.a_sizes[a].sum() == len(raw) if self.tiles and not exact else b"".join(self.a_table[a].tolist()) == raw
+        if not whole or b"".join(self.b_table[b].tolist()) != raw:
             return none
-        return np.asarray(a, np.int64), np.asarray(b, np.int64)
+        return a, b
 
 
 @lru_cache(maxsize=2)
@@ -92,9 +105,10 @@ def _sides(json_file: str, rank_file: str | None, pattern: str, piece_file: str)
 
 def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in both lists of ends that occur in both, ascending."""
-    at = np.searchsorted(b_ends, a_ends)
-    both = np.flatnonzero((at < len(b_ends)) & (b_ends[np.minimum(at, len(b_ends) - 1)] == a_ends)) if len(b_ends) else np.empty(0, np.int64)
-    return both, at[both]
+    size = max(a_ends[-1:].tolist() + b_ends[-1:].tolist(), default=0) + 1
+    ends_a, ends_b = np.zeros(size, bool), np.zeros(size, bool)
+    ends_a[a_ends], ends_b[b_ends] = True, True
+    return np.flatnonzero(ends_b[a_ends]), np.flatnonzero(ends_a[b_ends])
 
 
 def groups_text(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, names: np.ndarray, a_count: int, b_count: int) -> str:
@@ -110,19 +124,18 @@ def groups_text(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.nda
     return "".join(names[out].tolist())[:-1]
 
 
-def links(key_a: np.ndarray, start_a: np.ndarray, key_b: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the overlapping tokens of both sides, which tile the same bytes under each key.
+def links(start_a: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the overlapping tokens of both sides, which tile the same bytes.
 
-    Starts ascend over the whole frame; a token covers a start if it is the last one of the key that begins no later.
+    Starts ascend over the whole frame and every part begins with a token of either side, so the token that covers a start
+    is the last one of the frame that begins no later.
     """
-    a = pd.DataFrame({"key": key_a, "at": start_a, "a": np.arange(len(start_a))})
-    b = pd.DataFrame({"key": key_b, "at": start_b, "b": np.arange(len(start_b))})
-    covered = pd.merge_asof(a, b, on="at", by="key")  # the token of b that covers each start of a
-    covering = pd.merge_asof(b, a.assign(begin=a["at"]), on="at", by="key")
-    covering = covering[covering["begin"] < covering["at"]]  # pairs of equal starts were found above
-    pair_a = np.concatenate([covered["a"].to_numpy(), covering["a"].to_numpy()])
-    pair_b = np.concatenate([covered["b"].to_numpy(), covering["b"].to_numpy()])
-    return pair_a, pair_b
+    begins_a, begins_b = np.zeros((2, max(start_a[-1], start_b[-1]) + 1), np.int32)
+    begins_a[start_a], begins_b[start_b] = 1, 1
+    more = np.flatnonzero(begins_a[start_b] == 0)  # starts of b alone; pairs of equal starts come with those of a
+    covered = np.cumsum(begins_b)[start_a] - 1  # the token of b that covers each start of a
+    covering = np.cumsum(begins_a)[start_b] - 1
+    return np.concatenate([np.arange(len(start_a)), covering[more]]), np.concatenate([covered, more])
 
 
 class Frame:
@@ -138,15 +151,22 @@ class Frame:
         self.parts.append((owner, a, b, a_starts + shift, b_starts + shift))
         self.bytes += size
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(owner, pair number) of every link."""
-        keys = np.arange(len(self.parts))
-        key_a = np.repeat(keys, [len(p[1]) for p in self.parts])
-        key_b = np.repeat(keys, [len(p[2]) for p in self.parts])
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per owner: its distinct pair numbers, ascending, and their links."""
+        of_part = np.array([p[0] for p in self.parts])
+        place = np.cumsum(np.concatenate([[0], of_part[1:] != of_part[:-1]]))  # owners ascend; their parts are neighbours
         a, b, start_a, start_b = (np.concatenate([p[k] for p in self.parts]) for k in (1, 2, 3, 4))
-        at_a, at_b = links(key_a, start_a, key_b, start_b)
-        owner = np.array([p[0] for p in self.parts])[key_a[at_a]]
-        return owner, a[at_a] * WIDTH + b[at_b]
+        at_a, at_b = links(start_a, start_b)
+        # one number holds owner and pair: a frame has fewer than 2 ** 24 owners, an id of the first side below 2 ** 22
+        pair = np.repeat(place, [len(p[1]) for p in self.parts])[at_a] << PAIR | a[at_a] * WIDTH + b[at_b]
+        pair.sort()
+        new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        count = np.diff(np.concatenate([new, [len(pair)]]))
+        pair = pair[new]
+        bounds = np.searchsorted(pair, np.arange(place[-1] + 2) << PAIR)
+        pair &= (1 << PAIR) - 1
+        for owner, lo, hi in zip(of_part[np.flatnonzero(np.diff(place, prepend=-1))].tolist(), bounds, bounds[1:]):
+            yield owner, pair[lo:hi], count[lo:hi]
 
 
 def align(texts: list[str], sides: Sides) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
@@ -161,14 +181,8 @@ def align(texts: list[str], sides: Sides) -> Iterator[tuple[int, int, int, int,
     def settle() -> None:
         nonlocal frame
         if frame.parts:
-            owner, pair = frame.pairs()
-            order = np.lexsort((pair, owner))
-            owner, pair = owner[order], pair[order]
-            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])]))
-            count = np.diff(np.concatenate([new, [len(pair)]]))
-            who, bounds = np.unique(owner[new], return_index=True)
-            for k, (lo, hi) in enumerate(zip(bounds, [*bounds[1:], len(new)])):
-                found[who[k]].append((pair[new[lo:hi]], count[lo:hi]))
+            for owner, pair, count in frame.pairs():
+                found[owner].append((pair, count))
         frame = Frame()
 
     def ready() -> Iterator[tuple]:

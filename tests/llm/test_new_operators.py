@@ -2,6 +2,8 @@
 
 import hashlib
 import os
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -10,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fourclocks.llm import alignment, merkle, queries, token_files
+from fourclocks.llm import alignment, bpe, merkle, queries, token_files
 
 path = public_tokenizers.path
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, tree long, start string, row int"
@@ -278,3 +280,44 @@ def test_long_documents_are_cut_at_group_ends(monkeypatch, frame):
     got = [(*r[:5], dict(zip(r[5].tolist(), r[6].tolist()))) for r in alignment.align(texts, sides)]
     monkeypatch.setattr(alignment, "FRAME", 1 << 24)
     assert got == [(*r[:5], dict(zip(r[5].tolist(), r[6].tolist()))) for r in alignment.align(texts, sides)]
+
+
+def test_links_of_random_tilings():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        size = int(rng.integers(1, 40))
+        starts = [np.concatenate([[0], 1 + np.flatnonzero(rng.random(size - 1) < rng.random())]) for _ in "ab"]
+        own, other = (np.searchsorted(s, np.arange(size), side="right") - 1 for s in starts)
+        assert sorted(zip(*(x.tolist() for x in alignment.links(*starts)))) == sorted(set(zip(own.tolist(), other.tolist())))
+
+
+def test_sizes_prove_what_joined_bytes_prove(monkeypatch):
+    sides = alignment.Sides(*FILES)
+    assert sides.tiles
+    texts = [r[1] or "" for r in odd_documents()]
+    first = [[x.tolist() for x in sides.ids(t)] for t in texts]
+    monkeypatch.setattr(sides, "tiles", False)
+    assert first == [[x.tolist() for x in sides.ids(t)] for t in texts]
+
+
+def test_alignment_adds_little_to_its_tokenizers():
+    """Beyond both encoders an alignment takes less than three quarters of their time; merge joins and sorts by two keys took all of it."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aeiorstlnmcdu", k=rng.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(300)]
+    sides = alignment._sides(*FILES)
+
+    def seconds(work):
+        taken = []
+        for _ in range(5):
+            begin = time.process_time()
+            work()
+            taken.append(time.process_time() - begin)
+        return min(taken)
+
+    def encoders():
+        for text in texts:
+            bpe.encode(" " + text, sides.fast)
+            sides.pieces.encode(text, num_threads=1)
+
+    assert seconds(lambda: list(alignment.align(texts, sides))) < 1.75 * seconds(encoders)
