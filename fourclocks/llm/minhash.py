@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fourclocks.llm.common import components, keep, whole_text
+from fourclocks.llm.common import components, keep, sieve, whole_text
 
 _U = np.uint64
 _CACHE = 300_000
@@ -143,8 +143,9 @@ def near_duplicates(
     shared = spread.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c"), F.min(rank).alias("least"))
     shared = shared.where("lo < hi").select("bucket", "c", "least")
     members = keep(spread.join(shared, "bucket").join(classes.select("id", "sketch"), "id"), "members")
-    ids = members.select("id").distinct()
-    holders = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("_text")).join(ids, "id", "left_semi")
+    ids = keep(members.select("id").distinct(), "holders")
+    texts = sieve(docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("_text")), ids, "id")
+    holders = texts.where("hit").drop("hit").join(ids, "id", "left_semi")  # the texts of other rows are not shuffled
     sets = keep(_sets(holders, size), "sets")
     links = _settle(members, sets, percent)
     reached = components(links)

@@ -7,13 +7,15 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fourclocks.llm import html, minhash, quality, toxicity, vectors
-from fourclocks.llm.common import components
+from fourclocks.llm.common import components, sieve
 from fourclocks.llm.labels import remainder
+from fourclocks.session import shared_folder
 
 FOLDER = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables absent")
@@ -479,3 +481,44 @@ def test_near_stage_judges_rows_that_share_an_id(spark):
     left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), FOLDER).collect()]
     assert sorted(i for i, _ in left if i is not None) == [1, 2, 3, 4] and len(left) == 5
     assert (2, " ".join(clean)) in left
+
+
+@pytest.mark.parametrize("most", [25, 8])
+def test_a_sieve_loses_no_key_and_lets_few_others_through(spark, monkeypatch, most):
+    monkeypatch.setattr("fourclocks.llm.common.SIEVE", most)
+    key = F.when(F.col("id") % 10 != 7, F.struct("id", (F.col("id") * 3).alias("n"))).alias("key")
+    rows = spark.range(40_000).select(key, F.lit("hit me").alias("text"))
+    keys = spark.range(0, 40_000, 50).select(key)
+    got = sieve(rows, keys, "key")
+    assert got.columns == ["key", "text", "hit"] and got.count() == 40_000
+    hit = [r[0]["id"] if r[0] else None for r in got.where("hit").select("key").collect()]
+    assert {*range(0, 40_000, 50)} <= {*hit} and None not in hit
+    assert len(hit) < 3600 or most == 8  # a sixteenth of the others where the bits suffice
+    assert not sieve(rows, keys.limit(0), "key").where("hit").count()
+
+
+def test_near_stage_leaves_texts_without_candidates_where_they_are(spark, monkeypatch):
+    """Of 500 documents with two near copies only a few are dealt out, and tables of texts take less disk than the texts."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aeiorstlnmcdu", k=rng.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(500)]
+    rows = [*enumerate(texts), (500, texts[3] + " more"), (501, texts[4] + " more")]
+    shuffled = []
+
+    def seen(*args):
+        out = sieve(*args)
+        shuffled.append(out.where("hit").count())
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "sieve", seen)
+    monkeypatch.setattr(minhash, "sieve", seen)
+    left = corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), FOLDER)
+    assert sorted(r["doc_id"] for r in left.collect()) == [*range(500)]
+    assert len(shuffled) == 2 and 4 <= shuffled[0] < 60 and 2 <= shuffled[1] < 60
+    exact = corpus_pipeline.drop_exact_copies(spark, docs_of(spark, rows), FOLDER)
+    assert exact.count() == 502
+    folder = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}"
+    for name in ("numbered", "sorted"):
+        newest = max((f for f in os.listdir(folder) if f.startswith(name)), key=lambda f: os.path.getmtime(f"{folder}/{f}"))
+        parts = [f"{folder}/{newest}/{f}" for f in os.listdir(f"{folder}/{newest}") if f.endswith(".parquet")]
+        assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in parts if pq.ParquetFile(f).metadata.num_rows} == {"ZSTD"}
